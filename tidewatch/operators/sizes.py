@@ -1,0 +1,30 @@
+"""How much a plan reads, to choose between a one-task form and a spread form.
+
+Both forms give the same rows. The one-task form (a plain window, Spark's own
+`percentile`) is quicker to plan and run when the whole input is known to be
+small; everything else takes the spread form.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+DEFAULT_ONE_TASK_BYTES = 32 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Sum of the sizes Spark's optimizer reports for the tables a plan reads.
+
+    Sources of unknown size are reported as huge, so they count as large.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        total += int(leaves.apply(i).stats().sizeInBytes().toString())
+    return total
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """True when all the data `df` reads may safely end up in a single task."""
+    limit = int(df.sparkSession.conf.get("spark.tidewatch.oneTaskBytes", str(DEFAULT_ONE_TASK_BYTES)))
+    return limit > 0 and input_bytes(df) <= limit
