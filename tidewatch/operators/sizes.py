@@ -20,7 +20,7 @@ def input_bytes(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = 0
     for i in range(leaves.size()):
-        total += int(leaves.apply(i).stats().sizeInBytes().toString())
+        total += int(str(leaves.apply(i).stats().sizeInBytes()))
     return total
 
 
