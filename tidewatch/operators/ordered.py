@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.joins import same_key
+from tidewatch.operators.joins import attach, same_key
 from tidewatch.operators.sizes import fits_one_task
 
 DEFAULT_CHUNK_ROWS = 4_000_000
@@ -66,8 +66,24 @@ class Ordered:
     def _whole(self) -> bool:
         return self.keys == self.by
 
+    def _keyed(self, df: DataFrame) -> DataFrame:
+        """Adds `_k`, a number that grows with the order."""
+        if not isinstance(df.schema[self.order[0]].dataType, T.StringType):
+            return df.withColumn("_k", _order_number(df, self.order[0]))
+        # label first, then time: number the labels of a series and lay their times end to end
+        label, ts = self.order[0], _order_number(df, self.order[1]).cast("long")
+        numbered = (
+            df.select(*self.by, label)
+            .distinct()
+            .withColumn("_no", F.row_number().over(Window.partitionBy(*self.by).orderBy(label)))
+        )
+        span = df.agg((F.max(ts) - F.min(ts) + 1).alias("_span")).scalar()
+        first = df.agg(F.min(ts).alias("_first")).scalar()
+        out = attach(df, numbered, [*self.by, label])
+        return out.withColumn("_k", F.col("_no") * span + ts - first).drop("_no")
+
     def _cut(self, df: DataFrame, chunk_rows: int) -> DataFrame:
-        keyed = df.withColumn("_k", _order_number(df, self.order[0]))
+        keyed = self._keyed(df)
         parts = f"least(ceil(_n / {chunk_rows}), {GRID})"
         cuts = (
             keyed.groupBy(*self.by)
