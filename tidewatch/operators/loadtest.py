@@ -153,15 +153,24 @@ def index_rows(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFr
     )
 
 
-def replay(df: DataFrame, seq: str, robots: int, freq: float, start, seconds: float) -> DataFrame:
+def replay(
+    df: DataFrame,
+    seq: str,
+    robots: int,
+    freq: float,
+    start,
+    seconds: float | None = None,
+    cycles: int | None = None,
+) -> DataFrame:
     """The messages a fleet sends: every robot cycles through the dataset rows at `freq` Hz.
 
     `seq` numbers the rows from 0. Message m of a robot carries row m modulo the
-    number of rows, at start + m / freq.
+    number of rows, at start + m / freq. The replay lasts some seconds or a number
+    of passes over the dataset.
     """
-    messages = int(freq * seconds)
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    turns = F.when(F.col(seq) < messages, F.sequence(F.col(seq), F.lit(messages - 1).cast("long"), rows))
+    messages = F.lit(int(freq * seconds)).cast("long") if seconds is not None else rows * cycles
+    turns = F.when(F.col(seq) < messages, F.sequence(F.col(seq), messages - 1, rows))
     first = start if isinstance(start, Column) else F.lit(start)
     at = F.timestamp_micros(micros(first) + F.round(F.col("message") * F.lit(1e6 / freq)).cast("long"))
     return (

@@ -233,11 +233,15 @@ def node_usage(usage: DataFrame, step: int, by: Sequence[str] = ("node", "pod"))
     return mean.groupBy("environment", "bucket", "node").agg(F.sum("usage").alias("usage"))
 
 
-def cpu_usage(df: DataFrame, *, policy: str = "as_increase", zero_gap: str = "one") -> DataFrame:
+def cpu_usage(
+    df: DataFrame, *, policy: str = "as_increase", zero_gap: str = "one", rename: bool = False
+) -> DataFrame:
     """Smoothed CPU percent per sample: environment, timestamp, id, pod, node, usage.
 
     Series of one pod are smoothed together, one container after the other.
     """
+    if rename:
+        df = df.withColumn("pod", short_name("pod"))
     keep = ["environment", "timestamp", "id", "pod", "node"]
     return _cpu_smoothed(df, policy, zero_gap, keep).drop("rate")
 
@@ -257,7 +261,7 @@ def memory_usage(df: DataFrame, *, smooth: bool = False, rename: bool = True) ->
 
 def pod_usage(df: DataFrame, kind: str, limits: DataFrame, step: int = 30) -> DataFrame:
     """CPU percent or memory GiB per pod and interval, with time since start and the node's limit."""
-    usage = cpu_usage(df) if kind == "cpu" else memory_usage(df)
+    usage = cpu_usage(df, rename=True) if kind == "cpu" else memory_usage(df)
     series = resample(usage, "timestamp", step, ["environment", "node", "pod"], "usage")
     starts = series.groupBy("environment").agg(F.min("bucket").alias("_start"))
     series = attach(series, starts, ["environment"], few_groups=True)
