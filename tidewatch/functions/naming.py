@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -145,6 +146,13 @@ def matches_any(col: Column | str, patterns: Sequence[str]) -> Column:
     return as_column(col).rlike("|".join(f"(?:{p})" for p in patterns))
 
 
+def _prefix_name(col: Column, names: Mapping[str, str]) -> tuple[Column, Column]:
+    """The first listed prefix `col` starts with (empty if none) and the name it stands for."""
+    prefix = F.regexp_extract(col, f"^({'|'.join(re.escape(p) for p in names)})", 1)
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return prefix, F.try_element_at(table, prefix)
+
+
 def short_name(
     pod: Column | str, version: str = "short", aliases: Mapping[str, str] | None = None
 ) -> Column:
@@ -159,24 +167,20 @@ def short_name(
         bare = F.regexp_replace(c, r"-[a-z0-9]{5,}(?=$|-)", "")
         bare = F.regexp_replace(bare, r"-[a-z0-9]{8,}$", "")
         parts = F.split(bare, "-")
-        out = F.when(F.size(parts) > 3, F.array_join(F.slice(parts, 1, 3), "-")).otherwise(bare)
-        for prefix, name in reversed(list((aliases or SHORT_NAMES).items())):
-            out = F.when(bare.startswith(prefix), F.replace(bare, F.lit(prefix), F.lit(name))).otherwise(out)
-        return out
+        rest = F.when(F.size(parts) > 3, F.array_join(F.slice(parts, 1, 3), "-")).otherwise(bare)
+        prefix, name = _prefix_name(bare, aliases or SHORT_NAMES)
+        return F.when(prefix != "", F.replace(bare, prefix, name)).otherwise(rest)
     if version == "component":
         executor = F.regexp_extract(c, r"-exec-(\d+)$", 1)
-        out = c
-        for prefix, name in reversed(list((aliases or COMPONENT_NAMES).items())):
-            out = F.when(c.startswith(prefix), F.lit(name)).otherwise(out)
-        return F.when(executor != "", F.concat(F.lit("spark-executor-"), executor)).otherwise(out)
+        _, name = _prefix_name(c, aliases or COMPONENT_NAMES)
+        numbered = F.when(executor != "", F.concat(F.lit("spark-executor-"), executor))
+        return F.coalesce(numbered, name, c)
     raise ValueError(f"unknown name version: {version}")
 
 
 def service_group(pod: Column | str, groups: Mapping[str, Sequence[str]] = SERVICE_GROUPS) -> Column:
-    out = F.lit(None).cast("string")
-    for name, prefixes in reversed(list(groups.items())):
-        out = F.when(starts_with_any(pod, prefixes), F.lit(name)).otherwise(out)
-    return out
+    _, name = _prefix_name(as_column(pod), {p: g for g, prefixes in groups.items() for p in prefixes})
+    return name
 
 
 def start_label(pod: Column | str) -> Column:

@@ -14,7 +14,6 @@ from tidewatch.functions.naming import (
     WORKER_PATTERNS,
     matches_any,
     short_name,
-    starts_with_any,
 )
 from tidewatch.functions.timeutil import extent, seconds_between
 from tidewatch.operators.joins import attach
@@ -225,7 +224,7 @@ def disruption(
     rows = rows.where(F.col("namespace").isin(list(namespaces)) & (F.col("phase") == "Running"))
     intervals = running_intervals(rows, gap=gap, origin=start, tie=tie)
     named = intervals.withColumn("component", short_name("pod", "component"))
-    return named.where(starts_with_any("component", components))
+    return named.where(matches_any("component", [f"^{c}" for c in components]))
 
 
 def common_span(frames: Sequence[DataFrame], ts: str = "timestamp") -> DataFrame:
