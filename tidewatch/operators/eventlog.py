@@ -45,27 +45,36 @@ STAGE_ACCUMULABLES = {
 JOB_TYPES = {0: "Planning", 1: "Kafka Fetch", 2: "Transformations"}
 
 
-def parse_lines(lines: DataFrame, app: str = "app", line: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good, bad): parsed events with their log's name, and the lines that are not JSON."""
-    event = F.from_json(
-        F.col(line), EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    )
-    rows = lines.where(F.trim(line) != "").select(F.col(app).alias("app"), F.col(line).alias("_line"), event.alias("e"))
-    good = rows.where("e._bad is null").select("app", "e.*").drop("_bad")
-    bad = rows.where("e._bad is not null").select("app", F.col("_line").alias("line"))
-    return good, bad
+def _parsed(lines: DataFrame) -> DataFrame:
+    event = F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.where(F.trim("value") != "").select("app", "value", event.alias("e"))
+
+
+def events(lines: DataFrame, name: str) -> DataFrame:
+    """Parsed events of one kind from log lines (app, value).
+
+    Lines that do not even contain the name are dropped before the JSON is parsed;
+    lines that are not JSON drop out, see `bad_lines`.
+    """
+    rows = _parsed(lines.where(F.col("value").contains(name)))
+    return rows.where(F.col("e.Event") == name).select("app", "e.*").drop("_bad")
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are neither blank nor JSON."""
+    return _parsed(lines).where("e._bad is not null").select("app", F.col("value").alias("line"))
 
 
 def _seconds(end: str, start: str) -> Column:
     return ((F.col(end) - F.col(start)) / 1000).alias("DurationSec")
 
 
-def jobs(log: DataFrame) -> DataFrame:
+def jobs(lines: DataFrame) -> DataFrame:
     """One row per started job; completion and result are null while it has not ended."""
-    started = log.where(F.col("Event") == "SparkListenerJobStart").select(
+    started = events(lines, "SparkListenerJobStart").select(
         "app", F.col("Job ID").alias("JobID"), F.col("Submission Time").alias("SubmissionTime")
     )
-    ended = log.where(F.col("Event") == "SparkListenerJobEnd").select(
+    ended = events(lines, "SparkListenerJobEnd").select(
         "app",
         F.col("Job ID").alias("JobID"),
         F.col("Completion Time").alias("CompletionTime"),
@@ -76,10 +85,10 @@ def jobs(log: DataFrame) -> DataFrame:
     )
 
 
-def stage_to_job(log: DataFrame) -> DataFrame:
+def stage_to_job(lines: DataFrame) -> DataFrame:
     """Job of each stage; a stage listed by several jobs belongs to the last one."""
     return (
-        log.where(F.col("Event") == "SparkListenerJobStart")
+        events(lines, "SparkListenerJobStart")
         .select("app", F.col("Job ID").alias("JobID"), F.explode("`Stage Infos`.`Stage ID`").alias("StageID"))
         .groupBy("app", "StageID")
         .agg(F.max("JobID").alias("JobID"))
@@ -91,9 +100,9 @@ def _accumulable(name: str) -> Column:
     return F.coalesce(F.get(hits, F.lit(0))["Value"].try_cast("long"), F.lit(0))
 
 
-def stages(log: DataFrame) -> DataFrame:
+def stages(lines: DataFrame) -> DataFrame:
     info = F.col("Stage Info")
-    done = log.where(F.col("Event") == "SparkListenerStageCompleted").select(
+    done = events(lines, "SparkListenerStageCompleted").select(
         "app",
         info["Stage ID"].alias("StageID"),
         info["Stage Attempt ID"].alias("StageAttemptID"),
@@ -103,12 +112,12 @@ def stages(log: DataFrame) -> DataFrame:
         F.coalesce(info["Number of Tasks"], F.lit(0)).alias("NumTasks"),
         *[_accumulable(acc).alias(col) for col, acc in STAGE_ACCUMULABLES.items()],
     )
-    return done.join(stage_to_job(log), ["app", "StageID"], "left").select(
+    return done.join(stage_to_job(lines), ["app", "StageID"], "left").select(
         "*", _seconds("CompletionTime", "SubmissionTime")
     )
 
 
-def tasks(log: DataFrame) -> DataFrame:
+def tasks(lines: DataFrame) -> DataFrame:
     info, metrics = F.col("Task Info"), F.col("Task Metrics")
     took = F.when(
         (info["Launch Time"] != 0) & (info["Finish Time"] != 0), info["Finish Time"] - info["Launch Time"]
@@ -117,7 +126,7 @@ def tasks(log: DataFrame) -> DataFrame:
     def number(col: Column) -> Column:
         return F.coalesce(col, F.lit(0))
 
-    return log.where(F.col("Event") == "SparkListenerTaskEnd").select(
+    return events(lines, "SparkListenerTaskEnd").select(
         "app",
         info["Task ID"].alias("TaskID"),
         F.col("Stage ID").alias("StageID"),

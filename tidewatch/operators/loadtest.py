@@ -13,6 +13,7 @@ from tidewatch.operators.joins import attach
 from tidewatch.operators.latency import describe, downsample
 from tidewatch.operators.ordered import Ordered
 from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.sizes import settle
 
 # Metric, statistic, comparison and limit of each service level.
 SLO_RULES = [
@@ -132,6 +133,7 @@ def interval_stats(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str]
     """Seconds between consecutive messages per robot; population standard deviation."""
     o = Ordered(df.select(*by, ts, *tie), by, [ts, *tie]).lag([ts])
     deltas = o.result().select(*by, seconds_between(ts, f"_prev1.{ts}").alias("_d")).where("_d is not null")
+    deltas = settle(deltas, "intervals")
     plain = deltas.groupBy(*by).agg(
         F.count("_d").alias("count"),
         F.min("_d").alias("min"),

@@ -12,6 +12,7 @@ from tidewatch.functions.timeutil import bucket, seconds_between
 from tidewatch.functions.units import FACTORS
 from tidewatch.operators.joins import attach
 from tidewatch.operators.ordered import Ordered
+from tidewatch.operators.sizes import settle
 
 # CPU percent and memory GiB a node offers, and the node left out of totals.
 NODE_LIMITS = [
@@ -224,7 +225,8 @@ def _cpu_smoothed(
         samples, ["environment", "id"], "timestamp", "value", policy=policy, zero_gap=zero_gap
     )
     cpu = cpu.withColumn("rate", F.col("rate") * FACTORS["cpu_to_percent"]).dropna(subset=["rate"])
-    return rolling_mean(cpu.select(*keep, "rate"), ["environment", "pod"], order, "rate", out="usage")
+    cpu = settle(cpu.select(*keep, "rate"), "cpu")
+    return rolling_mean(cpu, ["environment", "pod"], order, "rate", out="usage")
 
 
 def node_usage(usage: DataFrame, step: int, by: Sequence[str] = ("node", "pod")) -> DataFrame:

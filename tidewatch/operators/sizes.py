@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tidewatch.session import scratch_folder
+
 DEFAULT_ONE_TASK_BYTES = 32 * 1024 * 1024
 
 
@@ -28,3 +30,18 @@ def fits_one_task(df: DataFrame) -> bool:
     """True when all the data `df` reads may safely end up in a single task."""
     limit = int(df.sparkSession.conf.get("spark.tidewatch.oneTaskBytes", str(DEFAULT_ONE_TASK_BYTES)))
     return limit > 0 and input_bytes(df) <= limit
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a table in the shared scratch folder, for large inputs.
+
+    An ordered step reads its input several times, so a second one on top of it
+    would repeat the first. Writing the result between them keeps the work linear,
+    survives lost executors, and lets the next step read only the columns it needs.
+    Small inputs are passed through.
+    """
+    if fits_one_task(df):
+        return df
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,13 +12,9 @@ from tidewatch.plans.registry import query
 from tidewatch.plans.views import with_
 
 
-def log(spark, folder):
-    return evl.parse_lines(v.log_lines(spark, folder))[0]
-
-
 @query("eventlog_jobs", with_("jobs") + "SELECT * FROM jobs", ["DurationSec"])
 def eventlog_jobs(spark, folder):
-    return evl.jobs(log(spark, folder))
+    return evl.jobs(v.log_lines(spark, folder))
 
 
 @query(
@@ -29,7 +25,7 @@ def eventlog_jobs(spark, folder):
     ["DurationSec"],
 )
 def eventlog_stages(spark, folder):
-    return evl.stages(log(spark, folder)).drop(
+    return evl.stages(v.log_lines(spark, folder)).drop(
         "StageAttemptID", "ShuffleReadBytes", "ShuffleWriteBytes", "OutputRecords"
     )
 
@@ -44,7 +40,7 @@ def eventlog_stages(spark, folder):
     ["DurationSec"],
 )
 def eventlog_tasks(spark, folder):
-    return evl.tasks(log(spark, folder)).select(
+    return evl.tasks(v.log_lines(spark, folder)).select(
         "app",
         "TaskID",
         "StageID",
@@ -63,7 +59,7 @@ def eventlog_tasks(spark, folder):
     "SELECT 'app-1' AS app, '{broken ' || o_orderkey AS line FROM orders WHERE o_orderkey % 100 = 0",
 )
 def eventlog_bad_lines(spark, folder):
-    return evl.parse_lines(v.log_lines(spark, folder))[1]
+    return evl.bad_lines(v.log_lines(spark, folder))
 
 
 @query(
@@ -71,7 +67,7 @@ def eventlog_bad_lines(spark, folder):
     with_("owners") + "SELECT 'app-1' AS app, StageID, JobID FROM owners",
 )
 def stage_job_lookup(spark, folder):
-    return evl.stage_to_job(log(spark, folder))
+    return evl.stage_to_job(v.log_lines(spark, folder))
 
 
 def _summary_sql(src: str, cols: list[str]) -> str:
@@ -85,7 +81,7 @@ def _summary_sql(src: str, cols: list[str]) -> str:
 
 @query("eventlog_summary", with_("stages") + _summary_sql("stages", ["DurationSec", "NumTasks"]), DESCRIBED)
 def eventlog_summary(spark, folder):
-    return evl.summarize(evl.stages(log(spark, folder)), ["DurationSec", "NumTasks"])
+    return evl.summarize(evl.stages(v.log_lines(spark, folder)), ["DurationSec", "NumTasks"])
 
 
 @query(
@@ -94,7 +90,7 @@ def eventlog_summary(spark, folder):
     ["DurationSec"],
 )
 def top_k_slowest(spark, folder):
-    return evl.slowest(evl.stages(log(spark, folder)), tie=["StageID"]).select("StageID", "StageName", "DurationSec")
+    return evl.slowest(evl.stages(v.log_lines(spark, folder)), tie=["StageID"]).select("StageID", "StageName", "DurationSec")
 
 
 @query(
@@ -103,7 +99,7 @@ def top_k_slowest(spark, folder):
     " ELSE 'Transformations' END AS JobType FROM orders",
 )
 def job_type(spark, folder):
-    return evl.jobs(log(spark, folder)).select("JobID", evl.job_type("JobID").alias("JobType"))
+    return evl.jobs(v.log_lines(spark, folder)).select("JobID", evl.job_type("JobID").alias("JobType"))
 
 
 @query(
@@ -114,7 +110,7 @@ def job_type(spark, folder):
     ["DurationSec", "MeanSec"],
 )
 def duration_series(spark, folder):
-    return evl.duration_series(evl.jobs(log(spark, folder))).select("JobID", "StartedAt", "DurationSec", "MeanSec")
+    return evl.duration_series(evl.jobs(v.log_lines(spark, folder))).select("JobID", "StartedAt", "DurationSec", "MeanSec")
 
 
 def packets(spark, folder):

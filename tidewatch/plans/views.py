@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.latency import stage_latencies
 from tidewatch.operators.ordered import Ordered
+from tidewatch.operators.sizes import settle
 
 BROKER_IP, BROKER_PORT = "10.0.0.1", 9092
 NODES = ["w0", "w1", "w2"]
@@ -54,7 +55,7 @@ def daily_counter(df: DataFrame, by: str) -> DataFrame:
     """A counter in whole units that starts over every day."""
     df = df.withColumn("_day", F.to_date("timestamp"))
     counted = Ordered(df, [by, "_day"], ["timestamp", "event_id"]).running_sum(_cents(), "value").result()
-    return counted.withColumn("value", F.col("value").cast("double")).drop("_day")
+    return settle(counted.withColumn("value", F.col("value").cast("double")).drop("_day"), "counters")
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:

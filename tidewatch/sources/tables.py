@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.eventlog import parse_lines
-
 # Options of the deployed topic reader.
 TOPIC_OPTIONS = {
     "startingOffsets": "earliest",
@@ -127,10 +125,9 @@ def read_vmstat(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(memory, "file", "left").withColumn("timestamp", F.to_timestamp("timestamp"))
 
 
-def read_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows of event logs, named by their file; logs split at line ends."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("app"), "value")
-    return parse_lines(lines)
+def read_event_log(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of event logs (app, value), named by their file; logs split at line ends."""
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("app"), "value")
 
 
 def flatten_range_json(df: DataFrame, value: str = "value", labels: Sequence[str] | None = None) -> DataFrame:
