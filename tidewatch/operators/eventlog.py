@@ -10,26 +10,33 @@ from pyspark.sql import functions as F
 from tidewatch.functions.timeutil import as_column, to_zone
 from tidewatch.operators.latency import describe_columns
 
-# The parts of event log lines that are read, under the names Spark writes.
-EVENT_SCHEMA = """
-    `Event` string, `Job ID` bigint, `Submission Time` bigint, `Completion Time` bigint,
-    `Job Result` struct<`Result`: string>,
-    `Stage Infos` array<struct<`Stage ID`: bigint>>,
-    `Stage Info` struct<
-        `Stage ID`: bigint, `Stage Attempt ID`: bigint, `Stage Name`: string,
-        `Submission Time`: bigint, `Completion Time`: bigint, `Number of Tasks`: bigint,
-        `Accumulables`: array<struct<`Name`: string, `Value`: string>>>,
-    `Stage ID` bigint, `Stage Attempt ID` bigint,
-    `Task Info` struct<
-        `Task ID`: bigint, `Executor ID`: string, `Host`: string,
-        `Launch Time`: bigint, `Finish Time`: bigint, `Failed`: boolean, `Successful`: boolean>,
-    `Task Metrics` struct<
-        `Memory Bytes Spilled`: bigint, `Disk Bytes Spilled`: bigint,
-        `Input Metrics`: struct<`Bytes Read`: bigint>,
-        `Shuffle Read Metrics`: struct<`Remote Bytes Read`: bigint>,
-        `Shuffle Write Metrics`: struct<`Shuffle Bytes Written`: bigint>>,
-    `_bad` string
-"""
+# The parts of each event that are read, under the names Spark writes.
+EVENT_SCHEMAS = {
+    "SparkListenerJobStart": """
+        `Event` string, `Job ID` bigint, `Submission Time` bigint,
+        `Stage Infos` array<struct<`Stage ID`: bigint>>
+    """,
+    "SparkListenerJobEnd": """
+        `Event` string, `Job ID` bigint, `Completion Time` bigint, `Job Result` struct<`Result`: string>
+    """,
+    "SparkListenerStageCompleted": """
+        `Event` string, `Stage Info` struct<
+            `Stage ID`: bigint, `Stage Attempt ID`: bigint, `Stage Name`: string,
+            `Submission Time`: bigint, `Completion Time`: bigint, `Number of Tasks`: bigint,
+            `Accumulables`: array<struct<`Name`: string, `Value`: string>>>
+    """,
+    "SparkListenerTaskEnd": """
+        `Event` string, `Stage ID` bigint, `Stage Attempt ID` bigint,
+        `Task Info` struct<
+            `Task ID`: bigint, `Executor ID`: string, `Host`: string,
+            `Launch Time`: bigint, `Finish Time`: bigint, `Failed`: boolean, `Successful`: boolean>,
+        `Task Metrics` struct<
+            `Memory Bytes Spilled`: bigint, `Disk Bytes Spilled`: bigint,
+            `Input Metrics`: struct<`Bytes Read`: bigint>,
+            `Shuffle Read Metrics`: struct<`Remote Bytes Read`: bigint>,
+            `Shuffle Write Metrics`: struct<`Shuffle Bytes Written`: bigint>>
+    """,
+}
 
 # Output column and the accumulable it comes from.
 STAGE_ACCUMULABLES = {
@@ -45,24 +52,24 @@ STAGE_ACCUMULABLES = {
 JOB_TYPES = {0: "Planning", 1: "Kafka Fetch", 2: "Transformations"}
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    event = F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.where(F.trim("value") != "").select("app", "value", event.alias("e"))
-
-
 def events(lines: DataFrame, name: str) -> DataFrame:
     """Parsed events of one kind from log lines (app, value).
 
     Lines that do not even contain the name are dropped before the JSON is parsed;
-    lines that are not JSON drop out, see `bad_lines`.
+    lines that are not JSON drop out, see `bad_lines`. `inline` keeps Spark from
+    parsing a line again for the filter.
     """
-    rows = _parsed(lines.where(F.col("value").contains(name)))
-    return rows.where(F.col("e.Event") == name).select("app", "e.*").drop("_bad")
+    event = F.from_json("value", EVENT_SCHEMAS[name])
+    rows = lines.where(F.col("value").contains(name)).select("app", F.inline(F.array(event)))
+    return rows.where(F.col("Event") == name)
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:
     """Lines that are neither blank nor JSON."""
-    return _parsed(lines).where("e._bad is not null").select("app", F.col("value").alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    event = F.from_json("value", "`Event` string, `_bad` string", options)
+    rows = lines.where(F.trim("value") != "").select("app", "value", F.inline(F.array(event)))
+    return rows.where("_bad is not null").select("app", F.col("value").alias("line"))
 
 
 def _seconds(end: str, start: str) -> Column:
