@@ -149,15 +149,16 @@ def true_starts(
         F.max(F.when(~known & ~running, F.col(ts))).alias("_other"),
     )
     simple = F.col("_other").isNull() | (F.col("_first") >= F.col("_other")) | (F.col("_first") < F.col("_known"))
+    seen = seen.where(F.col("_first").isNotNull()).withColumn("_simple", F.coalesce(simple, F.lit(False)))
     # only pods with an unknown phase name look at their rows again
-    odd = seen.where(~F.coalesce(simple, F.lit(True)))
+    odd = seen.where(~F.col("_simple"))
     late = (
         attach(pods.where(running), odd.select(*by, "_other"), by, how="inner")
         .where(F.col(ts) >= F.col("_other"))
         .groupBy(*by)
         .agg(F.min(ts).alias("start_ts"))
     )
-    plain = seen.where(simple & F.col("_first").isNotNull()).select(*by, F.col("_first").alias("start_ts"))
+    plain = seen.where("_simple").select(*by, F.col("_first").alias("start_ts"))
     return plain.unionByName(late)
 
 

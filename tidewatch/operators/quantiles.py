@@ -106,7 +106,9 @@ def quantiles_of_counts(
         picks.append(F.max(F.when((hi >= F.col("_at")) & (hi < end), F.col("_v"))).alias(f"_hi{i}"))
     found = exact.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
     q = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac
+        F.when(frac > 0, F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).otherwise(
+            F.col(f"_lo{i}")
+        )
         for i, (_, _, frac) in enumerate(_ranks(probs, F.col("n")))
     ]
     return found.select(*by, "n", F.array(*q).alias("q"))
