@@ -6,8 +6,8 @@ than `chunk_rows` is cut along its own order column into chunks of about that
 size, windows run per (series, chunk), and what a chunk needs from the chunks
 before it is computed by a small aggregate and joined back:
 
-* the cut points come from one mergeable quantile sketch per series; they only
-  balance the chunks, results do not depend on them;
+* a count finds the long series, one mergeable quantile sketch for each of them
+  gives the cut points; they only balance the chunks, results do not depend on them;
 * cut points and carries exist for long series only, at most one row per
   `chunk_rows` input rows, which is the bound that allows broadcasting them.
 
@@ -85,15 +85,19 @@ class Ordered:
     def _cut(self, df: DataFrame, chunk_rows: int) -> DataFrame:
         keyed = self._keyed(df)
         parts = f"least(ceil(_n / {chunk_rows}), {GRID})"
+        renamed = [F.col(k).alias(f"_r_{k}") for k in self.by]
+        sizes = (
+            keyed.groupBy(*self.by).agg(F.count("_k").alias("_n")).where(f"_n > {chunk_rows}").select(*renamed, "_n")
+        )
+        in_long = keyed.select(*self.by, "_k").join(F.broadcast(sizes), same_key(keyed, sizes, self.by))
         cuts = (
-            keyed.groupBy(*self.by)
+            in_long.groupBy(*self.by)
             .agg(
-                F.count("_k").alias("_n"),
+                F.max("_n").alias("_n"),
                 F.expr(f"percentile_approx(_k, {_FRACTIONS}, {SKETCH_ACCURACY})").alias("_q"),
             )
-            .where(f"_n > {chunk_rows}")
             .select(
-                *[F.col(k).alias(f"_r_{k}") for k in self.by],
+                *renamed,
                 F.expr(
                     f"array_distinct(transform(sequence(1, cast({parts} as int) - 1),"
                     f" i -> element_at(_q, cast(i * {GRID} / {parts} as int))))"

@@ -14,6 +14,7 @@ from tidewatch.functions.naming import (
     WORKER_PATTERNS,
     matches_any,
     short_name,
+    starts_with_any,
 )
 from tidewatch.functions.timeutil import extent, seconds_between
 from tidewatch.operators.joins import attach
@@ -133,6 +134,11 @@ def restarts(
     return o.result().where(went).select(*by, F.col(ts).alias("restart_time"), "running_time")
 
 
+def service_restarts(df: DataFrame, prefixes: Sequence[str], **kwargs) -> DataFrame:
+    """Restarts of one service's pods, the events drawn over its panel."""
+    return restarts(df.where(starts_with_any("pod", prefixes)), **kwargs)
+
+
 def true_starts(
     df: DataFrame, by: Sequence[str] = ("pod",), ts: str = "timestamp", phase: str = "phase"
 ) -> DataFrame:

@@ -77,21 +77,35 @@ def scrape_gaps(spark, folder):
     return pods.scrape_gaps(v.phases(spark, folder))
 
 
-@query(
-    "pod_restarts",
-    with_(
-        "act",
-        o="SELECT *, phase <> 'Running' AS late FROM act",
-        r="SELECT *, lag(phase) OVER w AS before, min(CASE WHEN phase = 'Running' THEN timestamp END) OVER"
-        " (PARTITION BY pod ORDER BY timestamp, late, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
-        " AS running_time FROM o WINDOW w AS (PARTITION BY pod ORDER BY timestamp, late, event_id)",
-    )
-    + "SELECT pod, timestamp AS restart_time, running_time FROM r WHERE phase = 'Pending' AND before <> 'Pending'",
+RESTARTS = {
+    "o": "SELECT *, phase <> 'Running' AS late FROM act",
+    "r": "SELECT *, lag(phase) OVER w AS before, min(CASE WHEN phase = 'Running' THEN timestamp END) OVER"
+    " (PARTITION BY pod ORDER BY timestamp, late, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    " AS running_time FROM o WINDOW w AS (PARTITION BY pod ORDER BY timestamp, late, event_id)",
+}
+RESTARTED = (
+    "SELECT pod, timestamp AS restart_time, running_time FROM r WHERE phase = 'Pending' AND before <> 'Pending'"
 )
+
+
+@query("pod_restarts", with_("act", **RESTARTS) + RESTARTED)
 def pod_restarts(spark, folder):
     return pods.restarts(v.phases(spark, folder), tie=["event_id"])
 
 
+@query(
+    "service_restarts",
+    with_("act", **RESTARTS)
+    + RESTARTED
+    + " AND ("
+    + " OR ".join(f"starts_with(pod, '{p}')" for p in nm.STORE_POD_PREFIXES + nm.BROKER_POD_PREFIXES)
+    + ")",
+)
+def service_restarts(spark, folder):
+    prefixes = nm.STORE_POD_PREFIXES + nm.BROKER_POD_PREFIXES
+    return pods.service_restarts(v.phases(spark, folder), prefixes, tie=["event_id"])
+
+
 TRUE_STARTS = {
     "f": "SELECT *, count(*) FILTER (phase <> 'Running') OVER later AS other,"
     " count(*) FILTER (phase IN ('Failed', 'Succeeded', 'Pending', 'Unknown')) OVER later AS known"

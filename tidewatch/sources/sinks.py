@@ -108,4 +108,4 @@ def table_detail(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 def publish(df: DataFrame, servers: str) -> None:
     """Write rows made by `to_topic` to their topics."""
-    df.write.format("kafka").option("kafka.bootstrap.servers", servers).option("includeHeaders", "true").save()
+    df.write.format("kafka").option("kafka.bootstrap.servers", servers).save()

@@ -42,10 +42,14 @@ def run_ingest(
     topic: str = "robot_data-avro",
     trigger: str = "5 seconds",
     native: bool = False,
+    explain: bool = False,
 ) -> StreamingQuery:
     """Start the append stream into the raw table; exactly once through its checkpoint."""
     rows = ingest(source, schema_json, native=native)
-    return write_stream(rows, fmt, path, checkpoint, name=f"raw_{topic}", trigger=trigger)
+    query = write_stream(rows, fmt, path, checkpoint, name=f"raw_{topic}", trigger=trigger)
+    if explain:
+        query.explain(True)
+    return query
 
 
 def propagate(
