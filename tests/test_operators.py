@@ -29,7 +29,7 @@ def form(request, spark):
         spark.conf.set("spark.tidewatch.oneTaskBytes", "0")
         spark.conf.set("spark.tidewatch.chunkRows", "2")
     else:
-        spark.conf.set("spark.tidewatch.oneTaskBytes", str(1 << 62))
+        spark.conf.set("spark.tidewatch.oneTaskBytes", str(1 << 70))
     yield request.param
     spark.conf.unset("spark.tidewatch.oneTaskBytes")
     spark.conf.unset("spark.tidewatch.chunkRows")

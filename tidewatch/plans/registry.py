@@ -15,6 +15,13 @@ SQL: dict[str, str] = {}
 DIGITS = 6
 
 
+def _rounded(c):
+    """Round half away from zero, in plain double arithmetic as DuckDB does it."""
+    scale = 10.0**DIGITS
+    near = F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale + 0.0
+    return F.when(F.abs(c) < 9e12, near).otherwise(c)
+
+
 def _comparable(df: DataFrame) -> DataFrame:
     """Times without zone and rounded doubles, so both engines print the same values."""
     cols = []
@@ -23,7 +30,7 @@ def _comparable(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         elif isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, DIGITS)
+            c = _rounded(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -39,7 +46,7 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] = ()):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            rounded = ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in doubles)
+            rounded = ", ".join(f"round({c}, {DIGITS}) + 0::DOUBLE AS {c}" for c in doubles)
             SQL[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if doubles else sql
         return fn
 
