@@ -87,7 +87,7 @@ def crosstab(df: DataFrame, a: str, b: str, b_values: Sequence) -> DataFrame:
     return wide.select(a, *[F.col(str(v)).alias(f"{b}_{v}") for v in b_values])
 
 
-def iqr(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def iqr(df: DataFrame, col: str, by: Sequence[str] = (), *, few_groups: bool = True) -> DataFrame:
     """Typical jitter: the inter-quartile range."""
-    q = exact_quantiles(df, by, col, [0.25, 0.75], few_groups=True)
+    q = exact_quantiles(df, by, col, [0.25, 0.75], few_groups=few_groups)
     return q.select(*by, (F.col("q")[1] - F.col("q")[0]).alias("iqr"))

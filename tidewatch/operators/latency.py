@@ -1,4 +1,8 @@
-"""Latency per pipeline stage and its distribution (LAT)."""
+"""Latency per pipeline stage and its distribution (LAT).
+
+Group keys are normally the environment or stage, of which there are a few; pass
+`few_groups=False` for keys of many values, so that group statistics are not broadcast.
+"""
 
 from __future__ import annotations
 
@@ -59,6 +63,7 @@ def latency_summary(
     factor: float = 1000.0,
     digits: int = 1,
     approx: bool = False,
+    few_groups: bool = True,
 ) -> DataFrame:
     """Median, inter-quartile range and p95 per group, in ms for values in seconds.
 
@@ -68,7 +73,7 @@ def latency_summary(
     if approx:
         q = long.groupBy(*by).agg(F.percentile_approx(value, probs, 100_000).alias("q"))
     else:
-        q = exact_quantiles(long, by, value, probs, few_groups=True)
+        q = exact_quantiles(long, by, value, probs, few_groups=few_groups)
 
     def ms(col):
         return F.round(col * factor, digits)
@@ -119,7 +124,7 @@ def report_sentences(summary: DataFrame) -> DataFrame:
     return summary.select("stage", "environment", text.alias("sentence"))
 
 
-def env_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",)) -> DataFrame:
+def env_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *, few_groups: bool = True) -> DataFrame:
     """min, max, mean, median and sample standard deviation per group."""
     plain = df.groupBy(*by).agg(
         F.min(col).alias("min"),
@@ -127,8 +132,8 @@ def env_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",)) ->
         F.avg(col).alias("mean"),
         F.stddev(col).alias("std"),
     )
-    mid = exact_quantiles(df, by, col, [0.5], few_groups=True).select(*by, F.col("q")[0].alias("median"))
-    return attach(plain, mid, by, few_groups=True)
+    mid = exact_quantiles(df, by, col, [0.5], few_groups=few_groups).select(*by, F.col("q")[0].alias("median"))
+    return attach(plain, mid, by, few_groups=few_groups)
 
 
 def describe(df: DataFrame, col: str, by: Sequence[str] = (), *, few_groups: bool = True) -> DataFrame:
@@ -154,16 +159,16 @@ def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return describe(long, "value", ["column"])
 
 
-def box_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",)) -> DataFrame:
+def box_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *, few_groups: bool = True) -> DataFrame:
     """Quartiles, whiskers at the last values inside 1.5 IQR, and the outliers beyond."""
     counts = value_counts(df, by, col)
-    q = quantiles_of_counts(counts, by, [0.25, 0.5, 0.75], few_groups=True).select(
+    q = quantiles_of_counts(counts, by, [0.25, 0.5, 0.75], few_groups=few_groups).select(
         *by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        attach(counts, q, by, few_groups=True)
+        attach(counts, q, by, few_groups=few_groups)
         .groupBy(*by)
         .agg(
             F.max("q1").alias("q1"),
@@ -183,9 +188,10 @@ def axis_bound(
     over: str = "environment",
     pct: float = 99,
     pad: float = 1.1,
+    few_groups: bool = True,
 ) -> DataFrame:
     """Upper axis limit: the largest percentile over the environments, padded."""
-    q = exact_quantiles(df, [*by, over], col, [pct / 100], few_groups=True)
+    q = exact_quantiles(df, [*by, over], col, [pct / 100], few_groups=few_groups)
     return q.groupBy(*by).agg((F.max(F.col("q")[0]) * pad).alias("bound"))
 
 
@@ -203,7 +209,7 @@ def approx_stats(df: DataFrame, cols: Sequence[str], accuracy: int = 1_000_000)
     return df.agg(*aggs)
 
 
-def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), *, few_groups: bool = True) -> DataFrame:
     """Counts in `bins` equal bins between min and max; the last bin is closed."""
     counts = value_counts(df, by, col)
     span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
@@ -211,7 +217,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
     pos = F.when(F.col("_hi") > F.col("_lo"), inner).otherwise(F.lit(1)).cast("long")
     width = (F.col("_hi") - F.col("_lo")) / bins
     return (
-        attach(counts, span, by, few_groups=True)
+        attach(counts, span, by, few_groups=few_groups)
         .groupBy(*by, pos.alias("bin"))
         .agg(F.sum("_c").alias("rows"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
         .select(*by, "bin", (F.col("_lo") + (F.col("bin") - 1) * width).alias("bin_start"), "rows")
@@ -219,7 +225,8 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
 
 
 def density(
-    df: DataFrame, col: str, by: Sequence[str] = ("environment",), grid: int = 200, cells: int = 2000
+    df: DataFrame, col: str, by: Sequence[str] = ("environment",), grid: int = 200, cells: int = 2000,
+    few_groups: bool = True,
 ) -> DataFrame:
     """Gaussian density on `grid` points from 0 to the maximum, per group.
 
@@ -232,14 +239,14 @@ def density(
     scale = counts.groupBy(*by).agg(
         F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), mean.alias("_mean")
     )
-    near = attach(counts, scale, by, few_groups=True)
+    near = attach(counts, scale, by, few_groups=few_groups)
     spread = near.groupBy(*by).agg(
         F.sqrt(
             F.sum((F.col("_v") - F.col("_mean")) * (F.col("_v") - F.col("_mean")) * F.col("_c"))
             / (F.sum("_c") - 1)
         ).alias("_std")
     )
-    shape = attach(scale, spread, by, few_groups=True)
+    shape = attach(scale, spread, by, few_groups=few_groups)
     width = (F.col("_hi") - F.col("_lo")) / cells
     cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(cells - 1)))
     binned = (
@@ -250,7 +257,7 @@ def density(
     h = F.col("_std") * F.pow("_n", F.lit(-0.2))
     x = F.greatest(F.col("_hi"), F.lit(0.0)) * F.col("_i") / (grid - 1)
     kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("_x")) / F.col("_h"), F.lit(2.0)))
-    points = attach(binned, shape, by, few_groups=True).withColumn("_h", h).where("_h > 0")
+    points = attach(binned, shape, by, few_groups=few_groups).withColumn("_h", h).where("_h > 0")
     return (
         points.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
         .withColumn("x", x)
