@@ -89,6 +89,22 @@ def test_language_filter_matches_sets():
     assert [d[0] for d in model.decide([*texts, None, "", "123 !?", "a"])] == ["en", "de", "und", "und", "und", "en"]
 
 
+def test_parts_give_the_same(monkeypatch):
+    """A text cut into parts has the n-grams, and the language, of the whole text."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abc é"), 3000)), "abc", "b c" * 500]
+    masks = rng.integers(0, 4, (1, 1 << language.CELL_BITS)).astype(np.uint64)
+    model = language.Model(["x", "y"], masks)
+    want = model.decide(texts)
+    hits = model.hits([language._padded(texts[0])])
+    monkeypatch.setattr(language, "CHUNK_BYTES", 64)
+    parts = language._parts(language._padded(texts[0]))
+    assert len(parts) > 40
+    cut = [model.hits([p]) for p in parts]
+    assert sum(c[1][0] for c in cut) == hits[1][0] and (sum(c[0][0] for c in cut) == hits[0][0]).all()
+    assert model.decide(texts) == want
+
+
 def test_language_odd_rows(spark):
     docs = odd_documents(spark)
     model = language.learn(docs)

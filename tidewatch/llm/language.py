@@ -28,8 +28,8 @@ HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 MIN_RATE = 1e-5
 #: ... and at least this part of its rate in the language where it is most frequent.
 MIN_PART = 0.1
-#: Bytes of text looked at in one go.
-CHUNK_BYTES = 8 * 1024 * 1024
+#: Bytes of text looked at in one go; a longer text is cut into overlapping parts.
+CHUNK_BYTES = 1024 * 1024
 
 
 def _letters() -> np.ndarray:
@@ -51,6 +51,13 @@ def _padded(text: str) -> bytes:
     return b" " + text.lower().encode().replace(b"\0", b" ") + b"  \0"
 
 
+def _parts(padded: bytes) -> list[bytes]:
+    """A padded text in parts that hold each of its windows once."""
+    if len(padded) <= 2 * CHUNK_BYTES:
+        return [padded]
+    return [padded[i : i + CHUNK_BYTES + GRAM - 1] + b"\0" for i in range(0, len(padded), CHUNK_BYTES)]
+
+
 def grams(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All 4-byte windows of padded texts, whether each is an n-gram, and where texts begin."""
     flat = _LETTERS[np.frombuffer(b"".join(texts) + b"\0\0\0", np.uint8)]
@@ -82,33 +89,43 @@ class Model:
         code, whole, starts = grams(texts)
         n = np.add.reduceat(whole.astype(np.int64), starts)
         out = np.zeros((len(texts), len(self.langs)))
-        at = [cells(code, j) for j in range(len(HASHES))]
         for s, masks in enumerate(self.masks):
-            found = masks[at[0]]
-            for more in at[1:]:
-                found &= masks[more]
+            found = masks[cells(code, 0)]
+            for j in range(1, len(HASHES)):
+                found &= masks[cells(code, j)]
             found[~whole] = 0
             for i in range(64 * s, min(64 * s + 64, len(self.langs))):
                 out[:, i] = np.add.reduceat(found >> np.uint64(i % 64) & np.uint64(1), starts)
         return out, n
 
+    def _decide(self, parts: list[tuple[int, bytes]], out: list[tuple[str, float]]) -> None:
+        """Set the language of the texts whose parts (number, bytes) these are."""
+        owners, row = np.unique([i for i, _ in parts], return_inverse=True)
+        hits, n = np.zeros((len(owners), len(self.langs))), np.zeros(len(owners))
+        for a in range(0, len(parts), 1 if len(parts) > len(owners) else len(parts)):
+            some = slice(a, a + 1) if len(parts) > len(owners) else slice(None)
+            part_hits, part_n = self.hits([p for _, p in parts[some]])
+            np.add.at(hits, row[some], part_hits)
+            np.add.at(n, row[some], part_n)
+        n = np.maximum(n, 1)[:, None]
+        real = np.clip((hits - n * self.chance) / np.maximum(1 - self.chance, 1e-9) / n, 0, 1)
+        best = real.argmax(1)
+        for i, b, share in zip(owners, best, real, strict=True):
+            out[i] = (self.langs[b], float(share[b]))
+
     def decide(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; the score is the share of its n-grams found."""
         out = [(UNKNOWN, 0.0)] * len(texts)
         known = [i for i, t in enumerate(texts) if has_letter(t)] if self.langs else []
-        at = 0
-        while at < len(known):
-            part, size = [], 0
-            while at + len(part) < len(known) and (not part or size < CHUNK_BYTES):
-                part.append(_padded(texts[known[at + len(part)]]))
-                size += len(part[-1])
-            hits, n = self.hits(part)
-            n = np.maximum(n, 1)[:, None]
-            real = np.clip((hits - n * self.chance) / np.maximum(1 - self.chance, 1e-9) / n, 0, 1)
-            best = real.argmax(1)
-            for i, b in enumerate(best):
-                out[known[at + i]] = (self.langs[b], float(real[i, b]))
-            at += len(part)
+        waiting: list[tuple[int, bytes]] = []
+        size = 0
+        for i in known:
+            parts = _parts(_padded(texts[i]))
+            waiting += [(i, p) for p in parts]
+            size += sum(map(len, parts))
+            if size >= CHUNK_BYTES or i == known[-1]:
+                self._decide(waiting, out)
+                waiting, size = [], 0
         return out
 
 
@@ -124,19 +141,19 @@ def _counts(batches):
     def count(lang, texts):
         code, whole, _ = grams(texts)
         held.setdefault(lang, []).append(np.unique(code[whole], return_counts=True))
-        if len(held[lang]) >= 8:
+        if len(held[lang]) >= 16:
             merge(lang)
 
     for batch in batches:
         waiting: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            padded = _padded(text.as_py())
-            waiting.setdefault(lang, []).append(padded)
-            sizes[lang] = sizes.get(lang, 0) + len(padded)
-            if sizes[lang] >= CHUNK_BYTES:
-                count(lang, waiting.pop(lang))
-                sizes[lang] = 0
+            for part in _parts(_padded(text.as_py())):
+                waiting.setdefault(lang, []).append(part)
+                sizes[lang] = sizes.get(lang, 0) + len(part)
+                if sizes[lang] >= CHUNK_BYTES:
+                    count(lang, waiting.pop(lang))
+                    sizes[lang] = 0
         for lang, texts in waiting.items():
             count(lang, texts)
     for lang in list(held):

@@ -343,7 +343,7 @@ def _decode_all(text: str, regions: list[list[int]], model: Tagger) -> list[np.n
     return _decode_windows([read_window(symbols(text), s) for starts in regions for s in starts], model)
 
 
-def _decode_windows(windows: list[np.ndarray], model: Tagger, most: int = 2048) -> list[np.ndarray]:
+def _decode_windows(windows: list[np.ndarray], model: Tagger, most: int = 512) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for i in range(0, len(windows), most):
         out.extend(model.decode(np.stack(windows[i : i + most])))
