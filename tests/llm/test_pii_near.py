@@ -132,7 +132,11 @@ def _corpus():
     return texts
 
 
-def test_near_groups(spark):
+@pytest.mark.parametrize("paired,group", [(32, 256), (1, 5), (1, 256), (1000, 7)])
+def test_near_groups(spark, monkeypatch, paired, group):
+    """However the comparisons are dealt, classes are those of all pairs."""
+    monkeypatch.setattr(near, "PAIRED", paired)
+    monkeypatch.setattr(near, "GROUP", group)
     texts = _corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = rows_of(near.near_groups(df))
@@ -182,7 +186,7 @@ def test_occurrence_labels_and_long_texts():
     hashes = near._WordHashes()
     labels = near.kmers([b"x"] * 1000, hashes)
     assert len(labels) == 996 == len(set(labels.tolist()))
-    assert len(near.sketch(np.arange(3_000_000, dtype=np.uint64))) == 40
+    assert len(near.sketch(np.arange(3_000_000, dtype=np.uint64))) == 28
     assert len(near.sketch(near.kmers([], hashes))) == 0 and len(near.kmers([b"a", b"b"], hashes)) == 1
 
 

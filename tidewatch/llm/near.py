@@ -6,11 +6,11 @@ text, so texts share a sketch when they share k-mers in the same order. Texts th
 one of the sketches are candidates; a banded alignment of their k-mers verifies them:
 aligned k-mers divided by all k-mers of both must reach the similarity.
 
-The number of candidates stays in proportion to the rows however large a group is: copies
-with equal words count as one text; of the texts in a bucket each is first compared with
-two leaders only, and of the rest only texts that these comparisons have not already
-brought into one class are paired. So every two texts with a common sketch are either
-verified or in one class through others.
+However large a group is, its pairs are not written out: copies with equal words count as
+one text; of the texts in a bucket each is first compared with two leaders only; and of the
+buckets that this leaves with several classes, the large ones are cut into blocks, of
+which each two meet in one place and compare their texts there. So every two texts with a
+common sketch are either compared or in one class through others.
 """
 
 from __future__ import annotations
@@ -30,12 +30,16 @@ from tidewatch.llm.common import DOCUMENT_COLUMNS, keep, whole_text
 WORDS = 5
 SIMILARITY = 0.8
 #: (sketches, k-mers in each, largest text in k-mers that gets them). A pair at similarity s
-#: shares one sketch of n k-mers with a probability near s ** n: of 40 sketches of 6 k-mers
-#: a pair at 0.8 misses all in 5 of a million cases. Short texts, where leaving out one
+#: shares one sketch of n k-mers with a probability near s ** n: of 28 sketches of 5 k-mers
+#: a pair at 0.8 misses all in 15 of a million cases. Short texts, where leaving out one
 #: k-mer matters, get sketches of 2 k-mers as well.
-SKETCHES = ((40, 6, None), (16, 2, 20))
-#: Members of one leader that one task group verifies.
+SKETCHES = ((28, 5, None), (16, 2, 20))
+#: Members of one leader that one group verifies, and texts in a block of a large bucket.
 GROUP = 256
+#: Open buckets of more texts are compared in blocks, smaller ones as pairs.
+PAIRED = 32
+#: So many texts may be looked up by broadcast (about 100 bytes each); more go by shuffle.
+BROADCAST_TEXTS = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -189,6 +193,97 @@ def _verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+class _Block:
+    """Texts of one block, against which others of the bucket are held."""
+
+    def __init__(self, at_least: float):
+        self.at_least, self.members = at_least, []
+
+    def add(self, node: int, comp: int, labels: np.ndarray, sketches: np.ndarray) -> None:
+        self.members.append((node, comp, labels, sketches))
+
+    def close(self) -> None:
+        self.nodes, comps, labels, sketches = zip(*self.members, strict=True)
+        self.comps, self.sizes = np.array(comps), np.array([len(x) for x in labels])
+        self.labels, self.flat = labels, np.concatenate(labels)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.sketches = np.zeros((len(sketches), max(map(len, sketches))), np.int64)
+        for i, x in enumerate(sketches):
+            self.sketches[i, : len(x)] = x
+
+    def links(self, value: int, member: tuple, after: int = -1) -> Iterator[tuple[int, int]]:
+        """Members, after number `after`, of another class that are similar to this one and
+        don't already share an earlier sketch, whose bucket compares the two."""
+        node, comp, labels, sketches = member
+        open_ = self.comps != comp
+        open_[: after + 1] = False
+        first = int(np.flatnonzero(sketches == value)[0])
+        open_ &= ~(self.sketches[:, :first] == sketches[:first]).any(axis=1)
+        if not open_.any():
+            return
+        own = np.sort(labels)
+        at = np.minimum(np.searchsorted(own, self.flat), len(own) - 1)
+        shared = np.add.reduceat((own[at] == self.flat).astype(np.int64), self.starts)
+        open_ &= shared >= self.at_least * (len(labels) + self.sizes - shared) - 1e-9
+        for i in np.flatnonzero(open_):
+            if similarity(labels, self.labels[i], self.at_least):
+                yield self.nodes[i], node
+
+
+def _linked_in_blocks(members: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
+    """Similar pairs (a, b) of different classes in the buckets of (value, node, comp).
+
+    A bucket of n texts is dealt over n / GROUP blocks by a hash; a text goes to each pair
+    of blocks that holds its own, so n * n / GROUP rows are moved, and a task holds one
+    block and streams the other past it.
+    """
+    sizes = members.groupBy("value").agg((F.floor(F.count(F.lit(1)) / GROUP) + 1).alias("_blocks"))
+    dealt = members.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = dealt.select(
+        "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        (F.col("own") > F.col("other")).cast("int").alias("second"), "node", "comp",
+    )
+    rows = dealt.join(texts, "node").select("value", "lo", "hi", "second", "node", "comp", "sketches", "text")
+    rows = rows.repartition("value", "lo", "hi").sortWithinPartitions("value", "lo", "hi", "second", "node")
+
+    def run(batches):
+        hashes, now, block, closed = _WordHashes(), None, None, False
+
+        def finish(group, held):
+            held.close()
+            if group[1] == group[2]:
+                for i, member in enumerate(held.members):
+                    yield from held.links(group[0], member, i)
+
+        def pairs(found):
+            found = sorted(set(found))
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            keys = [batch.column(i).to_pylist() for i in range(6)]
+            for value, lo, hi, second, node, comp, own, text in zip(*keys, batch.column(6), batch.column(7), strict=True):
+                if now != (value, lo, hi):
+                    if block is not None and not closed:
+                        found += finish(now, block)
+                    now, block, closed = (value, lo, hi), _Block(at_least), False
+                labels = kmers((text.as_py() or "").encode().split(), hashes)
+                member = (node, comp, labels, np.array(own.as_py(), np.int64))
+                if not second:
+                    block.add(*member)
+                elif block.members:
+                    if not closed:
+                        found += finish(now, block)
+                        closed = True
+                    found += block.links(value, member)
+            yield pairs(found)
+        if block is not None and not closed and block.members:
+            yield pairs(finish(now, block))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of the edges (a, b); comp is the smallest node of the class.
 
@@ -210,10 +305,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes (node, doc_id, key), found by id and checked by key, kept."""
-    right = nodes.select("node", F.col("doc_id").alias("_id"), "key")
+    """(node, text, sketches) of the nodes, found by id and checked by key, kept."""
+    nodes = keep(nodes.select("node", F.col("doc_id").alias("_id"), "key", "sketches"), "near-nodes")
+    right = nodes.drop("sketches")
+    if nodes.count() <= BROADCAST_TEXTS:
+        right = F.broadcast(right)
     found = docs.select("doc_id", "text").join(right, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return keep(found.where(word_key(whole_text()) == F.col("key")).select("node", "text"), "near-texts")
+    found = found.where(word_key(whole_text()) == F.col("key")).select("node", "text")
+    return keep(found.join(nodes.select("node", "sketches"), "node"), "near-texts")
 
 
 def near_groups(docs: DataFrame, at_least: float = SIMILARITY, sketches=SKETCHES) -> DataFrame:
@@ -227,13 +326,13 @@ def near_groups(docs: DataFrame, at_least: float = SIMILARITY, sketches=SKETCHES
     """
     rows = _sketched(docs, sketches)
     copies = keep(rows.groupBy("key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n_copies")), "near-copies")
-    each = rows.join(copies.select(F.col("node").alias("row")), "row")
+    each = rows.join(copies.select(F.col("node").alias("row")).hint("merge"), "row")
     values = each.select(F.col("row").alias("node"), F.explode("sketches").alias("value"))
     buckets = values.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     buckets = keep(buckets.where("low < high"), "near-buckets")
-    members = keep(values.join(buckets, "value"), "near-members")
+    members = keep(values.join(buckets.hint("merge"), "value"), "near-members")
     nodes = members.select(F.col("node").alias("row")).distinct()
-    texts = _texts(docs, rows.join(nodes, "row").select(F.col("row").alias("node"), "doc_id", "key"))
+    texts = _texts(docs, rows.join(nodes, "row").select(F.col("row").alias("node"), "doc_id", "key", "sketches"))
 
     first = (
         members.select(F.col("low").alias("a"), F.col("node").alias("b"))
@@ -247,16 +346,17 @@ def near_groups(docs: DataFrame, at_least: float = SIMILARITY, sketches=SKETCHES
 
     # buckets whose texts are not all in one class: what is left to compare in them
     placed = members.select("value", "node").join(classes, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("value")
-    open_ = keep(placed.join(mixed, "value"), "near-open")
-    other = open_.select("value", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    rest = open_.withColumnRenamed("node", "a").join(other, "value").where("a < b and comp <> comp_b").select("a", "b").distinct()
+    mixed = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+    open_ = keep(placed.join(mixed.where("lo < hi").select("value", "n"), "value"), "near-open")
+    few = open_.where(F.col("n") <= PAIRED).drop("n")
+    other = few.select("value", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    rest = few.withColumnRenamed("node", "a").join(other, "value").where("a < b and comp <> comp_b").select("a", "b").distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = keep(rest.join(tested, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        more = keep(_verified(rest, texts, at_least), "near-links")
-        if not more.isEmpty():
-            classes = components(edges.unionByName(more))
+    rest = rest.join(tested, ["a", "b"], "left_anti")
+    many = open_.where(F.col("n") > PAIRED).drop("n")
+    more = keep(_verified(rest, texts, at_least).unionByName(_linked_in_blocks(many, texts, at_least)), "near-links")
+    if not more.isEmpty():
+        classes = components(edges.unionByName(more))
 
     facts = rows.select("row", "doc_id", "key").join(copies, "key").join(classes, "node", "left")
     facts = keep(facts.select("row", "doc_id", "n_copies", F.coalesce("comp", "node").alias("comp")), "near-facts")
