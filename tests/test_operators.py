@@ -137,7 +137,7 @@ def test_names(spark):
         "a-b-c-d": ("a-b-c", "a-b-c-d"),
         "x-exec-12": ("x-exec-12", "spark-executor-12"),
         "master-kafka-2": ("master-2", "kafka-broker-2"),
-        "deltalakewithminio-1": ("dl-minio-1", "spark-executor"),
+        "telemetry-job-1": ("telemetry-1", "spark-executor"),
     }
     df = spark.createDataFrame([(p,) for p in cases], "pod string")
     for r in df.select("pod", nm.short_name("pod").alias("s"), nm.short_name("pod", "component").alias("c")).collect():
@@ -459,3 +459,11 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     shown = sinks.write_stream(pipeline.change_view(changes), "memory", None, str(tmp_path / "cp2"), name="shown", trigger="availableNow")
     shown.awaitTermination()
     assert spark.table("shown").columns == ["kafka_timestamp", "spark_timestamp"] and spark.table("shown").count() == 80
+
+
+def test_rows_without_drift_keep_a_null_cluster(spark):
+    rows = [(i, float(i % 2) * 100 + i * 0.01) for i in range(60)] + [(60, None), (61, float("nan"))]
+    df = spark.createDataFrame(rows, "id long, drift_ms double")
+    got = {r["id"]: r["cluster"] for r in drift.assign_clusters(df, drift.fit_drift(df, k=2, seeds=2)).collect()}
+    assert len(got) == 62 and got[60] is None and got[61] is None
+    assert len({got[i] for i in range(0, 60, 2)}) == 1 and got[0] != got[1]

@@ -24,7 +24,7 @@ def drift_ms(df: DataFrame, source: str, broker: str, out: str = "drift_ms") ->
 
 
 def _vectors(df: DataFrame, col: str) -> DataFrame:
-    return VectorAssembler(inputCols=[col], outputCol="_features", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=[col], outputCol="_features", handleInvalid="keep").transform(df)
 
 
 def fit_drift(df: DataFrame, col: str = "drift_ms", k: int = BROKERS, seeds: int = 10) -> GaussianMixtureModel:
@@ -48,9 +48,10 @@ def fit_drift(df: DataFrame, col: str = "drift_ms", k: int = BROKERS, seeds: int
 
 
 def assign_clusters(df: DataFrame, model: GaussianMixtureModel, col: str = "drift_ms") -> DataFrame:
-    """Adds `cluster`, the most likely component of every row."""
+    """Adds `cluster`, the most likely component of every row; null where there is no drift."""
     out = model.setPredictionCol("cluster").setProbabilityCol("").transform(_vectors(df, col))
-    return out.select(*df.columns, F.col("cluster").cast("int").alias("cluster"))
+    known = F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
+    return out.select(*df.columns, F.when(known, F.col("cluster").cast("int")).alias("cluster"))
 
 
 def cluster_medians(df: DataFrame, col: str = "drift_ms", cluster: str = "cluster") -> DataFrame:
@@ -87,7 +88,7 @@ def crosstab(df: DataFrame, a: str, b: str, b_values: Sequence) -> DataFrame:
     return wide.select(a, *[F.col(str(v)).alias(f"{b}_{v}") for v in b_values])
 
 
-def iqr(df: DataFrame, col: str, by: Sequence[str] = (), *, few_groups: bool = True) -> DataFrame:
+def iqr(df: DataFrame, col: str, by: Sequence[str] = (), *, few_groups: bool = False) -> DataFrame:
     """Typical jitter: the inter-quartile range."""
     q = exact_quantiles(df, by, col, [0.25, 0.75], few_groups=few_groups)
     return q.select(*by, (F.col("q")[1] - F.col("q")[0]).alias("iqr"))

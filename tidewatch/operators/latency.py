@@ -1,7 +1,7 @@
 """Latency per pipeline stage and its distribution (LAT).
 
 Group keys are normally the environment or stage, of which there are a few; pass
-`few_groups=False` for keys of many values, so that group statistics are not broadcast.
+`few_groups=True` is for callers who know that a key has few values; it allows a broadcast.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def latency_summary(
     factor: float = 1000.0,
     digits: int = 1,
     approx: bool = False,
-    few_groups: bool = True,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Median, inter-quartile range and p95 per group, in ms for values in seconds.
 
@@ -124,7 +124,7 @@ def report_sentences(summary: DataFrame) -> DataFrame:
     return summary.select("stage", "environment", text.alias("sentence"))
 
 
-def env_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *, few_groups: bool = True) -> DataFrame:
+def env_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *, few_groups: bool = False) -> DataFrame:
     """min, max, mean, median and sample standard deviation per group."""
     plain = df.groupBy(*by).agg(
         F.min(col).alias("min"),
@@ -136,7 +136,7 @@ def env_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *,
     return attach(plain, mid, by, few_groups=few_groups)
 
 
-def describe(df: DataFrame, col: str, by: Sequence[str] = (), *, few_groups: bool = True) -> DataFrame:
+def describe(df: DataFrame, col: str, by: Sequence[str] = (), *, few_groups: bool = False) -> DataFrame:
     """count, mean, std, min, quartiles, max; quartiles are exact."""
     plain = df.groupBy(*by).agg(
         F.count(col).alias("count"),
@@ -159,7 +159,7 @@ def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return describe(long, "value", ["column"])
 
 
-def box_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *, few_groups: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *, few_groups: bool = False) -> DataFrame:
     """Quartiles, whiskers at the last values inside 1.5 IQR, and the outliers beyond."""
     counts = value_counts(df, by, col)
     q = quantiles_of_counts(counts, by, [0.25, 0.5, 0.75], few_groups=few_groups).select(
@@ -188,7 +188,7 @@ def axis_bound(
     over: str = "environment",
     pct: float = 99,
     pad: float = 1.1,
-    few_groups: bool = True,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Upper axis limit: the largest percentile over the environments, padded."""
     q = exact_quantiles(df, [*by, over], col, [pct / 100], few_groups=few_groups)
@@ -209,7 +209,7 @@ def approx_stats(df: DataFrame, cols: Sequence[str], accuracy: int = 1_000_000)
     return df.agg(*aggs)
 
 
-def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), *, few_groups: bool = True) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), *, few_groups: bool = False) -> DataFrame:
     """Counts in `bins` equal bins between min and max; the last bin is closed."""
     counts = value_counts(df, by, col)
     span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
@@ -226,7 +226,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), *, few
 
 def density(
     df: DataFrame, col: str, by: Sequence[str] = ("environment",), grid: int = 200, cells: int = 2000,
-    few_groups: bool = True,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Gaussian density on `grid` points from 0 to the maximum, per group.
 

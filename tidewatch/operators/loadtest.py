@@ -61,7 +61,7 @@ def align_seconds(edge: DataFrame, cloud: DataFrame, metric: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def metric_stats(df: DataFrame, value: str = "metric_value", by: Sequence[str] = ("environment",), *, few_groups: bool = True) -> DataFrame:
+def metric_stats(df: DataFrame, value: str = "metric_value", by: Sequence[str] = ("environment",), *, few_groups: bool = False) -> DataFrame:
     """avg, max, min and median per group."""
     plain = df.groupBy(*by).agg(F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"))
     mid = exact_quantiles(df, by, value, [0.5], few_groups=few_groups).select(*by, F.col("q")[0].alias("median"))

@@ -14,15 +14,6 @@ from tidewatch.operators.joins import attach
 from tidewatch.operators.ordered import Ordered
 from tidewatch.operators.sizes import settle
 
-# CPU percent and memory GiB a node offers, and the node left out of totals.
-NODE_LIMITS = [
-    ("flncpcsrv-k8s-w01", 400.0, 16.384),
-    ("flncpcsrv-k8s-w02", 400.0, 16.384),
-    ("flncpcsrv-k8s-w03", 400.0, 16.384),
-    ("flncpcsrv-k8s-w04", 400.0, 16.384),
-    ("flncpcsrv-k8s-w11", 800.0, 40.960),
-]
-CONTROL_NODE = "server-k8s-m01"
 BROKER_TOPIC = "control_power-avro"
 
 
@@ -168,10 +159,6 @@ def with_limits(df: DataFrame, limits: DataFrame, on: str = "node") -> DataFrame
     return attach(df, limits, [on], few_groups=True)
 
 
-def node_limits(spark) -> DataFrame:
-    return spark.createDataFrame(NODE_LIMITS, "node string, cpu_limit double, mem_limit double")
-
-
 def gauge_series(df: DataFrame, ts: str, label: str, value: str, step: int) -> DataFrame:
     """Mean, min and max of a gauge per label and interval."""
     return df.groupBy(label, bucket(ts, step).alias("bucket")).agg(

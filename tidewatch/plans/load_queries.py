@@ -205,7 +205,7 @@ DRIFT = "SELECT event_id, user_id % 3 AS broker, floor(value * 1000 + user_id %
 @query("drift_clusters")
 def drift_clusters(spark, folder):
     df = drifting(spark, folder)
-    model = drf.fit_drift(df, seeds=2)
+    model = drf.fit_drift(df)
     labelled = drf.assign_clusters(df, model)
     return drf.crosstab(labelled, "cluster", "broker", [0, 1, 2])
 
@@ -213,7 +213,7 @@ def drift_clusters(spark, folder):
 @query("drift_compensate")
 def drift_compensate(spark, folder):
     df = drifting(spark, folder)
-    model = drf.fit_drift(df, seeds=2)
+    model = drf.fit_drift(df)
     fixed = drf.compensate(drf.assign_clusters(df, model))
     return drf.iqr(fixed, "corrected_ms").select("iqr")
 

@@ -112,7 +112,7 @@ def phases(spark: SparkSession, folder: str) -> DataFrame:
     user, kind = F.col("user_id"), F.col("event_type")
     number = user.cast("string")
     pod = (
-        F.when(user % 5 == 0, F.concat(F.lit("deltalakewithminio-run-exec-"), number))
+        F.when(user % 5 == 0, F.concat(F.lit("telemetry-job-run-exec-"), number))
         .when(user % 5 == 1, F.concat(F.lit("streaming-"), number, F.lit("-driver")))
         .when(user % 5 == 2, F.concat(F.lit("master-kafka-"), number))
         .when(user % 5 == 3, F.concat(F.lit("minio-community-"), number))
@@ -298,7 +298,7 @@ CTE = {
     "limits": "SELECT * FROM (VALUES ('w0', 400.0::DOUBLE, 16.0::DOUBLE), ('w1', 400.0, 16.0),"
     " ('w2', 800.0, 40.0)) AS t(node, cpu_limit, mem_limit)",
     "phases": "SELECT event_id, ts AS timestamp, CASE user_id % 5"
-    " WHEN 0 THEN 'deltalakewithminio-run-exec-' || user_id WHEN 1 THEN 'streaming-' || user_id || '-driver'"
+    " WHEN 0 THEN 'telemetry-job-run-exec-' || user_id WHEN 1 THEN 'streaming-' || user_id || '-driver'"
     " WHEN 2 THEN 'master-kafka-' || user_id WHEN 3 THEN 'minio-community-' || user_id"
     " ELSE 'argocd-server-' || user_id || '-abcdef1234' END AS pod,"
     " CASE user_id % 3 WHEN 0 THEN 'ingestion' WHEN 1 THEN 'spark-jobs' ELSE 'kube-system' END AS namespace,"
