@@ -3,9 +3,9 @@
 import __spark_entry__ as entry_file
 import oracle
 import pytest
+from tidewatch.plans.registry import QUERIES, SQL
 
 SMALL, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
-QUERIES, SQL = entry_file.queries(), entry_file.oracle_sql()
 ROWS_ONLY = {"drift_clusters", "drift_compensate", "progress_table"}
 # queries whose plan depends on the form
 SPREAD = sorted(
