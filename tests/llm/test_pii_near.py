@@ -198,3 +198,24 @@ def test_near_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert kept.count() == sum(r["kept"] for r in got) == len({tuple((t or "").encode().split()) for t in ODD_TEXTS})
     assert rows_of(near.near_groups(empty_documents(spark))) == [] and near.near_dedup(empty_documents(spark)).count() == 0
+
+
+def test_a_block_links_its_classes_once():
+    """Texts of one class in the end give a tree of links, not all pairs."""
+    hashes = near._WordHashes()
+    words = [f"w{i}".encode() for i in range(200)]
+    texts = [[*words, f"end{i}".encode()] for i in range(40)]
+    labels = [near.kmers(t, hashes) for t in texts]
+    block = near._Block(near.SIMILARITY)
+    for i in range(30):
+        block.add(i, i, labels[i], np.array([7, 8]))
+    block.close()
+    found = [link for i, m in enumerate(block.members) for link in block.links(7, m, i)]
+    assert len(found) == 29
+    found += [link for i in range(30, 40) for link in block.links(7, (i, i, labels[i], np.array([7, 8])))]
+    assert len(found) == 39
+    reached = {0}
+    for _ in found:
+        reached |= {x for link in found if reached & set(link) for x in link}
+    assert reached == set(range(40))
+    assert not list(block.links(8, (40, 40, labels[0], np.array([7, 8]))))  # the bucket of 7 compares them

@@ -9,8 +9,9 @@ aligned k-mers divided by all k-mers of both must reach the similarity.
 However large a group is, its pairs are not written out: copies with equal words count as
 one text; of the texts in a bucket each is first compared with two leaders only; and of the
 buckets that this leaves with several classes, the large ones are cut into blocks, of
-which each two meet in one place and compare their texts there. So every two texts with a
-common sketch are either compared or in one class through others.
+which each two meet in one place and compare their texts there, as long as they are not of
+one class. So every two texts with a common sketch are either compared or in one class
+through others.
 """
 
 from __future__ import annotations
@@ -194,10 +195,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
 
 
 class _Block:
-    """Texts of one block, against which others of the bucket are held."""
+    """Texts of one block, against which others of the bucket are held.
+
+    Classes that a link joins count as one from then on, so a block and the texts held
+    against it give at most one link fewer than they have classes.
+    """
 
     def __init__(self, at_least: float):
-        self.at_least, self.members = at_least, []
+        self.at_least, self.members, self.joined = at_least, [], {}
 
     def add(self, node: int, comp: int, labels: np.ndarray, sketches: np.ndarray) -> None:
         self.members.append((node, comp, labels, sketches))
@@ -211,10 +216,16 @@ class _Block:
         for i, x in enumerate(sketches):
             self.sketches[i, : len(x)] = x
 
+    def _class(self, comp: int) -> int:
+        while comp in self.joined:
+            comp = self.joined[comp]
+        return comp
+
     def links(self, value: int, member: tuple, after: int = -1) -> Iterator[tuple[int, int]]:
-        """Members, after number `after`, of another class that are similar to this one and
-        don't already share an earlier sketch, whose bucket compares the two."""
+        """Links to members, after number `after`, that are still of another class, similar to
+        this one and don't share an earlier sketch, whose bucket compares the two."""
         node, comp, labels, sketches = member
+        comp = self._class(comp)
         open_ = self.comps != comp
         open_[: after + 1] = False
         first = int(np.flatnonzero(sketches == value)[0])
@@ -226,12 +237,15 @@ class _Block:
         shared = np.add.reduceat((own[at] == self.flat).astype(np.int64), self.starts)
         open_ &= shared >= self.at_least * (len(labels) + self.sizes - shared) - 1e-9
         for i in np.flatnonzero(open_):
-            if similarity(labels, self.labels[i], self.at_least):
+            other = int(self.comps[i])
+            if other != comp and similarity(labels, self.labels[i], self.at_least):
+                self.joined[other] = comp
+                self.comps[self.comps == other] = comp
                 yield self.nodes[i], node
 
 
 def _linked_in_blocks(members: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
-    """Similar pairs (a, b) of different classes in the buckets of (value, node, comp).
+    """Similar pairs (a, b) that join the classes of the buckets of (value, node, comp).
 
     A bucket of n texts is dealt over n / GROUP blocks by a hash; a text goes to each pair
     of blocks that holds its own, so n * n / GROUP rows are moved, and a task holds one
