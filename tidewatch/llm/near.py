@@ -391,10 +391,11 @@ def near_dedup(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     Rows are told apart by doc_id and words; of rows that repeat both, one stays.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
-    groups = keep(near_groups(docs, at_least), "near-result")
-    stays = groups.where("kept").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_stays"))
-    many = keep(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "near-repeated")
-    kept = docs.join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    ids = near_groups(docs, at_least).groupBy("doc_id").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    ids = keep(ids.withColumnRenamed("doc_id", "_id"), "near-result")
+    gone = ids.where("not _stays").select("_id")
+    many = ids.where("_n > 1").select("_id")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     if many.isEmpty():
         return kept
     single = kept.join(many, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
