@@ -56,11 +56,11 @@ _FACTORS = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD) | np.uint64(1)
 
 
 class _WordHashes(dict):
-    """Hashes of words; remembers the first million it meets."""
+    """Hashes of words; remembers the first 131,072 it meets (about 25 MB)."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 131_072:
             self[word] = value
         return value
 
