@@ -318,12 +318,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _looked_up(rows: DataFrame) -> DataFrame:
+    """Kept rows as the side of a join with the documents: broadcast when a count shows them few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TEXTS else rows
+
+
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text, sketches) of the nodes, found by id and checked by key, kept."""
     nodes = keep(nodes.select("node", F.col("doc_id").alias("_id"), "key", "sketches"), "near-nodes")
-    right = nodes.drop("sketches")
-    if nodes.count() <= BROADCAST_TEXTS:
-        right = F.broadcast(right)
+    right = _looked_up(nodes.drop("sketches"))
     found = docs.select("doc_id", "text").join(right, F.col("doc_id").eqNullSafe(F.col("_id")))
     found = found.where(word_key(whole_text()) == F.col("key")).select("node", "text")
     return keep(found.join(nodes.select("node", "sketches"), "node"), "near-texts")
@@ -393,7 +396,7 @@ def near_dedup(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     docs = docs.select(*DOCUMENT_COLUMNS)
     ids = near_groups(docs, at_least).groupBy("doc_id").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_n"))
     ids = keep(ids.withColumnRenamed("doc_id", "_id"), "near-result")
-    gone = ids.where("not _stays").select("_id")
+    gone = _looked_up(ids.where("not _stays").select("_id"))
     many = ids.where("_n > 1").select("_id")
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     if many.isEmpty():
