@@ -200,6 +200,19 @@ def test_near_odd_rows(spark):
     assert rows_of(near.near_groups(empty_documents(spark))) == [] and near.near_dedup(empty_documents(spark)).count() == 0
 
 
+def test_near_rows_that_share_an_id(spark):
+    """Near copies go by row: those under one id, or under none, as those under other ids."""
+    texts = [" ".join(f"{group}{i}" for i in range(60)) for group in "abc"]
+    rows = [(7, f"{texts[0]} end{i}") for i in range(4)] + [(7, "other words than those of the group")]
+    rows += [(None, f"{texts[1]} end{i}") for i in range(6)] + [(None, f"{texts[1]}  end0"), (None, None), (None, "")]
+    rows += [(8, f"{texts[2]} end0"), (8, "more words that no other text has"), (9, f"{texts[2]} end1"), (9, f"{texts[2]} end2")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows_of(near.near_dedup(docs.repartition(3)))
+    # one of each class: three groups, two texts like no other, and one without words
+    assert sum(r["kept"] for r in rows_of(near.near_groups(docs))) == len(got) == 6
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in got) == [(0, ""), (0, "b0"), (7, "a0"), (7, "ot"), (8, "c0"), (8, "mo")]
+
+
 def test_a_block_links_its_classes_once():
     """Texts of one class in the end give a tree of links, not all pairs."""
     hashes = near._WordHashes()

@@ -341,6 +341,11 @@ def near_groups(docs: DataFrame, at_least: float = SIMILARITY, sketches=SKETCHES
     repeat a doc_id are rows each; a null doc_id comes after all others. Other columns are
     ignored; an empty table gives an empty one.
     """
+    return _grouped(docs, ["doc_id"], at_least, sketches)
+
+
+def _grouped(docs: DataFrame, own: list[str], at_least: float, sketches=SKETCHES) -> DataFrame:
+    """What near_groups gives, with the columns `own` of doc_id and key of each row."""
     rows = _sketched(docs, sketches)
     copies = keep(rows.groupBy("key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n_copies")), "near-copies")
     each = rows.join(copies.select(F.col("node").alias("row")).hint("merge"), "row")
@@ -376,14 +381,14 @@ def near_groups(docs: DataFrame, at_least: float = SIMILARITY, sketches=SKETCHES
         classes = components(edges.unionByName(more))
 
     facts = rows.select("row", "doc_id", "key").join(copies, "key").join(classes, "node", "left")
-    facts = keep(facts.select("row", "doc_id", "n_copies", F.coalesce("comp", "node").alias("comp")), "near-facts")
+    facts = keep(facts.select("row", *own, "n_copies", F.coalesce("comp", "node").alias("comp")), "near-facts")
     best = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     groups = facts.groupBy("comp").agg(
         F.min_by(F.struct("doc_id", "row"), best).alias("_best"), F.count(F.lit(1)).alias("class_size")
     )
     groups = keep(groups, "near-groups")
     return facts.join(groups, "comp").select(
-        "doc_id", F.col("_best.doc_id").alias("class_id"), "class_size", "n_copies",
+        *own, F.col("_best.doc_id").alias("class_id"), "class_size", "n_copies",
         (F.col("row") == F.col("_best.row")).alias("kept"),
     )
 
@@ -394,13 +399,19 @@ def near_dedup(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     Rows are told apart by doc_id and words; of rows that repeat both, one stays.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
-    ids = near_groups(docs, at_least).groupBy("doc_id").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_n"))
-    ids = keep(ids.withColumnRenamed("doc_id", "_id"), "near-result")
+    rows = keep(_grouped(docs, ["doc_id", "key"], at_least).select(F.col("doc_id").alias("_id"), "key", "kept"), "near-rows")
+    ids = keep(rows.groupBy("_id").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_n")), "near-result")
     gone = _looked_up(ids.where("not _stays").select("_id"))
-    many = ids.where("_n > 1").select("_id")
+    many = ids.where("_stays and _n > 1").select(F.col("_id").alias("_many"))
+    same = F.col("doc_id").eqNullSafe(F.col("_many"))
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     if many.isEmpty():
         return kept
-    single = kept.join(many, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = kept.join(many, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return single.unionByName(repeated.withColumn("_key", word_key(whole_text())).dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    many = _looked_up(many)
+    single = kept.join(many, same, "left_anti")
+    repeated = kept.join(many, same, "left_semi").withColumn("_key", word_key(whole_text()))
+    # a class has one kept row, so its words under its id are wanted once
+    wanted = rows.where("kept").join(many, F.col("_id").eqNullSafe(F.col("_many")), "left_semi")
+    wanted = _looked_up(keep(wanted.select("_id", "key"), "near-wanted"))
+    found = repeated.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("key")), "left_semi")
+    return single.unionByName(found.dropDuplicates(["doc_id", "_key"]).drop("_key"))
