@@ -150,6 +150,20 @@ def test_fuzzy_finds_all_within_the_bound():
     assert scanner.fuzzy("plain words without any notice at all in them") == []
 
 
+def test_fuzzy_finds_adjacent_notices():
+    """A notice with edits next to a better one of its kind, on either side, is found too."""
+    scanner = licenses.Scanner()
+    for notice, label, edits, _ in scanner.notices:
+        edited = notice[:10] + "q" + notice[11:]
+        n = len(notice)
+        for number in (2, 3, 40):
+            spans = [(label, i * (n + 1), i * (n + 1) + n, 0 if i == number - 1 else 1) for i in range(number)]
+            found = scanner.fuzzy(" ".join([edited] * (number - 1) + [notice]))
+            assert [f for f in found if f[0] == label and f[2] - f[1] > n - edits] == spans
+        found = scanner.fuzzy(f"{notice} {edited} {notice}")
+        assert [(a, b, e) for x, a, b, e in found if b - a > n - edits and x == label] == [(0, n, 0), (n + 1, 2 * n + 1, 1), (2 * n + 2, 3 * n + 2, 0)]
+
+
 def test_scan_frame(spark):
     docs = odd_documents(spark, [*LICENSED, None, "", "Licensed undr the Apache Licence, Version 2.0"])
     got = rows_of(licenses.digest(licenses.scan(docs)))

@@ -50,6 +50,17 @@ def _phrase_pattern() -> re.Pattern[bytes]:
     return re.compile(rb"(?:(?<=" + NO_WORD + rb")|\A)(?:" + joined + rb")(?=" + NO_WORD + rb"|\Z)")
 
 
+def _matches(pattern: regex.Pattern, words: str, begin: int, end: int, least: int) -> Iterator[regex.Match]:
+    """The best match between `begin` and `end`, and then those on both sides of it, as the
+    best one need not be the first. No match has fewer than `least` characters."""
+    open_ = [(begin, end)]
+    while open_:
+        a, b = open_.pop()
+        if b - a >= least and (m := pattern.search(words, a, b)):
+            yield m
+            open_ += [(a, m.start()), (m.end(), b)]
+
+
 class Scanner:
     """Searches one text at a time."""
 
@@ -92,9 +103,9 @@ class Scanner:
                     spans.append((begin, end))
         out = set()
         for i, spans in near.items():
-            _, label, _, pattern = self.notices[i]
+            notice, label, edits, pattern = self.notices[i]
             for begin, end in spans:
-                for m in pattern.finditer(words, begin, end):
+                for m in _matches(pattern, words, begin, end, len(notice) - edits):
                     out.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
         return sorted(out, key=lambda x: (x[1], x[2], x[0], x[3]))
 
