@@ -30,8 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take the boilerplate lines of each source out of its documents."""
-    return document_rows(lines.dedup_lines(docs))
+    """Take the boilerplate lines of each source out of its documents; whole copies, which
+    the next stage merges, make no line frequent."""
+    return document_rows(lines.dedup_lines(docs, copies=False))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,35 @@ def test_line_dedup_odd_rows(spark):
     finally:
         lines.BROADCAST_BYTES = saved
     assert sorted(map(str, again)) == sorted(map(str, shuffled))
+
+
+def test_line_dedup_leaves_whole_copies(spark):
+    """Without copies, a group of them above the ratio keeps its text; a footer still goes."""
+    copy = "first line of a text\nsecond line of it\nfooter"
+    rows = [(i, copy if i % 2 else copy.replace(" ", "  "), "h") for i in range(30)]
+    rows += [(100 + i, f"own {i}\nfooter", "h") for i in range(60)]
+    rows += [(200 + i, f"pair\ntext {max(i, 1)}", "p") for i in range(25)]  # one pair of copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for limit in (lines.BROADCAST_BYTES, -1):
+        lines.BROADCAST_BYTES, saved = limit, lines.BROADCAST_BYTES
+        try:
+            got = {r["doc_id"]: r["text"] for r in rows_of(lines.dedup_lines(docs, copies=False))}
+        finally:
+            lines.BROADCAST_BYTES = saved
+        assert len(got) == len(rows)
+        assert got[1] == "first line of a text\nsecond line of it" and got[0] == got[1].replace(" ", "  ")
+        assert all(got[100 + i] == f"own {i}" for i in range(60)) and all(got[200 + i] == f"text {max(i, 1)}" for i in range(25))
+    assert rows_of(lines.dedup_lines(empty_documents(spark), copies=False)) == []
+
+
+def test_pipeline_keeps_a_text_with_copies(spark):
+    """One of a group of copies comes out of line dedup and near-dedup with its whole text."""
+    import corpus_pipeline
+
+    copy = "a text that many pages of its host have\nand that one of them is to keep"
+    rows = [(i, copy, "en", "h", 0) for i in range(30)] + [(100 + i, f"own words {i} of a page like no other", "en", "h", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict((f.__name__, f) for _, f in corpus_pipeline.STAGES)
+    docs = stages["drop_near_copies"](spark, corpus_pipeline.keep(stages["drop_boilerplate"](spark, docs, ""), "test-stage"), "")
+    texts = [r["text"] for r in rows_of(docs)]
+    assert texts.count(copy) == 1 and "" not in texts and len(texts) == 41

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import keep, whole_text
+from tidewatch.llm.common import keep, whole_text, word_key
 
 RATIO = 0.05
 MIN_PAGES = 20
@@ -28,18 +28,24 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    copies: bool = True,
 ) -> DataFrame:
     """(_host, _keys): per host the keys of its lines on more than `ratio` of its pages.
 
     Hosts of fewer than `min_pages` pages have none: on them each line would be frequent.
-    A page counts once for a line however often the line is on it. A host's array has at
-    most (mean lines per page) / ratio keys, whatever the number of its pages. Lines are
-    counted on the map side before anything is shuffled, so hot hosts and hot lines cost
-    one row per task.
+    A page counts once for a line however often the line is on it. Without `copies`, the
+    pages of a host with the same words count as one. A host's array has at most (mean
+    lines per page) / ratio keys, whatever the number of its pages. Lines are counted on
+    the map side before anything is shuffled, so hot hosts and hot lines cost one row per
+    task.
     """
     pages = docs.select(F.col(host).alias("_host"), whole_text(text).alias("_text"))
-    totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    if copies:
+        totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    else:
+        texts = pages.select("_host", F.unhex(word_key(F.col("_text"))).alias("_page")).distinct()
+        totals = keep(texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")), "line-totals")
     keys = F.array_distinct(F.transform(_lines(F.col("_text")), line_key))
     counted = (
         pages.select("_host", F.explode(keys).alias("_key"))
@@ -47,32 +53,47 @@ def boilerplate(
         .groupBy("_host", "_key")
         .agg(F.count(F.lit(1)).alias("_on"))
     )
-    # a line on more than ratio of at least min_pages pages is on more than ratio * min_pages
-    counted = counted.where(F.col("_on") > ratio * min_pages).withColumnRenamed("_host", "_h")
-    frequent = counted.join(totals, F.col("_h").eqNullSafe(F.col("_host"))).where(
-        (F.col("_pages") >= min_pages) & (F.col("_on") > F.lit(ratio) * F.col("_pages"))
-    )
-    return frequent.groupBy("_host").agg(F.collect_list("_key").alias("_keys"))
+
+    def frequent(counted: DataFrame) -> DataFrame:
+        # a line on more than ratio of at least min_pages pages is on more than ratio * min_pages
+        enough = counted.where(F.col("_on") > ratio * min_pages).withColumnRenamed("_host", "_h")
+        enough = enough.join(totals, F.col("_h").eqNullSafe(F.col("_host"))).where(
+            (F.col("_pages") >= min_pages) & (F.col("_on") > F.lit(ratio) * F.col("_pages"))
+        )
+        return enough.groupBy("_host").agg(F.collect_list("_key").alias("_keys"))
+
+    if copies:
+        return frequent(counted)
+    # only lines on so many rows can be on so many texts; of these the texts are counted
+    some = keep(frequent(counted), "line-candidates").withColumnRenamed("_host", "_h")
+    near = pages.join(_at_hand(some, "_h"), F.col("_host").eqNullSafe(F.col("_h")))
+    near = near.select("_host", F.unhex(word_key(F.col("_text"))).alias("_page"), F.explode(F.array_intersect(keys, "_keys")).alias("_key"))
+    return frequent(near.distinct().groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_on")))
+
+
+def _at_hand(found: DataFrame, host: str = "_host") -> DataFrame:
+    """Kept keys of hosts as the side of a join with the pages: broadcast when they are few."""
+    bytes_ = F.sum(F.size("_keys") * 24 + F.coalesce(F.octet_length(host), F.lit(0)) + 64)
+    small = found.agg(F.coalesce(bytes_, F.lit(0)).alias("b")).first()["b"] <= BROADCAST_BYTES
+    return F.broadcast(found) if small else found
 
 
 def dedup_lines(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    copies: bool = True,
 ) -> DataFrame:
     """Every row of `docs` with its boilerplate lines taken out of `text`, plus `n_lines`
     and `n_dropped`.
 
     Blank lines are kept and not counted as boilerplate; `n_lines` counts all lines. A null
     text stays null with no lines; rows with a null host form one host. Rows that repeat
-    count as pages each. A page whose every line is boilerplate stays, with an empty text.
+    count as pages each; without `copies` all rows of a host with the same words count as
+    one page. A page whose every line is boilerplate stays, with an empty text.
     Columns named n_lines or n_dropped in the input are replaced, other columns stay. An
     empty table gives an empty one.
     """
-    found = keep(boilerplate(docs, host, text, ratio, min_pages), "line-boilerplate")
-    bytes_ = F.sum(F.size("_keys") * 24 + F.coalesce(F.octet_length("_host"), F.lit(0)) + 64)
-    small = found.agg(F.coalesce(bytes_, F.lit(0)).alias("b")).first()["b"] <= BROADCAST_BYTES
-    joined = docs.join(
-        F.broadcast(found) if small else found, F.col(host).eqNullSafe(F.col("_host")), "left"
-    )
+    found = keep(boilerplate(docs, host, text, ratio, min_pages, copies), "line-boilerplate")
+    joined = docs.join(_at_hand(found), F.col(host).eqNullSafe(F.col("_host")), "left")
     lines = _lines(F.col(text))
     kept = F.filter(
         F.col("_split"), lambda x: ~F.coalesce(F.array_contains(F.col("_keys"), line_key(x)), F.lit(False))

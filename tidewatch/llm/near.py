@@ -23,10 +23,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import DOCUMENT_COLUMNS, keep, whole_text
+from tidewatch.llm.common import DOCUMENT_COLUMNS, keep, whole_text, word_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -142,11 +142,6 @@ def similarity(a: np.ndarray, b: np.ndarray, at_least: float = SIMILARITY) -> fl
     return reach(n) if reach(n) >= at_least else 0.0
 
 
-def word_key(text: Column) -> Column:
-    """MD5 of the words joined by single spaces."""
-    return F.md5(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")).cast("binary"))
-
-
 def _sketched(docs: DataFrame, sketches) -> DataFrame:
     """(row, doc_id, key, sketches) of every document, kept."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("sketches", pa.list_(pa.int64()))])
