@@ -31,8 +31,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take the boilerplate lines of each source out of its documents; whole copies, which
-    the next stage merges, make no line frequent."""
-    return document_rows(lines.dedup_lines(docs, copies=False))
+    the next stage merges, make no line frequent. Sources of every size are treated."""
+    return document_rows(lines.dedup_lines(docs, min_pages=1, copies=False, min_support=lines.MIN_SUPPORT))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,3 +148,15 @@ def test_pipeline_keeps_a_text_with_copies(spark):
     docs = stages["drop_near_copies"](spark, corpus_pipeline.keep(stages["drop_boilerplate"](spark, docs, ""), "test-stage"), "")
     texts = [r["text"] for r in rows_of(docs)]
     assert texts.count(copy) == 1 and "" not in texts and len(texts) == 41
+
+
+def test_pipeline_drops_lines_of_small_hosts(spark):
+    """A footer goes on hosts of every size; a line on two pages stays, however few there are."""
+    import corpus_pipeline
+
+    sizes = [2, 3, 10, 19, 20]
+    rows = [(100 * n + i, f"own {i} of {n}\nfooter\n{'on two' if i < 2 else 'alone ' + str(i)}", "en", f"h{n}", 0) for n in sizes for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in rows_of(corpus_pipeline.drop_boilerplate(spark, docs, ""))}
+    for doc, text, _, source, _ in rows:
+        assert got[doc] == (text if source == "h2" else text.replace("\nfooter", ""))

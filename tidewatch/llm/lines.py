@@ -13,6 +13,8 @@ from tidewatch.llm.common import keep, whole_text, word_key
 
 RATIO = 0.05
 MIN_PAGES = 20
+#: For hosts of every size: a line on fewer pages is no boilerplate.
+MIN_SUPPORT = 3
 #: The boilerplate lines of all hosts may be broadcast up to so many bytes.
 BROADCAST_BYTES = 16 * 1024 * 1024
 
@@ -29,13 +31,14 @@ def _lines(text: Column) -> Column:
 
 def boilerplate(
     docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    copies: bool = True,
+    copies: bool = True, min_support: int = 1,
 ) -> DataFrame:
     """(_host, _keys): per host the keys of its lines on more than `ratio` of its pages.
 
     Hosts of fewer than `min_pages` pages have none: on them each line would be frequent.
     A page counts once for a line however often the line is on it. Without `copies`, the
-    pages of a host with the same words count as one. A host's array has at most (mean
+    pages of a host with the same words count as one. A line on fewer than `min_support`
+    pages is none, whatever the size of its host. A host's array has at most (mean
     lines per page) / ratio keys, whatever the number of its pages. Lines are counted on
     the map side before anything is shuffled, so hot hosts and hot lines cost one row per
     task.
@@ -56,7 +59,7 @@ def boilerplate(
 
     def frequent(counted: DataFrame) -> DataFrame:
         # a line on more than ratio of at least min_pages pages is on more than ratio * min_pages
-        enough = counted.where(F.col("_on") > ratio * min_pages).withColumnRenamed("_host", "_h")
+        enough = counted.where((F.col("_on") > ratio * min_pages) & (F.col("_on") >= min_support)).withColumnRenamed("_host", "_h")
         enough = enough.join(totals, F.col("_h").eqNullSafe(F.col("_host"))).where(
             (F.col("_pages") >= min_pages) & (F.col("_on") > F.lit(ratio) * F.col("_pages"))
         )
@@ -80,7 +83,7 @@ def _at_hand(found: DataFrame, host: str = "_host") -> DataFrame:
 
 def dedup_lines(
     docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    copies: bool = True,
+    copies: bool = True, min_support: int = 1,
 ) -> DataFrame:
     """Every row of `docs` with its boilerplate lines taken out of `text`, plus `n_lines`
     and `n_dropped`.
@@ -88,11 +91,12 @@ def dedup_lines(
     Blank lines are kept and not counted as boilerplate; `n_lines` counts all lines. A null
     text stays null with no lines; rows with a null host form one host. Rows that repeat
     count as pages each; without `copies` all rows of a host with the same words count as
-    one page. A page whose every line is boilerplate stays, with an empty text.
+    one page. `min_support` asks for so many pages of each line, as `min_pages` does of each
+    host. A page whose every line is boilerplate stays, with an empty text.
     Columns named n_lines or n_dropped in the input are replaced, other columns stay. An
     empty table gives an empty one.
     """
-    found = keep(boilerplate(docs, host, text, ratio, min_pages, copies), "line-boilerplate")
+    found = keep(boilerplate(docs, host, text, ratio, min_pages, copies, min_support), "line-boilerplate")
     joined = docs.join(_at_hand(found), F.col(host).eqNullSafe(F.col("_host")), "left")
     lines = _lines(F.col(text))
     kept = F.filter(
