@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import keep
+from tidewatch.llm.common import keep, lean
 
 UNKNOWN = "und"
 GRAM = 4  # bytes
@@ -174,7 +174,7 @@ def learn(docs: DataFrame, min_rate: float = MIN_RATE, min_part: float = MIN_PAR
     nothing; without any row the model knows no language.
     """
     taught = docs.select("text", "lang").where("text is not null and lang is not null")
-    counts = taught.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = taught.mapInArrow(lean(_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = keep(counts, "language-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     langs = sorted(r["lang"] for r in totals.select("lang").collect())
@@ -194,7 +194,7 @@ def learn(docs: DataFrame, min_rate: float = MIN_RATE, min_part: float = MIN_PAR
                 names=["slice", "cell", "mask"],
             )
 
-    placed = belongs.mapInArrow(place, "slice long, cell long, mask long")
+    placed = belongs.mapInArrow(lean(place), "slice long, cell long, mask long")
     filled = placed.groupBy("slice", "cell").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     masks = np.zeros(((len(langs) + 63) // 64, 1 << CELL_BITS), np.uint64)
     masks[filled.column("slice").to_numpy(), filled.column("cell").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
@@ -219,4 +219,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
 
-    return docs.select(*own).mapInArrow(run, schema)
+    return docs.select(*own).mapInArrow(lean(run), schema)

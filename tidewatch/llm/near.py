@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import DOCUMENT_COLUMNS, keep, whole_text, word_key
+from tidewatch.llm.common import DOCUMENT_COLUMNS, ROW_GROUP_BYTES, keep, lean, whole_text, word_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -156,7 +156,7 @@ def _sketched(docs: DataFrame, sketches) -> DataFrame:
                 out.append(sketch(kmers(words, hashes), sketches).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys), pa.array(out, schema.field(2).type)], schema=schema)
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key string, sketches array<long>")
+    rows = docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, key string, sketches array<long>")
     return keep(rows.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
 
 
@@ -186,7 +186,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 class _Block:
@@ -290,7 +290,7 @@ def _linked_in_blocks(members: DataFrame, texts: DataFrame, at_least: float) ->
         if block is not None and not closed and block.members:
             yield pairs(finish(now, block))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -319,12 +319,16 @@ def _looked_up(rows: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text, sketches) of the nodes, found by id and checked by key, kept."""
+    """(node, text, sketches) of the nodes, found by id and checked by key, kept.
+
+    Rows that repeat id and words find the same node; one of them is enough, and they are
+    cut down to it on the map side.
+    """
     nodes = keep(nodes.select("node", F.col("doc_id").alias("_id"), "key", "sketches"), "near-nodes")
     right = _looked_up(nodes.drop("sketches"))
     found = docs.select("doc_id", "text").join(right, F.col("doc_id").eqNullSafe(F.col("_id")))
-    found = found.where(word_key(whole_text()) == F.col("key")).select("node", "text")
-    return keep(found.join(nodes.select("node", "sketches"), "node"), "near-texts")
+    found = found.where(word_key(whole_text()) == F.col("key")).groupBy("node").agg(F.first("text").alias("text"))
+    return keep(found.join(nodes.select("node", "sketches"), "node"), "near-texts", ROW_GROUP_BYTES)
 
 
 def near_groups(docs: DataFrame, at_least: float = SIMILARITY, sketches=SKETCHES) -> DataFrame:

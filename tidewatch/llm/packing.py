@@ -9,6 +9,7 @@ lengths with the reachable sums as bits of one integer, and read back from its h
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -17,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import lean
+
 WINDOW = 2048
 END_ID = 1
 #: Remainders held by a task at a time; beyond it windows are closed until half are left.
@@ -36,16 +39,24 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
+#: tiktoken's splitting of a text gives up on white space of about 900,000 characters in a
+#: row; texts with a run of so many go to `tokenizers`.
+LONG_BLANK = 50_000
+_BLANK = re.compile(r"\s{%d}" % LONG_BLANK)
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str):
-    """text -> little-endian 32-bit ids as bytes.
+    """text -> little-endian 32-bit ids as bytes, for texts of any length.
 
     The vocabulary file is the one of the `tokenizers` library. Its merges are in the order
     of their ids, so tiktoken gives the same ids from the same file, five times as fast; a
     test holds both against each other. A special token's string in a text becomes its id.
     """
+    import numpy as np
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         raw = json.load(f)
@@ -55,7 +66,16 @@ def encoder(path: str):
     coder = tiktoken.Encoding(
         path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
     )
-    return lambda text: coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+    slow: list[Tokenizer] = []
+
+    def encode(text: str) -> bytes:
+        if len(text) < LONG_BLANK or not _BLANK.search(text):
+            return coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        if not slow:
+            slow.append(Tokenizer.from_file(path))
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    return encode
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[int]:
@@ -151,7 +171,8 @@ def pack_pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WI
     """One row per piece: doc_id, start, ids (little-endian 32-bit), doc_tokens,
     sequence_id, offset.
 
-    A null text is empty and gives the end id alone. Rows that repeat a doc_id are packed
+    A null text is empty and gives the end id alone; a text of any length is cut into as
+    many pieces as it needs. Rows that repeat a doc_id are packed
     each. Columns other than doc_id and text are ignored; an empty table gives no piece.
     Every partition packs its own documents, without a shuffle, in memory bounded by `pool`
     remainders; a sequence's number is its partition's followed by its own, so it follows
@@ -176,9 +197,10 @@ def pack_pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WI
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PIECES.types, strict=True)], schema=PIECES)
+        encoder.cache_clear()  # some 25 MB, which other work of this worker has no use for
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
+        lean(run), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
 
