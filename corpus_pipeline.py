@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidewatch.llm import language, lines, mixing, near, packing  # noqa: E402
-from tidewatch.llm.common import document_rows, documents, keep  # noqa: E402
+from tidewatch.llm.common import ROW_GROUP_BYTES, document_rows, documents, keep  # noqa: E402
 
 #: A document goes when so few of its n-grams belong to the language that fits it best.
 MIN_LANGUAGE_SCORE = 0.3
@@ -66,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written before the next reads them."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}", ROW_GROUP_BYTES)
     return STAGES[-1][1](spark, docs, sf_dir)
