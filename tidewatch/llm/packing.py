@@ -46,12 +46,13 @@ _BLANK = re.compile(r"\s{%d}" % LONG_BLANK)
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str):
+def encoder(path: str, plain: bool = False):
     """text -> little-endian 32-bit ids as bytes, for texts of any length.
 
     The vocabulary file is the one of the `tokenizers` library. Its merges are in the order
     of their ids, so tiktoken gives the same ids from the same file, five times as fast; a
-    test holds both against each other. A special token's string in a text becomes its id.
+    test holds both against each other. A special token's string in a text becomes its id,
+    or with `plain` is a text like any other.
     """
     import numpy as np
     import public_tokenizers
@@ -70,9 +71,11 @@ def encoder(path: str):
 
     def encode(text: str) -> bytes:
         if len(text) < LONG_BLANK or not _BLANK.search(text):
-            return coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            ids = coder.encode_to_numpy(text, allowed_special=set() if plain else "all", disallowed_special=())
+            return ids.astype("<u4").tobytes()
         if not slow:
             slow.append(Tokenizer.from_file(path))
+            slow[0].encode_special_tokens = plain
         return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     return encode

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, exact, language, licenses, lines, mixing, near, packing, pii, quality, runs
+from tidewatch.llm import alignment, chat, exact, language, licenses, lines, mixing, near, packing, pii, quality, runs
 from tidewatch.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return runs.digest(runs.find_runs(docs.withColumn("text", runs.with_planted_runs(F.col("doc_id"), F.col("text")))))
+
+
+@_query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir).select("doc_id", "text")).drop("groups")
