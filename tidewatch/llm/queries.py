@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import alignment, chat, exact, language, licenses, lines, mixing, near, packing, pii, quality, runs
+from tidewatch.llm import alignment, chat, exact, language, licenses, lines, mixing, near, packing, pii, quality, runs, substrings
 from tidewatch.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir).select("doc_id", "text")).drop("groups")
+
+
+@_query("op13_repeated_substrings")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.cut_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
