@@ -257,5 +257,7 @@ def with_planted_runs(doc_id: Column, text: Column) -> Column:
     n, g = F.size(words), F.floor(h / 10)
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    repeated = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+    whole = lambda c: c.cast("int")
+    periods = F.flatten(F.array_repeat(F.slice(words, whole(a + 1), whole(p)), whole(F.ceil((n - a) / p))))
+    repeated = F.concat(F.slice(words, F.lit(1), whole(a)), F.slice(periods, F.lit(1), whole(n - a)))
     return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
