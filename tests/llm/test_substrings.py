@@ -12,25 +12,20 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def brute(rows, length=100):
-    """Every string of every text, in the order of starts."""
-    key = lambda r: (r[0] is None, r[0] or 0, substrings.xxhash.xxh64_intdigest((r[1] or "").encode()) - (1 << 63))
-    signed = lambda r: (*key(r)[:2], substrings._order_of([0], [(r[1] or "").encode()])["text_key"][0])
-    seen, done = {}, {}
-    for place, r in sorted(((signed(r), r) for r in rows), key=lambda x: x[0]):
-        if place in done:
-            continue
-        text = (r[1] or "").encode()
+    """Every string of every text, in the order of starts; rows as the partitions hold them."""
+    seen, done = set(), {}
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)):
+        text = (rows[i][1] or "").encode()
         gone = bytearray(len(text))
-        for i in range(len(text) - length + 1):
-            s = text[i : i + length]
+        for at in range(len(text) - length + 1):
+            s = text[at : at + length]
             if s in seen:
-                gone[i : i + length] = b"\1" * length
-            else:
-                seen[s] = True
+                gone[at : at + length] = b"\1" * length
+            seen.add(s)
         kept = bytes(b for b, g in zip(text, gone, strict=True) if not g)
         n_spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        done[place] = (len(text), sum(gone), n_spans, hashlib.sha256(kept).hexdigest())
-    return [(r[0], *done[signed(r)]) for r in rows]
+        done[i] = (rows[i][0], len(text), sum(gone), n_spans, hashlib.sha256(kept).hexdigest())
+    return list(done.values())
 
 
 def in_order(rows):
@@ -54,7 +49,7 @@ def test_induced_sorting(monkeypatch, held, in_memory, block):
         for part in (some[:cut], some[cut:]):
             strings.add(np.frombuffer(b"".join(part), np.uint8), np.array([len(x) for x in part], int))
         most = rng.choice([3, 100])
-        got = [(int(k), int(i), int(n)) for b in strings.descending(most) for k, i, n in zip(*b, strict=True)]
+        got = [(int(k), int(i), int(n)) for p, shared in strings.descending(most) for k, i, n in zip(*strings.found(p), shared, strict=True)]
         every = [(k, i) for k, s in enumerate(some) for i in range(len(s))]
         assert [some[k][i:] for k, i, _ in got] == sorted((some[k][i:] for k, i in every), reverse=True)
         assert sorted((k, i) for k, i, _ in got) == every

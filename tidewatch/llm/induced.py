@@ -44,7 +44,8 @@ class Store:
 
     def array(self) -> np.ndarray:
         if self.file is None:
-            return np.concatenate(self.parts) if self.parts else np.zeros(0, self.kind)
+            self.parts = [np.concatenate(self.parts)] if self.parts else [np.zeros(0, self.kind)]
+            return self.parts[0]
         for part in self.parts:
             self.file.write(part.tobytes())
         self.parts = []
@@ -165,14 +166,14 @@ def _scans(text: np.ndarray, stars: np.ndarray, symbols: np.ndarray, most: int,
     nothing = np.zeros(0, np.uint8)
 
     def induced(queue, carry, place, shared, symbol, wanted: Callable[[np.ndarray], np.ndarray]):
-        before = text[place - 1].astype(np.int64)
+        before = text[place - 1]  # bytes stay 16 bits wide, which numpy sorts by radix
         at = np.flatnonzero(wanted(before))
+        before = before[at]
         if carry is None:
-            order = np.argsort(before[at], kind="stable")
-            queue.push(before[at][order], place[at][order] - 1, np.zeros(len(at), np.uint8))
+            order, more = np.argsort(before, kind="stable"), np.zeros(len(at), np.uint8)
         else:
-            order, more = carry.pushed(shared, at, before[at])
-            queue.push(before[at][order], place[at][order] - 1, more)
+            order, more = carry.pushed(shared, at, before)
+        queue.push(before[order], place[at[order]] - 1, more)
 
     def star_prefixes(some: np.ndarray, last: int | None) -> np.ndarray:
         if not most:
@@ -239,16 +240,27 @@ def _sorted_in_memory(text: np.ndarray) -> np.ndarray:
     """Places but 0 in the order of their suffixes, by doubling."""
     n = len(text)
     ends = np.flatnonzero(text == 0)
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    _, rank = np.unique(text, return_inverse=True)
-    h, longest = 1, int(to_end.max()) + 1
-    while h < longest:
-        at = np.minimum(np.arange(n) + h, n - 1)
-        ahead = np.where(to_end >= h, rank[at] + 1, 0)
-        _, new = np.unique(rank.astype(np.int64) * (n + 2) + ahead, return_inverse=True)
-        if new.max() == rank.max():
-            break
-        rank, h = new, 2 * h
+    to_end = np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(n)
+    order = np.argsort(text, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = text[order][1:] != text[order][:-1]
+    rank = np.empty(n, np.int64)  # of equal ones, the number of smaller ones
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    alone = new & np.append(new[1:], True)
+    open_, h, longest = order[~alone], 1, int(to_end.max()) + 1
+    while h < longest and len(open_):
+        old = rank[open_]
+        ahead = np.where(to_end[open_] >= h, rank[np.minimum(open_ + h, n - 1)] + 1, 0)
+        by = np.argsort(old * (n + 2) + ahead, kind="stable")
+        open_, old, ahead = open_[by], old[by], ahead[by]
+        at = np.arange(len(open_))
+        group, part = np.ones(len(open_), bool), np.ones(len(open_), bool)
+        group[1:] = old[1:] != old[:-1]
+        part[1:] = group[1:] | (ahead[1:] != ahead[:-1])
+        first = np.maximum.accumulate(np.where(part, at, 0))
+        rank[open_] = old + first - np.maximum.accumulate(np.where(group, at, 0))
+        open_ = open_[~(part & np.append(part[1:], True))]
+        h *= 2
     order = np.argsort(rank, kind="stable")
     return order[order > 0]
 
@@ -269,7 +281,6 @@ def _same_pieces(text: np.ndarray, a: np.ndarray, size_a: np.ndarray, b: np.ndar
 
 def _ordered_stars(text: np.ndarray, stars: np.ndarray, held: int, in_memory: int) -> np.ndarray:
     """The stars, given by place, in the order of their suffixes."""
-    symbols = np.unique(text[stars]).astype(np.int64)
     every = np.unique(np.concatenate([np.unique(text[i : i + (1 << 22)]) for i in range(0, len(text), 1 << 22)])).astype(np.int64)
     by_symbol = stars[np.argsort(text[stars], kind="stable")]
     ends = np.flatnonzero(text[stars] == 0)
@@ -277,11 +288,13 @@ def _ordered_stars(text: np.ndarray, stars: np.ndarray, held: int, in_memory: in
     size = np.append(np.diff(stars), 0) + 1
     size[ends] = 1
     number = np.zeros(len(stars), np.int64)
+    kind = np.int32 if len(stars) < 1 << 31 else np.int64
+    number_of = np.zeros(len(text), kind) if len(text) <= 8 * held else np.memmap(TemporaryFile(), kind, "w+", shape=(len(text),))
+    number_of[stars] = np.arange(1, len(stars) + 1)
     name, before = 1, None  # ends are 0; names are given from the largest down
     for place, _ in _scans(text, by_symbol, every, 0, held):
-        at = np.searchsorted(stars, place)
-        is_star = stars[np.minimum(at, len(stars) - 1)] == place
-        at = at[is_star]
+        at = number_of[place]
+        at = at[at > 0] - 1
         if not len(at):
             continue
         at = at if before is None else np.concatenate([[before], at])
@@ -290,7 +303,7 @@ def _ordered_stars(text: np.ndarray, stars: np.ndarray, held: int, in_memory: in
         number[at] = names
         name, before = int(names[-1]), int(at[-1])
     number = np.where(number > 0, name + 1 - number, 0)
-    del symbols, by_symbol
+    del number_of, by_symbol
     if name == len(stars) - len(ends):
         order = np.argsort(number, kind="stable")
     else:
@@ -327,15 +340,18 @@ class Strings:
         self.starts.add(begin + self.text.size)
         self.text.add(text)
 
-    def descending(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """All suffixes, largest first, in blocks of (string, place in it, prefix shared with
-        the suffix before it, `most` at most). Equal suffixes are in any order."""
+    def found(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of places, and the places in them."""
         starts = self.starts.array()
-        if not len(starts):
+        string = np.searchsorted(starts, place, "right") - 1
+        return string, place - starts[string]
+
+    def descending(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All suffixes, largest first, in blocks of (place, prefix shared with the suffix
+        before it, `most` at most). Equal suffixes are in any order."""
+        if not self.starts.size:
             return
         text, stars = self.text.array(), self.stars.array()
         order = _ordered_stars(text, stars, self.held, self.in_memory)
         symbols = np.flatnonzero(np.bincount(text, minlength=257)) if len(text) < 1 << 22 else np.arange(257)
-        for place, shared in _scans(text, order, symbols, most, self.held):
-            string = np.searchsorted(starts, place, "right") - 1
-            yield string, place - starts[string], shared
+        yield from _scans(text, order, symbols, most, self.held)

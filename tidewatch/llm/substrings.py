@@ -3,7 +3,7 @@
 A byte goes when a string of `length` bytes that covers it also starts earlier. Only places
 that can repeat are sorted:
 
-1. Of each `length` bytes, the piece of 32 bytes with the least hash is an anchor. Equal
+1. Of each `length` bytes, the piece of 48 bytes with the least hash is an anchor. Equal
    strings have equal anchors, so a string repeats only where its anchor does. An anchor's
    context is all the bytes that strings with this anchor can cover.
 2. Anchors meet by hash. A context that is equal to an earlier one goes as a whole; of equal
@@ -37,25 +37,30 @@ from tidewatch.llm.near import _mixed
 from tidewatch.session import scratch_folder
 
 LENGTH = 100
-PIECE = 32
+PIECE = 48
 #: Bytes of text in a chunk, and bytes that are hashed at a time.
 CHUNK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 #: An anchor with more contexts than this is dealt by longer pieces.
-MANY = 512
+MANY = 8192
 #: Places of the anchor in the strings of one deal then; they share length - STEP + 1 bytes.
-STEP = 8
+STEP = 16
+#: Shards for each partition that the session shuffles into.
+SHARDS = 2
+#: Bits of a chunk's number that count the chunks of a partition.
+CHUNK_BITS = 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
 def _piece_hashes(flat: np.ndarray) -> np.ndarray:
-    """The hash of the 32 bytes from each place on."""
+    """The hash of the piece from each place on."""
     h = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)[flat]
     size = 1
     while size < PIECE:
-        h = _mixed(h[: len(h) - size] * _ODD + h[size:])
-        size *= 2
+        step = min(size, PIECE - size)
+        h = _mixed(h[: len(h) - step] * _ODD + h[step:])
+        size += step
     return h
 
 
@@ -159,7 +164,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     """(chunk, body): all texts, packed; kept in a table bucketed by chunk."""
 
     def run(batches):
-        chunk, ids, texts, size = TaskContext.get().partitionId() << 33, [], [], 0
+        chunk, ids, texts, size = TaskContext.get().partitionId() << CHUNK_BITS, [], [], 0
 
         def packed():
             body = _pack(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], schema=_TEXTS))
@@ -170,7 +175,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 ids.append(doc)
                 texts.append((text.as_py() or "").encode())
                 size += len(texts[-1])
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_BYTES or len(ids) == 1 << DOC_BITS:
                     yield packed()
                     chunk, ids, texts, size = chunk + 1, [], [], 0
         if ids:
@@ -183,16 +188,24 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-#: What moves: kind 0, bytes that go; 1, an anchor or, later, a context that is wanted.
-_FOUND_SCHEMA = pa.schema(
-    [
-        ("kind", pa.int32()), ("key", pa.int64()), ("context", pa.int64()), ("unknown", pa.bool_()), ("doc_id", pa.int64()),
-        ("text_key", pa.int64()), ("chunk", pa.int64()), ("doc", pa.int32()), ("place", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()),
-    ]
-)
-_FOUND = "kind int, key long, context long, unknown boolean, doc_id long, text_key long, chunk long, doc int, place int, begin int, end int"
-#: The order of starts: rows without an id come last, rows of one id are told apart by text.
-_ORDER = ("unknown", "doc_id", "text_key", "place")
+#: What moves: bytes that go (kind 0: `doc_id` is their begin, `spot` their end), and anchors
+#: (kind 1); `row` numbers the rows of the table, `spot` is a place and its context's reach.
+_FOUND_SCHEMA = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("spot", pa.int64())])
+_FOUND = "kind byte, key long, context long, doc_id long, row long, spot long"
+#: Bits of a row's number that are its place in its chunk, and of a spot on each side.
+DOC_BITS, REACH_BITS = 20, 8
+#: Rows without an id come last.
+_NO_ID = (1 << 63) - 1
+
+
+def _spot(place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return place << 2 * REACH_BITS | (place - begin) << REACH_BITS | (end - place)
+
+
+def _reach(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """place, begin and end of the context."""
+    place, most = spot >> 2 * REACH_BITS, (1 << REACH_BITS) - 1
+    return place, place - (spot >> REACH_BITS & most), place + (spot & most)
 
 
 def _rows(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -200,27 +213,32 @@ def _rows(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_FOUND_SCHEMA)
 
 
+def _gone(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Bytes that go, merged; they meet no others and are spread over all tasks."""
+    rows, own = np.unique(row, return_inverse=True)
+    sizes = np.zeros(len(rows), np.int64)
+    np.maximum.at(sizes, own, end)
+    own, begin, end = spans(sizes, own, begin, end)
+    row, n = rows[own], len(own)
+    spread = _mixed((row * 1_000_003 + begin).astype(np.uint64)).view(np.int64)
+    return _rows({"kind": np.zeros(n), "key": spread, "context": np.zeros(n), "doc_id": begin, "row": row, "spot": end})
+
+
 def _at(columns: dict[str, np.ndarray], some) -> dict[str, np.ndarray]:
     return {name: c[some] for name, c in columns.items()}
 
 
-def _later(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key, context and order: where a context begins, and which rows come
-    after the first place of their context. Rows that repeat an id and a text share places."""
+def _contexts_of(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key and context: where a key and where a context begins."""
     n = len(columns["key"])
-    new, first_place = np.ones(n, bool), np.ones(n, bool)
-    new[1:] = (columns["key"][1:] != columns["key"][:-1]) | (columns["context"][1:] != columns["context"][:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    for name in _ORDER:
-        first_place &= columns[name] == columns[name][first]
-    return new, ~first_place
+    new_key, new = np.ones(n, bool), np.ones(n, bool)
+    new_key[1:] = columns["key"][1:] != columns["key"][:-1]
+    new[1:] = new_key[1:] | (columns["context"][1:] != columns["context"][:-1])
+    return new_key, new
 
 
-def _order_of(ids: list[int | None], texts: list[bytes]) -> dict[str, np.ndarray]:
-    return {
-        "unknown": np.array([i is None for i in ids], bool), "doc_id": np.array([0 if i is None else i for i in ids], np.int64),
-        "text_key": np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64),
-    }
+def _known(ids: list[int | None]) -> np.ndarray:
+    return np.array([_NO_ID if i is None else i for i in ids], np.int64)
 
 
 def _anchored(length: int):
@@ -235,62 +253,63 @@ def _anchored(length: int):
                 if not found:
                     continue
                 doc, place, key, first, last, context = (np.concatenate(c) for c in zip(*found, strict=True))
-                columns = _at(_order_of(ids, texts), doc) | {
-                    "key": key.view(np.int64), "context": context.view(np.int64), "chunk": np.full(len(doc), chunk), "doc": doc,
-                    "place": place, "begin": first, "end": last,
+                columns = {
+                    "key": key.view(np.int64), "context": context.view(np.int64), "doc_id": _known(ids)[doc],
+                    "row": chunk << DOC_BITS | doc, "spot": _spot(place, first, last),
                 }
-                columns = _at(columns, np.lexsort((*(columns[c] for c in reversed(_ORDER)), columns["context"], columns["key"])))
-                _, later = _later(columns)
-                columns["kind"] = (~later).astype(np.int32)
-                # bytes that go meet no others; they are spread over all tasks
-                spread = _mixed((columns["begin"] * 1_000_003 + columns["doc"]).astype(np.uint64)).view(np.int64)
-                columns["key"] = np.where(later, spread, columns["key"])
-                for i in range(0, len(doc), 65_536):
+                columns = _at(columns, np.lexsort([columns[c] for c in ("spot", "row", "doc_id", "context", "key")]))
+                _, new = _contexts_of(columns)
+                if not new.all():
+                    _, begin, end = _reach(columns["spot"][~new])
+                    yield _gone(columns["row"][~new], begin, end)
+                columns = _at(columns, new) | {"kind": np.ones(int(new.sum()))}
+                for i in range(0, len(columns["key"]), 65_536):
                     yield _rows(_at(columns, slice(i, i + 65_536)))
 
     return run
 
 
 def _wanted(batches) -> Iterator[pa.RecordBatch]:
-    """For rows sorted by kind, key, context and order: the bytes that go, and the first places
-    of the contexts of anchors that have several; `context` then counts them in an anchor.
+    """For rows sorted by kind, key, context and order: the bytes that go, and the first row of
+    each context of anchors that have several; `context` then counts them in an anchor.
 
-    What a batch leaves open is its last context: its first rows, whether they were given
+    What a batch leaves open is its last context: its first row, whether that was given
     already, and its number among the contexts of its anchor.
     """
     held, given, number = None, False, 1
     for batch in batches:
-        columns = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(_FOUND_SCHEMA)}
+        columns = {f.name: batch.column(i).to_numpy() for i, f in enumerate(_FOUND_SCHEMA)}
         gone = columns["kind"] == 0
         if gone.any():
             yield _rows(_at(columns, gone))
             columns = _at(columns, ~gone)
-        carried = 0 if held is None else len(held["key"])
         if held is not None:
             columns = {name: np.concatenate([held[name], c]) for name, c in columns.items()}
-        n, key = len(columns["key"]), columns["key"]
+        n = len(columns["key"])
         if not n:
             continue
-        new, later = _later(columns)
-        if later.any():
-            yield _rows(_at(columns, later) | {"kind": np.zeros(int(later.sum()), np.int32)})
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        new_key, new = _contexts_of(columns)
+        if not new.all():
+            _, begin, end = _reach(columns["spot"][~new])
+            yield _gone(columns["row"][~new], begin, end)
+        starts = np.flatnonzero(new_key)
         sizes = np.diff(np.append(starts, n))
         nth = np.cumsum(new)
         nth = nth - np.repeat(nth[starts], sizes) + 1
-        if carried:
+        if held is not None:
             nth[: sizes[0]] += number - 1
         several = np.repeat(nth[starts + sizes - 1] > 1, sizes)
-        ask = several & ~later
-        ask[:carried] &= not given
+        ask = several & new
+        ask[0] &= held is None or not given
         if ask.any():
             yield _rows(_at(columns, ask) | {"context": nth[ask]})
-        held = _at(columns, (key == key[-1]) & (nth == nth[-1]) & ~later)
-        given, number = bool(several[-1]), int(nth[-1])
+        last = int(np.flatnonzero(new)[-1])
+        held, given, number = _at(columns, slice(last, last + 1)), bool(several[-1]), int(nth[-1])
 
 
-_CONTEXTS = "deal long, unknown boolean, doc_id long, text_key long, chunk long, doc int, begin int, bytes binary"
-_WANT = ("doc", "place", "begin", "end", "key", "many")
+_CONTEXTS = "deal long, doc_id long, row long, begin int, bytes binary"
+_CONTEXTS_SCHEMA = pa.schema([("deal", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("begin", pa.int32()), ("bytes", pa.binary())])
+_WANT = ("row", "spot", "key", "many")
 
 
 def _contexts(length: int):
@@ -298,49 +317,38 @@ def _contexts(length: int):
 
     An anchor with many contexts is dealt by more of the strings: those whose anchor lies
     `STEP` places or fewer apart have length - STEP + 1 bytes in common, whose hash deals
-    them, and form a context that is shorter; equal ones of a chunk are moved once.
+    them, and form a context that is shorter.
     """
 
     def run(batches):
-        schema = pa.schema(
-            [
-                ("deal", pa.int64()), ("unknown", pa.bool_()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("chunk", pa.int64()),
-                ("doc", pa.int32()), ("begin", pa.int32()), ("bytes", pa.binary()),
-            ]
-        )
         for batch in batches:
             for chunk, body, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 ids, texts = _unpack(body.as_py())
-                order = _order_of(ids, texts)
+                row, spot, key, many = (wants.values.field(c).to_numpy(zero_copy_only=False) for c in _WANT)
+                doc = row - (chunk << DOC_BITS)
                 out: list[tuple[int, int, int, bytes]] = []
-                for doc, place, begin, end, key, many in zip(*(wants.values.field(c).to_pylist() for c in _WANT), strict=True):
-                    if not many:
-                        out.append((key, doc, begin, texts[doc][begin:end]))
+                for d, place, begin, end, k, m in zip(*(x.tolist() for x in (doc, *_reach(spot), key, many)), strict=True):
+                    if not m:
+                        out.append((k, d, begin, texts[d][begin:end]))
                         continue
                     for low in range(0, length - PIECE + 1, STEP):
                         # the strings that start at place - high, ..., place - low and lie in the context
                         high = min(low + STEP - 1, length - PIECE)
                         first, last = max(begin, place - high), min(end, place - low + length)
                         if last - first >= length:
-                            common = texts[doc][place - low : place - high + length]
+                            common = texts[d][place - low : place - high + length]
                             deal = xxhash.xxh64_intdigest(common, low + 1) - (1 << 63)
-                            out.append((deal, doc, first, texts[doc][first:last]))
-                if not out:
-                    continue
-                deal, doc, begin, bytes_ = zip(*out, strict=True)
-                at = np.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(deal, pa.int64()), pa.array(order["unknown"][at]), pa.array(order["doc_id"][at]), pa.array(order["text_key"][at]),
-                        pa.array(np.full(len(at), chunk)), pa.array(at.astype(np.int32)), pa.array(begin, pa.int32()), pa.array(bytes_, pa.binary()),
-                    ],
-                    schema=schema,
-                )
+                            out.append((deal, d, first, texts[d][first:last]))
+                for i in range(0, len(out), 65_536):
+                    deal, d, begin, bytes_ = zip(*out[i : i + 65_536], strict=True)
+                    at = np.array(d)
+                    columns = [deal, _known(ids)[at], chunk << DOC_BITS | at, begin, bytes_]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CONTEXTS_SCHEMA.types, strict=True)], schema=_CONTEXTS_SCHEMA)
 
     return run
 
 
-_GONE = "chunk long, doc int, begin int, end int"
+_GONE = "row long, begin int, end int"
 
 
 def _sorted_shard(length: int):
@@ -350,50 +358,55 @@ def _sorted_shard(length: int):
     def run(batches):
         strings, facts = Strings(), []
         for batch in batches:
-            bytes_ = batch.column(7)
-            sizes = np.array([len(x.as_py()) for x in bytes_])
-            strings.add(np.frombuffer(b"".join(bytes_.to_pylist()), np.uint8), sizes)
-            facts.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)])
+            bytes_ = batch.column(4).to_pylist()
+            strings.add(np.frombuffer(b"".join(bytes_), np.uint8), np.array([len(x) for x in bytes_], np.int64))
+            facts.append([batch.column(i).to_numpy() for i in range(1, 4)])
         if not facts:
             return
-        unknown, doc_id, text_key, chunk, doc, begin = (np.concatenate(c) for c in zip(*facts, strict=True))
-        order = np.lexsort((text_key, doc_id, unknown))
+        doc_id, row, begin = (np.concatenate(c) for c in zip(*facts, strict=True))
+        order = np.lexsort((row, doc_id))
         new = np.zeros(len(order), np.int64)
-        new[1:] = (unknown[order][1:] != unknown[order][:-1]) | (doc_id[order][1:] != doc_id[order][:-1]) | (text_key[order][1:] != text_key[order][:-1])
+        new[1:] = row[order][1:] != row[order][:-1]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(new)
+        gone, open_ = [np.zeros(0, np.int64)], np.zeros(0, np.int64)
 
-        gone: list[np.ndarray] = []
-        open_: list[np.ndarray] = []  # suffixes of the string that the last block may not have ended
-
-        def close(string, place, group):
-            """All but the earliest of each group."""
-            start = rank[string] << 32 | (begin[string] + place)
+        def late(place: np.ndarray, group: np.ndarray) -> np.ndarray:
+            """All but the earliest of each group, as string and place in it."""
+            string, at = strings.found(place)
+            start = rank[string] << 32 | (begin[string] + at)
             first = np.minimum.reduceat(start, group)
-            late = start > np.repeat(first, np.diff(np.append(group, len(start))))
-            gone.append(string[late] << 32 | place[late])
-
-        for string, place, shared in strings.descending(length):
-            block = np.stack([string, place, (shared >= length).astype(np.int64)])
-            if open_:
-                block = np.concatenate([*open_, block], axis=1)
-            group = np.flatnonzero(block[2] == 0) if block[2, 0] == 0 else np.concatenate([[0], np.flatnonzero(block[2] == 0)])
-            last = int(group[-1])
-            if last:
-                close(block[0, :last], block[1, :last], group[:-1])
-            open_ = [block[:, last:]]
-        if open_:
-            close(open_[0][0], open_[0][1], np.array([0]))
-        late = np.sort(np.concatenate(gone))
-        if not len(late):
+            later = start > np.repeat(first, np.diff(np.append(group, len(start))))
+            return string[later] << 32 | at[later]
+
+        # suffixes that share so much follow each other; a block may leave its last ones open
+        for place, shared in strings.descending(length):
+            same = shared >= length
+            if len(open_) and not same[0]:
+                if len(open_) > 1:
+                    gone.append(late(open_, np.array([0])))
+                open_ = open_[:0]
+            place, same = np.concatenate([open_, place]), np.concatenate([np.arange(len(open_)) > 0, same])
+            if len(open_):
+                same[len(open_)] = True
+            starts = np.flatnonzero(~same)
+            last = int(starts[-1])
+            some = np.flatnonzero(same[:last] | np.append(same[1:last], False)[:last])  # in groups of several
+            if len(some):
+                gone.append(late(place[some], np.flatnonzero(~same[some])))
+            open_ = place[last:]
+        if len(open_) > 1:
+            gone.append(late(open_, np.array([0])))
+        found = np.sort(np.concatenate(gone))
+        if not len(found):
             return
-        first = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1] + 1]))
-        last = np.append(first[1:], len(late)) - 1
-        string = late[first] >> 32
-        low, high = late[first] & 0xFFFFFFFF, (late[last] & 0xFFFFFFFF) + length
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1] + 1]))
+        last = np.append(first[1:], len(found)) - 1
+        string = found[first] >> 32
+        low, high = found[first] & 0xFFFFFFFF, (found[last] & 0xFFFFFFFF) + length
         yield pa.RecordBatch.from_arrays(
-            [pa.array(chunk[string]), pa.array(doc[string]), pa.array((begin[string] + low).astype(np.int32)), pa.array((begin[string] + high).astype(np.int32))],
-            names=["chunk", "doc", "begin", "end"],
+            [pa.array(row[string]), pa.array((begin[string] + low).astype(np.int32)), pa.array((begin[string] + high).astype(np.int32))],
+            names=["row", "begin", "end"],
         )
 
     return run
@@ -416,11 +429,11 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed"
 
 def _cut(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for body, found in zip(batch.column(0), batch.column(1), strict=True):
+        for chunk, body, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             ids, texts = _unpack(body.as_py())
             sizes = np.array([len(t) for t in texts], np.int64)
-            given = [found.values.field(i).to_numpy().astype(np.int64) for i in range(3)] if found.is_valid else [np.zeros(0, np.int64)] * 3
-            own, begin, end = spans(sizes, *given)
+            row, begin, end = (found.values.field(i).to_numpy().astype(np.int64) for i in range(3)) if found.is_valid else (np.zeros(0, np.int64),) * 3
+            own, begin, end = spans(sizes, row - (chunk << DOC_BITS), begin, end)
             removed, n = np.zeros(len(ids), np.int64), np.bincount(own, minlength=len(ids))
             np.add.at(removed, own, end - begin)
             kept, at = texts, np.cumsum(n) - n
@@ -436,9 +449,9 @@ def _cut(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _per_chunk(chunks: DataFrame, rows: DataFrame, columns: tuple[str, ...], how: str) -> DataFrame:
-    """(body, found): each chunk with the rows found for it, whose number its size bounds."""
-    found = rows.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias("found"))
-    return chunks.join(found, "chunk", how)
+    """Each chunk with the rows found for it, whose number its size bounds."""
+    found = rows.groupBy(F.shiftright("row", DOC_BITS).alias("chunk")).agg(F.collect_list(F.struct(*columns)).alias("found"))
+    return chunks.join(found, "chunk", how).select("chunk", "body", "found")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -447,27 +460,27 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A byte goes when a string of `length` bytes that covers it also starts earlier: in a row
     of smaller doc_id or earlier in the same text. A null text is empty. Rows with a null
-    doc_id come after all others; rows of one doc_id are ordered by a hash of their texts,
-    and those that repeat both count as one document, so each keeps what the other does.
-    Texts of any length are hashed in parts. Columns other than doc_id and text are ignored;
-    an empty table gives an empty one.
+    doc_id come after all others; rows that share a doc_id, or have none, follow each other
+    as the table's partitions hold them. Texts of any length are hashed in parts. Columns
+    other than doc_id and text are ignored; an empty table gives an empty one.
 
     A task holds one chunk of texts, or the contexts of a shard's anchors, which it sorts
     with files of its own beyond a bound. Contexts of the same anchor count as equal when two
     64-bit hashes are; where they differ the bytes decide.
     """
+    if not PIECE + STEP <= length < PIECE + (1 << REACH_BITS) or length >= 1 << REACH_BITS:
+        raise ValueError(f"length must be at least {PIECE + STEP} and below {1 << REACH_BITS}")
     chunks = _chunks(docs)
-    rows = chunks.mapInArrow(lean(_anchored(length)), _FOUND).repartition("key").sortWithinPartitions("kind", "key", "context", *_ORDER)
-    found = rows.mapInArrow(lean(_wanted), _FOUND).select("kind", "key", "context", "chunk", "doc", "place", "begin", "end")
-    found = keep(found, "substring-found")
+    rows = chunks.mapInArrow(lean(_anchored(length)), _FOUND).repartition("key").sortWithinPartitions("kind", "key", "context", "doc_id", "row", "spot")
+    found = keep(rows.mapInArrow(lean(_wanted), _FOUND), "substring-found")
     wanted = found.where("kind = 1")
     # at most one anchor in MANY wanted contexts has many
     many = wanted.where(F.col("context") > MANY).select("key").distinct().withColumn("many", F.lit(True))
     wanted = wanted.join(many, "key", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    contexts = _per_chunk(chunks, wanted, _WANT, "inner").select("chunk", "body", "found").mapInArrow(lean(_contexts(length)), _CONTEXTS)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = keep(contexts.repartition(parts, "deal").mapInArrow(lean(_sorted_shard(length)), _GONE), "substring-sorted")
-    gone = found.where("kind = 0").select("chunk", "doc", "begin", "end").unionByName(sorted_)
-    return _per_chunk(chunks, gone, ("doc", "begin", "end"), "left").select("body", "found").mapInArrow(
+    contexts = _per_chunk(chunks, wanted, _WANT, "inner").mapInArrow(lean(_contexts(length)), _CONTEXTS)
+    shards = SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = keep(contexts.repartition(shards, "deal").mapInArrow(lean(_sorted_shard(length)), _GONE), "substring-sorted")
+    gone = found.where("kind = 0").select("row", F.col("doc_id").cast("int").alias("begin"), F.col("spot").cast("int").alias("end"))
+    return _per_chunk(chunks, gone.unionByName(sorted_), ("row", "begin", "end"), "left").mapInArrow(
         lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
