@@ -3,6 +3,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import ODD_TEXTS, empty_documents, odd_documents, rows_of
 from tidewatch.llm import exact, lines, mixing
 
@@ -34,6 +35,18 @@ def test_targets(spark, sizes):
         assert math.isclose(r["target"], want[r["source"]], rel_tol=1e-12)
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    """Rows without an id, with one id, and equal rows draw each: sources come near their targets."""
+    rows = [(None, " ".join(["w"] * (1 + i % 7)) + f" {i}", "a") for i in range(3000)]
+    rows += [(5, f"some words {i}", "b") for i in range(3000)] + [(6, "equal rows of four", "c")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    planned = mixing.plan_mix(docs)
+    got = planned.groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert len(got) == 3 and all(abs(r["taken"] / r["t"] - 1) < 0.1 for r in got)
+    again = lambda: sorted(map(str, planned.select("text", "copies").collect()))
+    assert again() == again()
+
+
 def test_mix_odd_rows(spark):
     docs = odd_documents(spark)
     planned = rows_of(mixing.plan_mix(docs))
@@ -96,7 +109,7 @@ def test_line_dedup(spark):
     rows += [(100 + i, "header\nfooter", "small", 0) for i in range(5)]
     rows += [(200, None, None, 0), (201, "", None, 0), (202, "header", "h", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines long")
-    got = {r["doc_id"]: r for r in rows_of(lines.dedup_lines(docs, ratio=0.5, min_pages=20))}
+    got = {r["doc_id"]: r for r in rows_of(lines.dedup_lines(docs, ratio=0.5))}
     assert len(got) == len(rows)
     for i in range(40):
         assert got[i]["text"] == (f" own {i}" if i % 4 else f" own {i}\nrare")
@@ -106,20 +119,20 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_odd_rows(spark):
-    got = rows_of(lines.dedup_lines(odd_documents(spark), min_pages=1, ratio=0.9))
+    got = rows_of(lines.dedup_lines(odd_documents(spark), min_support=1, ratio=0.9))
     assert len(got) == len(ODD_TEXTS) + 2
     assert rows_of(lines.dedup_lines(empty_documents(spark))) == []
-    shuffled = rows_of(lines.dedup_lines(odd_documents(spark), min_pages=2, ratio=0.1))
+    shuffled = rows_of(lines.dedup_lines(odd_documents(spark), min_support=2, ratio=0.1))
     lines.BROADCAST_BYTES, saved = -1, lines.BROADCAST_BYTES
     try:
-        again = rows_of(lines.dedup_lines(odd_documents(spark), min_pages=2, ratio=0.1))
+        again = rows_of(lines.dedup_lines(odd_documents(spark), min_support=2, ratio=0.1))
     finally:
         lines.BROADCAST_BYTES = saved
     assert sorted(map(str, again)) == sorted(map(str, shuffled))
 
 
 def test_line_dedup_leaves_whole_copies(spark):
-    """Without copies, a group of them above the ratio keeps its text; a footer still goes."""
+    """A group of copies above the ratio keeps its text; a footer still goes."""
     copy = "first line of a text\nsecond line of it\nfooter"
     rows = [(i, copy if i % 2 else copy.replace(" ", "  "), "h") for i in range(30)]
     rows += [(100 + i, f"own {i}\nfooter", "h") for i in range(60)]
@@ -128,13 +141,13 @@ def test_line_dedup_leaves_whole_copies(spark):
     for limit in (lines.BROADCAST_BYTES, -1):
         lines.BROADCAST_BYTES, saved = limit, lines.BROADCAST_BYTES
         try:
-            got = {r["doc_id"]: r["text"] for r in rows_of(lines.dedup_lines(docs, copies=False))}
+            got = {r["doc_id"]: r["text"] for r in rows_of(lines.dedup_lines(docs))}
         finally:
             lines.BROADCAST_BYTES = saved
         assert len(got) == len(rows)
         assert got[1] == "first line of a text\nsecond line of it" and got[0] == got[1].replace(" ", "  ")
         assert all(got[100 + i] == f"own {i}" for i in range(60)) and all(got[200 + i] == f"text {max(i, 1)}" for i in range(25))
-    assert rows_of(lines.dedup_lines(empty_documents(spark), copies=False)) == []
+    assert rows_of(lines.dedup_lines(empty_documents(spark))) == []
 
 
 def test_pipeline_keeps_a_text_with_copies(spark):

@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.01"
 
 def test_all_registered():
     names = entry_file.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import keep, whole_text, word_key
 
 RATIO = 0.05
-MIN_PAGES = 20
-#: For hosts of every size: a line on fewer pages is no boilerplate.
+#: A line on fewer pages is no boilerplate, whatever the size of its host.
 MIN_SUPPORT = 3
 #: The boilerplate lines of all hosts may be broadcast up to so many bytes.
 BROADCAST_BYTES = 16 * 1024 * 1024
@@ -29,46 +28,30 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    copies: bool = True, min_support: int = 1,
-) -> DataFrame:
-    """(_host, _keys): per host the keys of its lines on more than `ratio` of its pages.
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(_host, _keys): per host the keys of its lines on more than `ratio` of its pages and
+    on `min_support` of them at least.
 
-    Hosts of fewer than `min_pages` pages have none: on them each line would be frequent.
-    A page counts once for a line however often the line is on it. Without `copies`, the
-    pages of a host with the same words count as one. A line on fewer than `min_support`
-    pages is none, whatever the size of its host. A host's array has at most (mean
-    lines per page) / ratio keys, whatever the number of its pages. Lines are counted on
-    the map side before anything is shuffled, so hot hosts and hot lines cost one row per
-    task.
+    Pages of a host with the same words count as one, so whole copies make no line frequent,
+    and a page counts once for a line however often the line is on it. A host's array has at
+    most (mean lines per page) / ratio keys, whatever the number of its pages. Lines are
+    counted on the map side before anything is shuffled, so hot hosts and hot lines cost one
+    row per task: first by rows, which are no fewer than pages, and only the lines that are
+    frequent by rows are then counted by pages.
     """
     pages = docs.select(F.col(host).alias("_host"), whole_text(text).alias("_text"))
-    if copies:
-        totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    else:
-        texts = pages.select("_host", F.unhex(word_key(F.col("_text"))).alias("_page")).distinct()
-        totals = keep(texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")), "line-totals")
+    texts = pages.select("_host", F.unhex(word_key(F.col("_text"))).alias("_page")).distinct()
+    totals = keep(texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")), "line-totals")
     keys = F.array_distinct(F.transform(_lines(F.col("_text")), line_key))
-    counted = (
-        pages.select("_host", F.explode(keys).alias("_key"))
-        .where("_key is not null")
-        .groupBy("_host", "_key")
-        .agg(F.count(F.lit(1)).alias("_on"))
-    )
 
     def frequent(counted: DataFrame) -> DataFrame:
-        # a line on more than ratio of at least min_pages pages is on more than ratio * min_pages
-        enough = counted.where((F.col("_on") > ratio * min_pages) & (F.col("_on") >= min_support)).withColumnRenamed("_host", "_h")
-        enough = enough.join(totals, F.col("_h").eqNullSafe(F.col("_host"))).where(
-            (F.col("_pages") >= min_pages) & (F.col("_on") > F.lit(ratio) * F.col("_pages"))
-        )
+        enough = counted.where(F.col("_on") >= min_support).withColumnRenamed("_host", "_h")
+        enough = enough.join(totals, F.col("_h").eqNullSafe(F.col("_host"))).where(F.col("_on") > F.lit(ratio) * F.col("_pages"))
         return enough.groupBy("_host").agg(F.collect_list("_key").alias("_keys"))
 
-    if copies:
-        return frequent(counted)
-    # only lines on so many rows can be on so many texts; of these the texts are counted
-    some = keep(frequent(counted), "line-candidates").withColumnRenamed("_host", "_h")
+    counted = pages.select("_host", F.explode(keys).alias("_key")).where("_key is not null")
+    some = frequent(counted.groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_on")))
+    some = keep(some, "line-candidates").withColumnRenamed("_host", "_h")
     near = pages.join(_at_hand(some, "_h"), F.col("_host").eqNullSafe(F.col("_h")))
     near = near.select("_host", F.unhex(word_key(F.col("_text"))).alias("_page"), F.explode(F.array_intersect(keys, "_keys")).alias("_key"))
     return frequent(near.distinct().groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_on")))
@@ -81,22 +64,17 @@ def _at_hand(found: DataFrame, host: str = "_host") -> DataFrame:
     return F.broadcast(found) if small else found
 
 
-def dedup_lines(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    copies: bool = True, min_support: int = 1,
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_support: int = MIN_SUPPORT) -> DataFrame:
     """Every row of `docs` with its boilerplate lines taken out of `text`, plus `n_lines`
     and `n_dropped`.
 
     Blank lines are kept and not counted as boilerplate; `n_lines` counts all lines. A null
-    text stays null with no lines; rows with a null host form one host. Rows that repeat
-    count as pages each; without `copies` all rows of a host with the same words count as
-    one page. `min_support` asks for so many pages of each line, as `min_pages` does of each
-    host. A page whose every line is boilerplate stays, with an empty text.
-    Columns named n_lines or n_dropped in the input are replaced, other columns stay. An
-    empty table gives an empty one.
+    text stays null with no lines; rows with a null host form one host. Rows of a host with
+    the same words, repeated ones among them, count as one page, and lose the same lines. A
+    page whose every line is boilerplate stays, with an empty text. Columns named n_lines or
+    n_dropped in the input are replaced, other columns stay. An empty table gives an empty one.
     """
-    found = keep(boilerplate(docs, host, text, ratio, min_pages, copies, min_support), "line-boilerplate")
+    found = keep(boilerplate(docs, host, text, ratio, min_support), "line-boilerplate")
     joined = docs.join(_at_hand(found), F.col(host).eqNullSafe(F.col("_host")), "left")
     lines = _lines(F.col(text))
     kept = F.filter(

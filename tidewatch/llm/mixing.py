@@ -2,7 +2,7 @@
 
 Tokens (words) are summed per source, the sums give each source a target and a
 repetition rate, and every document is taken floor(rate) times plus once more with
-the probability of the fraction, decided by a hash of its id.
+the probability of the fraction, decided by a hash of its id and text.
 """
 
 from __future__ import annotations
@@ -73,17 +73,37 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: in
     return weighed.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) that depends on the id alone: 32 bits of its MD5."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What a row is drawn by: its id and the MD5 of its text."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def draw(key: Column) -> Column:
+    """A number in [0, 1) that depends on the key alone: 32 bits of its MD5."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds `_draw`: the key, and for rows that repeat a key the row's number in the table."""
+    docs = docs.withColumn("_draw", row_key(F.col("doc_id"), F.col("text")))
+    twice = docs.groupBy("_draw").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_draw").alias("_twice"))
+    twice = keep(twice, "mix-repeated")
+    n = twice.count()
+    if not n:
+        return docs
+    right = F.broadcast(twice) if n * 64 <= BROADCAST_BYTES else twice
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).join(right, F.col("_draw") == F.col("_twice"), "left")
+    number = F.when(F.col("_twice").isNotNull(), F.concat(F.col("_draw"), F.lit(":"), F.col("_row").cast("string")))
+    return numbered.withColumn("_draw", F.coalesce(number, "_draw")).drop("_row", "_twice")
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """Every row of `docs` with `size`, `source_size`, `target` and `copies`.
 
     `size` counts words (null text: 0). Rows that repeat a doc_id are rows like any
-    other; they draw the same number. A null source is a source of its own, sorted last.
+    other and draw each, by id and text, and where these repeat too by their number in the
+    table. A source's taken words come near its target as chance has it: by about the square
+    root of the sum of its documents' squared sizes. A null source is a source of its own, sorted last.
     Columns of these four names in the input are replaced, other columns stay.
     A source without words has rate 0, so its documents are not taken. An empty table
     gives an empty one.
@@ -92,8 +112,8 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3)
     row per task; the documents themselves are not moved while the table of sources is
     small, which is measured.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = docs.select(*own, word_count(whole_text()).alias("size"))
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "_draw")]
+    sized = _keyed(docs.select(*own)).withColumn("size", word_count(whole_text()))
     targets = keep(source_targets(docs.select("source", word_count(whole_text()).alias("size")), weights, cap), "mix-targets")
     small = targets.agg(
         F.coalesce(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + F.lit(64)), F.lit(0)).alias("bytes")
@@ -103,7 +123,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3)
         right = F.broadcast(right)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sized.join(right, F.col("source").eqNullSafe(F.col("_mix_source")), "left")
-    extra = F.when(draw(F.col("doc_id")) < rate - F.floor(rate), 1).otherwise(0)
+    extra = F.when(draw(F.col("_draw")) < rate - F.floor(rate), 1).otherwise(0)
     return joined.select(*own, "size", "source_size", "target", (F.floor(rate) + extra).cast("int").alias("copies"))
 
 

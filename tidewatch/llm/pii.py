@@ -359,7 +359,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
     where these hold no span."""
     n = max(1, docs.count())
     share = min(1.0, sample_docs / n)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+    some = docs if share == 1 else docs.where(F.xxhash64("doc_id") < F.lit(int(share * 2.0**64) - (1 << 63)))
 
     def run(batches):
         for batch in batches:
@@ -375,6 +375,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array(tags, pa.binary())], names=["codes", "tags"])
 
     windows = some.select("text").mapInArrow(run, "codes binary, tags binary")
+    windows = windows.distinct()  # copies of a document give each window once
     got = windows.orderBy(F.xxhash64("codes", "tags"), "codes", "tags").limit(sample_windows).toArrow()
     as_rows = lambda c: np.frombuffer(b"".join(got.column(c).to_pylist()), np.uint8).reshape(-1, WINDOW).astype(np.int64)
     if not len(got):

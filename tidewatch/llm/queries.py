@@ -69,7 +69,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH d AS (
       SELECT doc_id, source,
-             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+             concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, ''))) AS row_key
       FROM documents),
     s AS (
       SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -92,7 +93,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     e AS (
       SELECT d.doc_id, d.size, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN t.target / CAST(t.source_size AS DOUBLE) ELSE 0.0 END AS rate,
-             CAST(concat('0x', substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS draw
+             CAST(concat('0x', substr(md5(d.row_key), 1, 8)) AS BIGINT) / 4294967296.0 AS draw
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
     SELECT doc_id, size, source_size, target,
            size * CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
@@ -118,15 +119,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "op8_line_dedup",
     """
-    WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+    WITH d AS (
+      SELECT doc_id, source, text, string_split(text, chr(10)) AS ls,
+             trim(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS page FROM documents),
     one AS (
-      SELECT doc_id, source, unnest(list_distinct(list_transform(ls,
+      SELECT source, page, unnest(list_distinct(list_transform(ls,
                lambda x: regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')))) AS line FROM d),
-    totals AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+    totals AS (SELECT source, count(DISTINCT page) AS pages FROM d GROUP BY source),
     bad AS (
       SELECT one.source, one.line FROM one JOIN totals ON one.source IS NOT DISTINCT FROM totals.source
       WHERE one.line <> '' GROUP BY one.source, one.line, totals.pages
-      HAVING totals.pages >= 20 AND count(*) > CAST(0.05 AS DOUBLE) * totals.pages),
+      HAVING count(DISTINCT one.page) >= 3 AND count(DISTINCT one.page) > CAST(0.05 AS DOUBLE) * totals.pages),
     all_lines AS (
       SELECT doc_id, source, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM d),
     marked AS (
