@@ -32,10 +32,10 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def spread(spark):
-    """Force the spread form of every operator, with small chunks."""
-    spark.conf.set("spark.tidewatch.oneTaskBytes", "0")
-    spark.conf.set("spark.tidewatch.chunkRows", "40")
+def narrow(spark):
+    """Cut every ordered series into many slices, some of a row or two."""
+    spark.conf.set("spark.tidewatch.sliceSeconds", "20")
+    spark.conf.set("spark.tidewatch.sliceNumbers", "7")
     yield
-    spark.conf.unset("spark.tidewatch.oneTaskBytes")
-    spark.conf.unset("spark.tidewatch.chunkRows")
+    spark.conf.unset("spark.tidewatch.sliceSeconds")
+    spark.conf.unset("spark.tidewatch.sliceNumbers")

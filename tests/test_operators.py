@@ -23,16 +23,15 @@ def at(seconds):
     return T0 + dt.timedelta(seconds=seconds)
 
 
-@pytest.fixture(params=["whole", "spread"])
+@pytest.fixture(params=["wide", "narrow"])
 def form(request, spark):
-    if request.param == "spread":
-        spark.conf.set("spark.tidewatch.oneTaskBytes", "0")
-        spark.conf.set("spark.tidewatch.chunkRows", "2")
-    else:
-        spark.conf.set("spark.tidewatch.oneTaskBytes", str(1 << 70))
+    """Slices as they are, and slices of one time or number each."""
+    if request.param == "narrow":
+        spark.conf.set("spark.tidewatch.sliceSeconds", "0.001")
+        spark.conf.set("spark.tidewatch.sliceNumbers", "1")
     yield request.param
-    spark.conf.unset("spark.tidewatch.oneTaskBytes")
-    spark.conf.unset("spark.tidewatch.chunkRows")
+    spark.conf.unset("spark.tidewatch.sliceSeconds")
+    spark.conf.unset("spark.tidewatch.sliceNumbers")
 
 
 def test_counter_policies(spark, form):
@@ -133,14 +132,14 @@ def test_warmup_and_labels(spark):
 
 def test_names(spark):
     cases = {
-        "openmetadata-6b6bf85947-b67tc": ("openmetadata", "openmetadata-6b6bf85947-b67tc"),
+        "app-6b6bf85947-b67tc": ("app", "app-6b6bf85947-b67tc"),
         "a-b-c-d": ("a-b-c", "a-b-c-d"),
         "x-exec-12": ("x-exec-12", "spark-executor-12"),
-        "master-kafka-2": ("master-2", "kafka-broker-2"),
-        "telemetry-job-1": ("telemetry-1", "spark-executor"),
+        "bus-broker-2": ("b-2", "broker"),
+        "bus-1-zk": ("b-1-zk", "broker"),
     }
     df = spark.createDataFrame([(p,) for p in cases], "pod string")
-    for r in df.select("pod", nm.short_name("pod").alias("s"), nm.short_name("pod", "component").alias("c")).collect():
+    for r in df.select("pod", nm.short_name("pod", {"bus": "b"}).alias("s"), nm.component_name("pod", {"bus": "broker"}).alias("c")).collect():
         assert (r.s, r.c) == cases[r.pod]
 
 

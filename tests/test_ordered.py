@@ -2,13 +2,15 @@
 
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import joins
 from tidewatch.operators.ordered import Ordered
-from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.quantiles import exact_quantiles, exact_ranks, from_ordered_bits, with_ordered_bits
 
 
 def series(rows, hot, seed):
@@ -41,12 +43,12 @@ def brute(rows, n):
     return out
 
 
-@pytest.mark.parametrize(("chunk", "hot"), [(None, 0.35), (1, 0.35), (7, 0.35), (100, 0.35), (7, 1.0)])
-def test_steps_match_brute_force(spark, chunk, hot):
+@pytest.mark.parametrize(("width", "hot"), [(None, 0.35), (0.5, 0.35), (3, 0.35), (50, 0.35), (3, 1.0)])
+def test_steps_match_brute_force(spark, width, hot):
     rows = series(600, hot, seed=3)
     df = spark.createDataFrame(rows, "key string, ts bigint, id bigint, value bigint")
     got = (
-        Ordered(df, ["key"], ["ts", "id"], chunk)
+        Ordered(df, ["key"], ["ts", "id"], width)
         .lag(["id"], 3)
         .running_sum(F.col("value"), "total")
         .nearest_known(F.col("value"), "before")
@@ -61,7 +63,7 @@ def test_steps_match_brute_force(spark, chunk, hot):
         assert (prev, r.total, r.before, r.later) == want[r.id]
 
 
-def test_no_key_and_label_order(spark, spread):
+def test_no_key_and_label_order(spark, narrow):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("x"))
     got = Ordered(df, [], ["x"]).running_sum(F.lit(1), "n").result().collect()
     assert all(r.n == r.x + 1 for r in got)
@@ -83,9 +85,10 @@ def test_no_key_and_label_order(spark, spread):
         [1e9 + i / 1000 for i in range(2000)] + [0.0, 1e15],
         [random.Random(1).lognormvariate(0, 4) * random.Random(i).choice([-1, 1]) for i in range(3000)],
         [0.0, 1e-12, 2e-12, -1e-12, 3.0, 3.0, 3.0, float("inf")],
+        [1e9 + i * 1e-6 for i in range(4000)] + [1e300],  # a dense cluster and one outlier
     ],
 )
-def test_quantiles_are_exact(spark, spread, values):
+def test_quantiles_are_exact(spark, values):
     probs = [0, 0.0001, 0.25, 0.5, 0.95, 0.9999, 1]
     rows = [("g", v) for v in values] + [("h", 1.0), ("h", None), ("h", float("nan")), ("h", 4.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(4)
@@ -101,3 +104,50 @@ def test_quantiles_are_exact(spark, spread, values):
     assert got["h"].n == 2 and got["h"].q[3] == 2.5
     one = exact_quantiles(df.where("g = 'h'"), [], "v", [0.5]).collect()
     assert one[0].q == [2.5]
+
+
+def test_bits_are_in_the_order_of_doubles(spark):
+    rng = random.Random(4)
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, float("inf"), float("-inf")]
+    for k in range(-1074, 1024, 7):
+        values += [2.0**k, math.nextafter(2.0**k, math.inf), -math.nextafter(2.0**k, 0)]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(2000)]
+    values = [v for v in values if not math.isnan(v)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    df = with_ordered_bits(df, "v", "bits")
+
+    def bits(v):
+        raw = struct.unpack("<q", struct.pack("<d", v + 0.0))[0]
+        return raw if raw >= 0 else -(raw & (1 << 63) - 1) - 1
+
+    rows = df.withColumn("back", from_ordered_bits(F.col("bits"))).collect()
+    assert all(r.bits == bits(r.v) and r.back == r.v for r in rows)
+
+
+def test_columns_are_ranked_together(spark, monkeypatch):
+    rows = [(["g", None][i % 2], float(i * i), None if i % 5 else -float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(3)
+    for most in (joins.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", most)
+        got = {(r.g, r._col): r for r in exact_ranks(df, ["g"], ["a", "b"], [0.1, 0.5]).collect()}
+        for g in ("g", None):
+            for i in (0, 1):
+                values = [r[1 + i] for r in rows if r[0] == g and r[1 + i] is not None]
+                assert got[g, i].n == len(values) and np.allclose(got[g, i].q, np.quantile(values, [0.1, 0.5]))
+
+
+def test_rows_are_neither_moved_for_ranks_nor_read_to_build(spark, tmp_path):
+    """Ranks shuffle counts only; an ordered frame is built without a job and reads its input once."""
+    spark.range(50_000).selectExpr("id", "cast(id % 3 as string) as k", "rand(7) as v").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = exact_quantiles(df, ["k"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.split("== Initial")[0].splitlines() if " Exchange hashpartitioning" in x]
+    assert exchanges and "SortMergeJoin" not in plan
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    steps = Ordered(df, ["k"], ["id"]).lag(["v"]).running_sum(F.col("v"), "total").result()
+    assert len(tracker.getJobIdsForGroup()) == before
+    steps.collect()
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, in the one-task form and in the spread form."""
+"""Every registered query against its SQL, with slices as they are and with narrow ones."""
 
 import __spark_entry__ as entry_file
 import oracle
@@ -7,8 +7,8 @@ from tidewatch.plans.registry import QUERIES, SQL
 
 SMALL, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 ROWS_ONLY = {"drift_clusters", "drift_compensate", "progress_table"}
-# queries whose plan depends on the form
-SPREAD = sorted(
+# queries with ordered steps
+NARROW = sorted(
     n
     for n in SQL
     if n.startswith(("counter", "offset", "phase", "running", "scrape", "pod_", "rtt", "jitter", "request"))
@@ -37,8 +37,8 @@ def test_matches_sql(spark, small, name):
     assert oracle.differences(QUERIES[name](spark, SMALL), small, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", SPREAD)
-def test_spread_form_matches_sql(spark, tiny, spread, name):
+@pytest.mark.parametrize("name", NARROW)
+def test_narrow_slices_match_sql(spark, tiny, narrow, name):
     assert oracle.differences(QUERIES[name](spark, TINY), tiny, SQL[name]) is None
 
 

@@ -55,7 +55,7 @@ def assign_clusters(df: DataFrame, model: GaussianMixtureModel, col: str = "drif
 
 
 def cluster_medians(df: DataFrame, col: str = "drift_ms", cluster: str = "cluster") -> DataFrame:
-    return exact_quantiles(df, [cluster], col, [0.5], few_groups=True).select(
+    return exact_quantiles(df, [cluster], col, [0.5]).select(
         cluster, "n", F.col("q")[0].alias("median_ms")
     )
 
@@ -90,5 +90,5 @@ def crosstab(df: DataFrame, a: str, b: str, b_values: Sequence) -> DataFrame:
 
 def iqr(df: DataFrame, col: str, by: Sequence[str] = (), *, few_groups: bool = False) -> DataFrame:
     """Typical jitter: the inter-quartile range."""
-    q = exact_quantiles(df, by, col, [0.25, 0.75], few_groups=few_groups)
+    q = exact_quantiles(df, by, col, [0.25, 0.75])
     return q.select(*by, (F.col("q")[1] - F.col("q")[0]).alias("iqr"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.timeutil import as_column, to_zone
-from tidewatch.operators.latency import describe_columns
+from tidewatch.operators.latency import describe, describe_columns
 
 # The parts of each event that are read, under the names Spark writes.
 EVENT_SCHEMAS = {
@@ -52,6 +52,13 @@ STAGE_ACCUMULABLES = {
 JOB_TYPES = {0: "Planning", 1: "Kafka Fetch", 2: "Transformations"}
 
 
+_ROW = [("Kind", "string"), ("ID", "bigint"), ("JobID", "bigint"), ("Result", "string")]
+_ATTEMPT = [
+    ("Attempt", "bigint"), ("Name", "string"), ("SubmissionTime", "bigint"), ("CompletionTime", "bigint"), ("NumTasks", "bigint"),
+    ("Accumulables", "array<struct<Name: string, Value: string>>"),
+]
+
+
 def events(lines: DataFrame, name: str) -> DataFrame:
     """Parsed events of one kind from log lines (app, value).
 
@@ -153,11 +160,84 @@ def tasks(lines: DataFrame) -> DataFrame:
     )
 
 
+def history(lines: DataFrame) -> DataFrame:
+    """Jobs and stage attempts in one frame, from one pass over the lines.
+
+    A line that names one of the events is parsed once, to a VARIANT, and gives its rows by
+    event: a job's start and end are two rows of the job, and its start names the job of each
+    of its stages. Rows meet by (app, kind, id) in one aggregate, so ends are found in any
+    file of a log, and nothing is joined. Columns: app, Kind (job or stage), ID, Attempt,
+    JobID, Name, Result, SubmissionTime, CompletionTime, NumTasks, the accumulables (0 where
+    a stage lacks one, null for jobs) and DurationSec. A stage of several jobs belongs to the
+    last; a job that has not ended has no end, a stage that was not completed no row.
+    """
+    names = ("SparkListenerJobStart", "SparkListenerJobEnd", "SparkListenerStageCompleted")
+    wanted = F.col("value").rlike("|".join(names))
+    parsed = lines.where(wanted).select("app", F.try_parse_json("value").alias("v"))
+
+    def got(path: str, kind: str = "bigint") -> Column:
+        return F.try_variant_get("v", path, kind)
+
+    stage_ids = F.transform(
+        F.coalesce(got("$['Stage Infos']", "array<struct<`Stage ID`: bigint>>"), F.array().cast("array<struct<`Stage ID`: bigint>>")),
+        lambda s: s["Stage ID"],
+    )
+    accumulables = got("$['Stage Info'].Accumulables", "array<struct<Name: string, Value: string>>")
+
+    def row(**cols: Column) -> Column:
+        return F.struct(*[cols.get(n, F.lit(None)).cast(t).alias(n) for n, t in [*_ROW, *_ATTEMPT]])
+
+    event = got("$.Event", "string")
+    job = got("$['Job ID']")
+    started = F.concat(
+        F.array(row(Kind=F.lit("job"), ID=job, JobID=job, SubmissionTime=got("$['Submission Time']"))),
+        F.transform(stage_ids, lambda s: row(Kind=F.lit("stage"), ID=s, JobID=job)),
+    )
+    ended = F.array(
+        row(Kind=F.lit("job"), ID=job, JobID=job, Result=got("$['Job Result'].Result", "string"), CompletionTime=got("$['Completion Time']"))
+    )
+    stage = F.array(
+        row(
+            Kind=F.lit("stage"), ID=got("$['Stage Info']['Stage ID']"), Attempt=F.coalesce(got("$['Stage Info']['Stage Attempt ID']"), F.lit(0)),
+            Name=F.coalesce(got("$['Stage Info']['Stage Name']", "string"), F.lit("unknown")),
+            SubmissionTime=got("$['Stage Info']['Submission Time']"), CompletionTime=got("$['Stage Info']['Completion Time']"),
+            NumTasks=F.coalesce(got("$['Stage Info']['Number of Tasks']"), F.lit(0)), Accumulables=accumulables,
+        )
+    )
+    routed = F.when(event == names[0], started).when(event == names[1], ended).when(event == names[2], stage)
+    rows = parsed.select("app", F.inline(routed))
+    # one row per job, and per stage with its attempts and the last job that lists it
+    attempt = F.struct(*[n for n, _ in _ATTEMPT])
+    both = rows.groupBy("app", "Kind", "ID").agg(
+        F.max("JobID").alias("JobID"), F.max("Result").alias("Result"), F.min("SubmissionTime").alias("_from"),
+        F.max("CompletionTime").alias("_to"), F.collect_list(F.when(F.col("Attempt").isNotNull(), attempt)).alias("_attempts"),
+    )
+    of_job = F.array(F.struct(*[F.lit(None).cast(t).alias(n) for n, t in _ATTEMPT]))
+    found = both.select("app", "Kind", "ID", "JobID", "Result", "_from", "_to", F.inline(F.when(F.col("Kind") == "job", of_job).otherwise(F.col("_attempts"))))
+
+    def number(name: str) -> Column:
+        hits = F.filter("Accumulables", lambda a: a["Name"] == name)
+        return F.when(F.col("Kind") == "stage", F.coalesce(F.get(hits, F.lit(0))["Value"].try_cast("long"), F.lit(0)))
+
+    is_job = F.col("Kind") == "job"
+    return found.select(
+        "app", "Kind", "ID", "Attempt", "JobID", "Name", "Result", F.when(is_job, F.col("_from")).otherwise(F.col("SubmissionTime")).alias("SubmissionTime"),
+        F.when(is_job, F.col("_to")).otherwise(F.col("CompletionTime")).alias("CompletionTime"), "NumTasks",
+        *[number(acc).alias(col) for col, acc in STAGE_ACCUMULABLES.items()],
+    ).where(~is_job | F.col("SubmissionTime").isNotNull()).withColumn("DurationSec", (F.col("CompletionTime") - F.col("SubmissionTime")) / 1000)
+
+
 def summarize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distribution of the numeric columns of jobs or stages."""
     return describe_columns(df, cols)
 
 
+def summarize_history(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distribution of the numeric columns of `history`: Kind, column, count, mean and so on."""
+    wide = df.select("Kind", *[F.col(c).cast("double").alias(c) for c in cols])
+    return describe(wide.unpivot(["Kind"], list(cols), "column", "value").where("value is not null"), "value", ["Kind", "column"])
+
+
 def slowest(df: DataFrame, col: str = "DurationSec", n: int = 5, tie: Sequence[str] = ()) -> DataFrame:
     """The n largest rows by `col`."""
     return df.orderBy(F.desc_nulls_last(col), *tie).limit(n)
@@ -168,6 +248,12 @@ def job_type(job_id: Column | str) -> Column:
     return F.coalesce(names[F.pmod(as_column(job_id), F.lit(3)).cast("int")], F.lit("Unknown Job"))
 
 
+def stage_series(df: DataFrame, zone: str = "America/Sao_Paulo") -> DataFrame:
+    """Stages of `history` by local start time, with the type of their job and the mean over
+    all stages."""
+    return duration_series(df.where("Kind = 'stage'"), zone=zone)
+
+
 def duration_series(df: DataFrame, time: str = "SubmissionTime", zone: str = "America/Sao_Paulo") -> DataFrame:
     """Durations with local start time, job type and the mean over all rows."""
     overall = df.agg(F.avg("DurationSec").alias("m")).scalar()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.naming import starts_with_any
 from tidewatch.operators.joins import attach
-from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.quantiles import exact_ranks
 
 
 def time_range(df: DataFrame, ts: str, start, end, inclusive: bool = True) -> DataFrame:
@@ -90,19 +90,17 @@ def quantile_bounds(
     *,
     few_groups: bool = False,
 ) -> DataFrame:
-    """One row per group with `<col>_lo` and `<col>_hi`."""
-    out = None
-    for col, (lo, hi) in limits.items():
-        probs = [p for p in (lo, hi) if p is not None]
-        q = exact_quantiles(df, by, col, probs, few_groups=few_groups)
-        picks = []
-        if lo is not None:
-            picks.append(F.col("q")[0].alias(f"{col}_lo"))
-        if hi is not None:
-            picks.append(F.col("q")[len(probs) - 1].alias(f"{col}_hi"))
-        q = q.select(*by, *picks)
-        out = q if out is None else attach(out, q, by, few_groups=few_groups)
-    return out
+    """One row per group with `<col>_lo` and `<col>_hi`; all columns are looked at together."""
+    cols = list(limits)
+    probs = sorted({p for pair in limits.values() for p in pair if p is not None})
+    q = exact_ranks(df, by, cols, probs)
+    picks = [
+        F.max(F.when(F.col("_col") == i, F.col("q")[probs.index(p)])).alias(f"{col}_{end}")
+        for i, col in enumerate(cols)
+        for end, p in zip(("lo", "hi"), limits[col], strict=True)
+        if p is not None
+    ]
+    return q.groupBy(*by).agg(*picks)
 
 
 def trim_quantiles(

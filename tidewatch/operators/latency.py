@@ -6,6 +6,7 @@ Group keys are normally the environment or stage, of which there are a few; pass
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.timeutil import bucket, micros, seconds_between
 from tidewatch.operators.joins import attach
-from tidewatch.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
+from tidewatch.operators.quantiles import exact_quantiles
 
 # Stage column, display name and display order.
 STAGES = {
@@ -73,7 +74,7 @@ def latency_summary(
     if approx:
         q = long.groupBy(*by).agg(F.percentile_approx(value, probs, 100_000).alias("q"))
     else:
-        q = exact_quantiles(long, by, value, probs, few_groups=few_groups)
+        q = exact_quantiles(long, by, value, probs)
 
     def ms(col):
         return F.round(col * factor, digits)
@@ -132,7 +133,7 @@ def env_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *,
         F.avg(col).alias("mean"),
         F.stddev(col).alias("std"),
     )
-    mid = exact_quantiles(df, by, col, [0.5], few_groups=few_groups).select(*by, F.col("q")[0].alias("median"))
+    mid = exact_quantiles(df, by, col, [0.5]).select(*by, F.col("q")[0].alias("median"))
     return attach(plain, mid, by, few_groups=few_groups)
 
 
@@ -145,7 +146,7 @@ def describe(df: DataFrame, col: str, by: Sequence[str] = (), *, few_groups: boo
         F.min(col).alias("min"),
         F.max(col).alias("max"),
     )
-    q = exact_quantiles(df, by, col, [0.25, 0.5, 0.75], few_groups=few_groups).select(
+    q = exact_quantiles(df, by, col, [0.25, 0.5, 0.75]).select(
         *by, F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75")
     )
     return attach(plain, q, by, few_groups=few_groups)
@@ -161,14 +162,13 @@ def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *, few_groups: bool = False) -> DataFrame:
     """Quartiles, whiskers at the last values inside 1.5 IQR, and the outliers beyond."""
-    counts = value_counts(df, by, col)
-    q = quantiles_of_counts(counts, by, [0.25, 0.5, 0.75], few_groups=few_groups).select(
+    q = exact_quantiles(df, by, col, [0.25, 0.5, 0.75]).select(
         *by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        attach(counts, q, by, few_groups=few_groups)
+        attach(_values(df, by, col), q, by, few_groups=few_groups)
         .groupBy(*by)
         .agg(
             F.max("q1").alias("q1"),
@@ -176,11 +176,17 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ("environment",), *,
             F.max("q3").alias("q3"),
             F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
             F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),
-            F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("outliers"),
+            F.count_if(~inside).alias("outliers"),
         )
     )
 
 
+def _values(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """(by, _v): the values of a column that are numbers."""
+    rows = df.select(*by, F.col(col).cast("double").alias("_v"))
+    return rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+
 def axis_bound(
     df: DataFrame,
     col: str,
@@ -191,7 +197,7 @@ def axis_bound(
     few_groups: bool = False,
 ) -> DataFrame:
     """Upper axis limit: the largest percentile over the environments, padded."""
-    q = exact_quantiles(df, [*by, over], col, [pct / 100], few_groups=few_groups)
+    q = exact_quantiles(df, [*by, over], col, [pct / 100])
     return q.groupBy(*by).agg((F.max(F.col("q")[0]) * pad).alias("bound"))
 
 
@@ -211,64 +217,65 @@ def approx_stats(df: DataFrame, cols: Sequence[str], accuracy: int = 1_000_000)
 
 def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), *, few_groups: bool = False) -> DataFrame:
     """Counts in `bins` equal bins between min and max; the last bin is closed."""
-    counts = value_counts(df, by, col)
-    span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    rows = _values(df, by, col)
+    span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     inner = F.least(F.width_bucket("_v", F.col("_lo"), F.col("_hi"), F.lit(bins)), F.lit(bins))
     pos = F.when(F.col("_hi") > F.col("_lo"), inner).otherwise(F.lit(1)).cast("long")
     width = (F.col("_hi") - F.col("_lo")) / bins
     return (
-        attach(counts, span, by, few_groups=few_groups)
+        attach(rows, span, by, few_groups=few_groups)
         .groupBy(*by, pos.alias("bin"))
-        .agg(F.sum("_c").alias("rows"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
         .select(*by, "bin", (F.col("_lo") + (F.col("bin") - 1) * width).alias("bin_start"), "rows")
     )
 
 
 def density(
-    df: DataFrame, col: str, by: Sequence[str] = ("environment",), grid: int = 200, cells: int = 2000,
-    few_groups: bool = False,
+    df: DataFrame, col: str, by: Sequence[str] = ("environment",), grid: int = 200, *, cut: float = 3.0, floor: float | None = 0.0,
+    error: float = 1e-8, few_groups: bool = False,
 ) -> DataFrame:
-    """Gaussian density on `grid` points from 0 to the maximum, per group.
+    """Gaussian density on `grid` points per group: by, point, x, density.
+
+    The bandwidth follows Scott's rule, n^(-1/5) standard deviations. The points reach
+    `cut` bandwidths beyond the smallest and the largest value, but not below `floor`.
 
-    The bandwidth follows Scott's rule, n^(-1/5) standard deviations. Values are
-    first counted into at most `cells` cells per group, represented by their mean,
-    so the kernel sum has cells x grid terms whatever the number of rows.
+    Values are first counted, on the map side, into cells whose width is a fixed part of the
+    bandwidth and stand in their cell's mean; a cell reaches only the points where its kernel
+    is above `error` of the kernel's peak. Each of the two changes a point's density by at
+    most `error` times that peak, 1 / (bandwidth * sqrt(2 pi)), whatever the values are.
+    Groups of one value or without spread have no density and no row.
     """
-    counts = value_counts(df, by, col)
-    mean = F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
-    scale = counts.groupBy(*by).agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), mean.alias("_mean")
+    rows = _values(df, by, col)
+    shape = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev("_v").alias("_std")
     )
-    near = attach(counts, scale, by, few_groups=few_groups)
-    spread = near.groupBy(*by).agg(
-        F.sqrt(
-            F.sum((F.col("_v") - F.col("_mean")) * (F.col("_v") - F.col("_mean")) * F.col("_c"))
-            / (F.sum("_c") - 1)
-        ).alias("_std")
+    low, high = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
+    shape = (
+        shape.withColumn("_h", F.col("_std") * F.pow("_n", F.lit(-0.2)))
+        .where("_h > 0")
+        .select(*by, "_n", "_h", (low if floor is None else F.greatest(low, F.lit(float(floor)))).alias("_from"), high.alias("_to"))
+        .withColumn("_step", (F.col("_to") - F.col("_from")) / (grid - 1))
     )
-    shape = attach(scale, spread, by, few_groups=few_groups)
-    width = (F.col("_hi") - F.col("_lo")) / cells
-    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(cells - 1)))
-    binned = (
-        near.groupBy(*by, F.coalesce(cell, F.lit(0)).alias("_cell"))
-        .agg(mean.alias("_x"), F.sum("_c").alias("_w"))
-        .drop("_cell")
+    # a value stands at most half a cell from the mean: an error of width^2 / 8 of the peak
+    width = F.col("_h") * math.sqrt(8 * error)
+    cells = (
+        attach(rows, shape, by, few_groups=few_groups, how="inner")
+        .groupBy(*by, F.floor(F.col("_v") / width).alias("_cell"))
+        .agg(F.avg("_v").alias("_x"), F.count(F.lit(1)).alias("_w"), *[F.max(c).alias(c) for c in ("_n", "_h", "_from", "_step")])
     )
-    h = F.col("_std") * F.pow("_n", F.lit(-0.2))
-    x = F.greatest(F.col("_hi"), F.lit(0.0)) * F.col("_i") / (grid - 1)
-    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("_x")) / F.col("_h"), F.lit(2.0)))
-    points = attach(binned, shape, by, few_groups=few_groups).withColumn("_h", h).where("_h > 0")
-    return (
-        points.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-        .withColumn("x", x)
-        .groupBy(*by, F.col("_i").cast("long").alias("point"))
-        .agg(
-            F.max("x").alias("x"),
-            (F.sum(F.col("_w") * kernel) / F.max(F.col("_n") * F.col("_h") * F.sqrt(F.lit(2 * 3.141592653589793)))).alias(
-                "density"
-            ),
-        )
+    reach = F.col("_h") * math.sqrt(-2 * math.log(error))
+    first = F.greatest(F.ceil((F.col("_x") - reach - F.col("_from")) / F.col("_step")), F.lit(0))
+    last = F.least(F.floor((F.col("_x") + reach - F.col("_from")) / F.col("_step")), F.lit(grid - 1))
+    points = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    x = F.col("_from") + F.col("point") * F.col("_step")
+    kernel = F.exp(-0.5 * F.pow((x - F.col("_x")) / F.col("_h"), F.lit(2.0)))
+    summed = (
+        cells.withColumn("point", F.explode(points))
+        .groupBy(*by, "point")
+        .agg((F.sum(F.col("_w") * kernel / (F.col("_n") * F.col("_h"))) / math.sqrt(2 * math.pi)).alias("density"))
     )
+    every = shape.select(*by, "_from", "_step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))).alias("point"))
+    return attach(every, summed, [*by, "point"]).select(*by, "point", x.alias("x"), F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def downsample(df: DataFrame, ts: str, value: str, step: int, by: Sequence[str] = ()) -> DataFrame:

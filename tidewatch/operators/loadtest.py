@@ -13,7 +13,6 @@ from tidewatch.operators.joins import attach
 from tidewatch.operators.latency import describe, downsample
 from tidewatch.operators.ordered import Ordered
 from tidewatch.operators.quantiles import exact_quantiles
-from tidewatch.operators.sizes import settle
 
 # Metric, statistic, comparison and limit of each service level.
 SLO_RULES = [
@@ -64,7 +63,7 @@ def align_seconds(edge: DataFrame, cloud: DataFrame, metric: str) -> DataFrame:
 def metric_stats(df: DataFrame, value: str = "metric_value", by: Sequence[str] = ("environment",), *, few_groups: bool = False) -> DataFrame:
     """avg, max, min and median per group."""
     plain = df.groupBy(*by).agg(F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"))
-    mid = exact_quantiles(df, by, value, [0.5], few_groups=few_groups).select(*by, F.col("q")[0].alias("median"))
+    mid = exact_quantiles(df, by, value, [0.5]).select(*by, F.col("q")[0].alias("median"))
     return attach(plain, mid, by, few_groups=few_groups)
 
 
@@ -100,7 +99,7 @@ def check_slo(df: DataFrame, rules: Sequence[tuple[str, str, str, float]] = SLO_
     )
     used = df.where(F.col("metric_name").isin(sorted({r[0] for r in rules})))
     totals = used.groupBy("metric_name").agg(F.sum("metric_value").alias("_count"))
-    q = exact_quantiles(used, ["metric_name"], "metric_value", [0.95, 0.99], few_groups=True)
+    q = exact_quantiles(used, ["metric_name"], "metric_value", [0.95, 0.99])
     measured = attach(totals, q.drop("n"), ["metric_name"], few_groups=True)
     value = (
         F.when(F.col("stat") == "count", F.col("_count"))
@@ -133,7 +132,6 @@ def interval_stats(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str]
     """Seconds between consecutive messages per robot; population standard deviation."""
     o = Ordered(df.select(*by, ts, *tie), by, [ts, *tie]).lag([ts])
     deltas = o.result().select(*by, seconds_between(ts, f"_prev1.{ts}").alias("_d")).where("_d is not null")
-    deltas = settle(deltas, "intervals")
     plain = deltas.groupBy(*by).agg(
         F.count("_d").alias("count"),
         F.min("_d").alias("min"),

@@ -12,9 +12,6 @@ from tidewatch.functions.timeutil import bucket, seconds_between
 from tidewatch.functions.units import FACTORS
 from tidewatch.operators.joins import attach
 from tidewatch.operators.ordered import Ordered
-from tidewatch.operators.sizes import settle
-
-BROKER_TOPIC = "control_power-avro"
 
 
 def _rate(
@@ -212,7 +209,7 @@ def _cpu_smoothed(
         samples, ["environment", "id"], "timestamp", "value", policy=policy, zero_gap=zero_gap
     )
     cpu = cpu.withColumn("rate", F.col("rate") * FACTORS["cpu_to_percent"]).dropna(subset=["rate"])
-    cpu = settle(cpu.select(*keep, "rate"), "cpu")
+    cpu = cpu.select(*keep, "rate")
     return rolling_mean(cpu, ["environment", "pod"], order, "rate", out="usage")
 
 
@@ -223,23 +220,24 @@ def node_usage(usage: DataFrame, step: int, by: Sequence[str] = ("node", "pod"))
 
 
 def cpu_usage(
-    df: DataFrame, *, policy: str = "as_increase", zero_gap: str = "one", rename: bool = False
+    df: DataFrame, *, policy: str = "as_increase", zero_gap: str = "one", names: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Smoothed CPU percent per sample: environment, timestamp, id, pod, node, usage.
 
-    Series of one pod are smoothed together, one container after the other.
+    Series of one pod are smoothed together, one container after the other. With `names`
+    pods go by their short names.
     """
-    if rename:
-        df = df.withColumn("pod", short_name("pod"))
+    if names is not None:
+        df = df.withColumn("pod", short_name("pod", names))
     keep = ["environment", "timestamp", "id", "pod", "node"]
     return _cpu_smoothed(df, policy, zero_gap, keep).drop("rate")
 
 
-def memory_usage(df: DataFrame, *, smooth: bool = False, rename: bool = True) -> DataFrame:
+def memory_usage(df: DataFrame, *, smooth: bool = False, names: Mapping[str, str] | None = None) -> DataFrame:
     """Memory GiB per sample, optionally smoothed over three samples of the pod."""
     mem = df.dropna(subset=["container"]).withColumn("usage", F.col("value") * FACTORS["bytes_to_gib"])
-    if rename:
-        mem = mem.withColumn("pod", short_name("pod"))
+    if names is not None:
+        mem = mem.withColumn("pod", short_name("pod", names))
     keep = ["environment", "timestamp", "id", "pod", "node", "usage"]
     mem = mem.select(*keep)
     if not smooth:
@@ -248,9 +246,9 @@ def memory_usage(df: DataFrame, *, smooth: bool = False, rename: bool = True) ->
     return out.withColumn("usage", F.col("_s")).drop("_s")
 
 
-def pod_usage(df: DataFrame, kind: str, limits: DataFrame, step: int = 30) -> DataFrame:
+def pod_usage(df: DataFrame, kind: str, limits: DataFrame, step: int = 30, *, names: Mapping[str, str]) -> DataFrame:
     """CPU percent or memory GiB per pod and interval, with time since start and the node's limit."""
-    usage = cpu_usage(df, rename=True) if kind == "cpu" else memory_usage(df)
+    usage = cpu_usage(df, names=names) if kind == "cpu" else memory_usage(df, names=names)
     series = resample(usage, "timestamp", step, ["environment", "node", "pod"], "usage")
     starts = series.groupBy("environment").agg(F.min("bucket").alias("_start"))
     series = attach(series, starts, ["environment"], few_groups=True)
@@ -269,7 +267,7 @@ def pod_usage(df: DataFrame, kind: str, limits: DataFrame, step: int = 30) -> Da
 def node_resources(cpu: DataFrame, mem: DataFrame, step: int = 40) -> DataFrame:
     """CPU percent and memory GiB per environment, interval and node, 0 where one is missing."""
     cpu_node = node_usage(cpu_usage(cpu, policy="drop_nonpositive", zero_gap="drop"), step)
-    mem_node = node_usage(memory_usage(mem, smooth=True, rename=False), step, ["node", "pod", "id"])
+    mem_node = node_usage(memory_usage(mem, smooth=True), step, ["node", "pod", "id"])
     both = cpu_node.withColumn("kind", F.lit("cpu_percent")).unionByName(
         mem_node.withColumn("kind", F.lit("memory_gib"))
     )
@@ -344,11 +342,13 @@ def broker_panel(
     errors: DataFrame,
     messages: DataFrame,
     cpu: DataFrame,
-    topic: str = BROKER_TOPIC,
-    words: Sequence[str] = ("streaming-kafka", "master-kafka"),
-    container: str = "kafka",
+    *,
+    topic: str,
+    words: Sequence[str],
+    container: str,
 ) -> DataFrame:
-    """Broker panel: requests, one topic's traffic and messages, CPU of the broker container."""
+    """Broker panel: requests, one topic's traffic and messages, CPU of the broker container
+    in pods whose name has one of `words`."""
     on_topic = F.col("topic") == topic
     named = F.lit(False)
     for w in words:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tidewatch.functions.timeutil import micros
 from tidewatch.operators.ordered import Ordered
 from tidewatch.operators.quantiles import exact_quantiles
-from tidewatch.operators.sizes import settle
 
 # TCP flag bits, and the payload length a request header needs more than.
 RST, SYN, SYN_ACK = 0x04, 0x02, 0x12
@@ -149,8 +148,8 @@ def jitter(df: DataFrame, by: Sequence[str] = ("src_ip",), max_gap_ms: float = 1
 
 def packet_table(df: DataFrame) -> DataFrame:
     """Every broker packet with round trip, broker latency and retransmission mark."""
-    marked = settle(mark_retransmissions(df), "packets")
-    full = mark_rtt(settle(mark_latency(marked), "packets"))
+    marked = mark_retransmissions(df)
+    full = mark_rtt(mark_latency(marked))
     return full.select(
         "packet_id",
         "ts",
@@ -170,7 +169,7 @@ def network_report(df: DataFrame, key: Sequence[str] = ("cid",)) -> DataFrame:
     """One row: packet counts, retransmissions, jitter, broker latency mean and p95."""
     again = retransmissions(df, []).select(F.coalesce("retransmissions", F.lit(0)))
     shake = jitter(df.withColumn("_one", F.lit(0)), ["_one"]).select("jitter_ms")
-    matched = settle(match_requests(df, key), "matched")
+    matched = match_requests(df, key)
     mean = matched.agg(F.avg("broker_latency_ms").alias("m"))
     p95 = exact_quantiles(matched, [], "broker_latency_ms", [0.95]).select(F.col("q")[0])
     return tcp_health(df).select(

@@ -1,18 +1,22 @@
-"""Ordered operators over series of any length.
+"""Ordered operators over series of any length, as a segmented scan on two levels.
 
-A window partitioned by the series key puts a whole series in one task, which
-fails when one series holds a large share of all rows. Here every series longer
-than `chunk_rows` is cut along its own order column into chunks of about that
-size, windows run per (series, chunk), and what a chunk needs from the chunks
-before it is computed by a small aggregate and joined back:
+A window partitioned by the series key puts a whole series in one task, which fails when
+one series holds a large share of all rows. Here a series is cut along its order column
+into fixed slices (of time, or of the number it is ordered by), so rows are dealt by
+(series, slice) without looking at the data first:
 
-* a count finds the long series, one mergeable quantile sketch for each of them
-  gives the cut points; they only balance the chunks, results do not depend on them;
-* cut points and carries exist for long series only, at most one row per
-  `chunk_rows` input rows, which is the bound that allows broadcasting them.
+* on the first level windows run per (series, slice);
+* the last row of a slice, with what its window has found, is the slice's edge row; on the
+  second level windows run over a series' edge rows, of which there is one per slice, and
+  give every slice what it needs from the slices before it (its carry).
 
-Rows of one series with an identical order value stay in one chunk. Inputs
-known to fit one task skip all of this and use the plain window.
+Rows and edge rows come from one shuffle: rows travel packed, so that both levels read the
+same columns and Spark runs the exchange once, however many steps follow each other. Nothing
+runs until the result is read. Rows with an identical order value stay in one slice.
+
+`spark.tidewatch.sliceSeconds` and `spark.tidewatch.sliceNumbers` set the width of a slice:
+narrow enough for a slice of the densest series to fit a task, wide enough for the slices
+of the longest one to.
 """
 
 from __future__ import annotations
@@ -23,205 +27,105 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.joins import attach, same_key
-from tidewatch.operators.sizes import fits_one_task
-
-DEFAULT_CHUNK_ROWS = 4_000_000
-GRID = 4096  # most chunks per series; a power of two
-SKETCH_ACCURACY = 4 * GRID
-_FRACTIONS = "array(" + ",".join(f"{i / GRID}D" for i in range(1, GRID)) + ")"
-
-
-def _order_number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    raise TypeError(f"first order column must be a time or a number: {name} is {kind.simpleString()}")
+SLICE_SECONDS = 3600.0
+SLICE_NUMBERS = 1_000_000.0
+
+
+def _slice(df: DataFrame, order: Sequence[str], width: float | None) -> Column:
+    """The slice of a row: what comes before the first time or number in the order, and how
+    many widths that time or number holds."""
+    conf, labels = df.sparkSession.conf, []
+    for name in order:
+        kind = df.schema[name].dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            seconds = width or float(conf.get("spark.tidewatch.sliceSeconds", str(SLICE_SECONDS)))
+            number = F.floor(F.unix_micros(F.col(name).cast("timestamp")) / F.lit(seconds * 1e6))
+        elif isinstance(kind, T.NumericType):
+            numbers = width or float(conf.get("spark.tidewatch.sliceNumbers", str(SLICE_NUMBERS)))
+            number = F.col(name).cast("double")
+            # NaN comes after all numbers
+            number = F.when(F.isnan(number), F.lit((1 << 63) - 1)).otherwise(F.floor(number / F.lit(numbers)))
+        else:
+            labels.append(name)
+            continue
+        return F.struct(*labels, number.alias("_n"))
+    raise TypeError(f"the order needs a time or a number: {list(order)}")
 
 
 class Ordered:
-    """Rows of every series in order, cut into chunks that fit a task."""
-
-    def __init__(
-        self,
-        df: DataFrame,
-        by: Sequence[str],
-        order: Sequence[str],
-        chunk_rows: int | None = None,
-    ):
-        if not by:
-            df, by = df.withColumn("_all", F.lit(0)), ["_all"]
-        self.by, self.order = list(by), list(order)
-        if chunk_rows is None and fits_one_task(df):
-            self.keys, self.rows = self.by, df
-            return
-        if chunk_rows is None:
-            conf = df.sparkSession.conf.get("spark.tidewatch.chunkRows", str(DEFAULT_CHUNK_ROWS))
-            chunk_rows = int(conf)
-        self.keys, self.rows = [*self.by, "_chunk"], self._cut(df, chunk_rows)
-
-    @property
-    def _whole(self) -> bool:
-        return self.keys == self.by
-
-    def _keyed(self, df: DataFrame) -> DataFrame:
-        """Adds `_k`, a number that grows with the order."""
-        if not isinstance(df.schema[self.order[0]].dataType, T.StringType):
-            return df.withColumn("_k", _order_number(df, self.order[0]))
-        # label first, then time: number the labels of a series and lay their times end to end
-        label, ts = self.order[0], _order_number(df, self.order[1]).cast("long")
-        numbered = (
-            df.select(*self.by, label)
-            .distinct()
-            .withColumn("_no", F.row_number().over(Window.partitionBy(*self.by).orderBy(label)))
-        )
-        span = df.agg((F.max(ts) - F.min(ts) + 1).alias("_span")).scalar()
-        first = df.agg(F.min(ts).alias("_first")).scalar()
-        out = attach(df, numbered, [*self.by, label])
-        return out.withColumn("_k", F.col("_no") * span + ts - first).drop("_no")
-
-    def _cut(self, df: DataFrame, chunk_rows: int) -> DataFrame:
-        keyed = self._keyed(df)
-        parts = f"least(ceil(_n / {chunk_rows}), {GRID})"
-        renamed = [F.col(k).alias(f"_r_{k}") for k in self.by]
-        sizes = (
-            keyed.groupBy(*self.by).agg(F.count("_k").alias("_n")).where(f"_n > {chunk_rows}").select(*renamed, "_n")
-        )
-        in_long = keyed.select(*self.by, "_k").join(F.broadcast(sizes), same_key(keyed, sizes, self.by))
-        cuts = (
-            in_long.groupBy(*self.by)
-            .agg(
-                F.max("_n").alias("_n"),
-                F.expr(f"percentile_approx(_k, {_FRACTIONS}, {SKETCH_ACCURACY})").alias("_q"),
-            )
-            .select(
-                *renamed,
-                F.expr(
-                    f"array_distinct(transform(sequence(1, cast({parts} as int) - 1),"
-                    f" i -> element_at(_q, cast(i * {GRID} / {parts} as int))))"
-                ).alias("_cuts"),
-            )
-        )
-        joined = keyed.join(F.broadcast(cuts), same_key(keyed, cuts, self.by), "left")
-        # chunk = number of cut points <= key, by binary search
-        steps, name = ["0 as _p0"], "_p0"
-        step = GRID // 2
-        while step:
-            nxt = f"_p{step}"
-            steps.append(f"{name} + if(get(_cuts, {name} + {step - 1}) <= _k, {step}, 0) as {nxt}")
-            name, step = nxt, step // 2
-        return joined.selectExpr("*", *steps).select(
-            *df.columns, F.col(name).alias("_chunk"), F.col("_cuts").isNotNull().alias("_long")
-        )
+    """Rows of every series in order, in slices that fit a task."""
+
+    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str], width: float | None = None):
+        self.order = list(order)
+        key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+        # a struct is never null, so series with a missing label join like any other; the
+        # array keeps the optimizer from reading other columns for the edge rows
+        packed = df.select(key.alias("_key"), _slice(df, order, width).alias("_slice"), F.array(F.struct(*df.columns)).alias("_row"))
+        packed = packed.repartition("_key", "_slice")
+        self.rows = packed.select("_key", "_slice", *[F.element_at("_row", 1)[c].alias(c) for c in df.columns])
 
     def _same(self, rows: DataFrame) -> Ordered:
         other = Ordered.__new__(Ordered)
-        other.by, other.keys, other.order, other.rows = self.by, self.keys, self.order, rows
+        other.order, other.rows = self.order, rows
         return other
 
     def then(self, change: Callable[[DataFrame], DataFrame]) -> Ordered:
-        """Add columns or drop rows between two ordered steps; keeps the chunks."""
+        """Add columns or drop rows between two ordered steps; keeps the slices."""
         return self._same(change(self.rows))
 
     def result(self) -> DataFrame:
-        return self.rows.drop("_chunk", "_long", "_all")
+        return self.rows.drop("_key", "_slice")
 
-    def _local(self, reverse: bool = False) -> Window:
+    def _within(self, reverse: bool = False) -> Window:
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
-        return Window.partitionBy(*self.keys).orderBy(*order)
-
-    def _long_chunks(self):
-        return self.rows.where("_long").groupBy(*self.keys)
-
-    def _over_chunks(self, reverse: bool = False) -> Window:
-        chunk = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
-        return Window.partitionBy(*self.by).orderBy(chunk)
+        return Window.partitionBy("_key", "_slice").orderBy(*order)
 
-    def _with_carry(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
-        right = edges.select(*[F.col(k).alias(f"_r_{k}") for k in self.keys], "_carry")
-        cond = same_key(rows, right, self.keys)
-        return rows.join(F.broadcast(right), cond, "left").drop(*right.columns[:-1])
+    def _with_carry(self, rows: DataFrame, edge: Column, carry: Callable[[Window], Column], reverse: bool = False) -> DataFrame:
+        """Adds `_carry`: `carry` over the `_e` of the slices before; `edge` makes a slice's
+        `_e` of `_last`, its last row by `_rn`."""
+        last = rows.groupBy("_key", "_slice").agg(F.max_by(F.struct(*rows.columns), "_rn").alias("_last"))
+        over = Window.partitionBy("_key").orderBy(F.col("_slice").desc() if reverse else F.col("_slice").asc())
+        edges = last.select("_key", "_slice", edge.alias("_e")).select("_key", "_slice", carry(over).alias("_carry"))
+        return rows.join(edges, ["_key", "_slice"])
 
     def lag(self, cols: Sequence[str], n: int = 1) -> Ordered:
         """Add `_prev1` .. `_prev<n>`: structs of `cols` of the n preceding rows."""
-        row = F.struct(*cols)
-        if self._whole:
-            w = self._local()
-            return self._same(
-                self.rows.withColumns({f"_prev{i}": F.lag(row, i).over(w) for i in range(1, n + 1)})
-            )
-        if n == 1:
-            tails = self._long_chunks().agg(F.array(F.max_by(row, F.struct(*self.order))).alias("_tail"))
-        else:
-            ranked = self.rows.where("_long").withColumn(
-                "_rn", F.row_number().over(self._local(reverse=True))
-            )
-            tails = (
-                ranked.where(F.col("_rn") <= n)
-                .groupBy(*self.keys)
-                .agg(F.array_sort(F.collect_list(F.struct("_rn", row.alias("_row")))).alias("_t"))
-                .withColumn("_tail", F.col("_t._row"))
-            )
-        latest_first = F.concat(
-            *[F.coalesce(F.lag("_tail", i).over(self._over_chunks()), F.array()) for i in range(1, n + 1)]
+        row, within = F.struct(*cols), self._within()
+        local = {f"_prev{i}": F.lag(row, i).over(within) for i in range(1, n + 1)}
+        rows = self.rows.withColumns({"_rn": F.row_number().over(within), **local})
+        # the last n rows of a slice, latest first; a slice has one at least
+        latest = F.array(F.struct(*[F.col("_last")[c].alias(c) for c in cols]), *[F.col("_last")[f"_prev{i}"] for i in range(1, n)])
+        rows = self._with_carry(
+            rows,
+            F.filter(latest, lambda x: x.isNotNull()),
+            lambda over: F.concat(*[F.coalesce(F.lag("_e", i).over(over), F.array()) for i in range(1, n + 1)]),
         )
-        w = self._local()
-        rows = self.rows.withColumn("_rn", F.row_number().over(w))
-        for i in range(1, n + 1):
-            rows = rows.withColumn(f"_prev{i}", F.lag(row, i).over(w))
-        rows = self._with_carry(rows, tails.withColumn("_carry", latest_first))
-        for i in range(1, n + 1):
-            rows = rows.withColumn(
-                f"_prev{i}",
-                F.when(F.col("_rn") > i, F.col(f"_prev{i}")).otherwise(
-                    F.get("_carry", F.lit(i) - F.col("_rn"))
-                ),
-            )
-        return self._same(rows.drop("_rn", "_carry"))
+        found = {
+            f"_prev{i}": F.when(F.col("_rn") > i, F.col(f"_prev{i}")).otherwise(F.get("_carry", F.lit(i) - F.col("_rn")))
+            for i in range(1, n + 1)
+        }
+        return self._same(rows.withColumns(found).drop("_rn", "_carry"))
 
     def running_sum(self, value: Column, name: str) -> Ordered:
         """Sum from the start of the series up to and including the row."""
-        up_to = self._local().rowsBetween(Window.unboundedPreceding, 0)
-        if self._whole:
-            return self._same(self.rows.withColumn(name, F.sum(value).over(up_to)))
-        base = self.rows.withColumn("_x", value)
-        before = self._over_chunks().rowsBetween(Window.unboundedPreceding, -1)
-        edges = (
-            base.where("_long")
-            .groupBy(*self.keys)
-            .agg(F.sum("_x").alias("_x"))
-            .withColumn("_carry", F.sum("_x").over(before))
-        )
-        rows = base.withColumn(name, F.sum("_x").over(up_to)).drop("_x")
-        rows = self._with_carry(rows, edges)
-        total = F.when(F.col("_carry").isNull(), F.col(name)).otherwise(
-            F.coalesce(F.col(name), F.lit(0)) + F.col("_carry")
-        )
-        return self._same(rows.withColumn(name, total).drop("_carry"))
+        within = self._within()
+        up_to = within.rowsBetween(Window.unboundedPreceding, 0)
+        rows = self.rows.withColumns({"_rn": F.row_number().over(within), name: F.sum(value).over(up_to)})
+        before = (Window.unboundedPreceding, -1)
+        rows = self._with_carry(rows, F.col("_last")[name], lambda over: F.sum("_e").over(over.rowsBetween(*before)))
+        total = F.when(F.col("_carry").isNull(), F.col(name)).otherwise(F.coalesce(F.col(name), F.lit(0)) + F.col("_carry"))
+        return self._same(rows.withColumn(name, total).drop("_rn", "_carry"))
 
     def nearest_known(self, value: Column, name: str, *, after: bool = False) -> Ordered:
         """Nearest non-null `value` strictly before the row, or strictly after it."""
-        earlier = self._local(reverse=after).rowsBetween(Window.unboundedPreceding, -1)
-        if self._whole:
-            return self._same(self.rows.withColumn(name, F.last(value, ignorenulls=True).over(earlier)))
-        base = self.rows.withColumn("_x", value)
-        pick = F.min_by if after else F.max_by
-        edges = (
-            base.where("_long and _x is not null")
-            .groupBy(*self.keys)
-            .agg(pick("_x", F.struct(*self.order)).alias("_x"))
-        )
-        # chunks without a known value still need the carry of an earlier one
-        chunks = self._long_chunks().agg(F.lit(None).cast(base.schema["_x"].dataType).alias("_x"))
-        strictly = self._over_chunks(after).rowsBetween(Window.unboundedPreceding, -1)
-        edges = (
-            edges.unionByName(chunks)
-            .groupBy(*self.keys)
-            .agg(F.max("_x").alias("_x"))
-            .withColumn("_carry", F.last("_x", ignorenulls=True).over(strictly))
+        within = self._within(reverse=after)
+        earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+        so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+        known = lambda over: F.last("_x", ignorenulls=True).over(over)
+        rows = self.rows.withColumn("_x", value)
+        rows = rows.withColumns({"_rn": F.row_number().over(within), name: known(earlier), "_seen": known(so_far)})
+        before = (Window.unboundedPreceding, -1)
+        rows = self._with_carry(
+            rows, F.col("_last")["_seen"], lambda over: F.last("_e", ignorenulls=True).over(over.rowsBetween(*before)), after
         )
-        rows = base.withColumn(name, F.last("_x", ignorenulls=True).over(earlier)).drop("_x")
-        rows = self._with_carry(rows, edges)
-        return self._same(rows.withColumn(name, F.coalesce(name, "_carry")).drop("_carry"))
+        return self._same(rows.withColumn(name, F.coalesce(name, "_carry")).drop("_x", "_rn", "_seen", "_carry"))

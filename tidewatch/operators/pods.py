@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.naming import (
     DRIVER_PATTERNS,
-    REPORTED_COMPONENTS,
-    REPORTED_NAMESPACES,
     WORKER_PATTERNS,
+    component_name,
     matches_any,
-    short_name,
     starts_with_any,
 )
 from tidewatch.functions.timeutil import extent, seconds_between
-from tidewatch.operators.joins import attach
+from tidewatch.operators.joins import attach, sized
 from tidewatch.operators.ordered import Ordered
 
 # Phases that may end a run.
@@ -187,27 +186,47 @@ def warmup(
     return out.withColumn("warmup_s", F.when(seconds > 0, seconds))
 
 
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """Row numbers from 1 within each group, without a task per group.
+
+    Spark sorts all rows by range. A row's number in its part comes from a window over
+    (part, group); a group's rows in the parts before are added up from one row per part and
+    group. Parts are balanced however large a group is.
+    """
+    keys = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    sorted_ = df.select("*", keys.alias("_key")).repartitionByRange("_key", *order)
+    rows = sorted_.withColumn("_part", F.spark_partition_id())
+    # numbers of parts are not the same when a plan is cut up anew, so the rows are kept
+    rows, _ = sized(rows, "numbered")
+    within = Window.partitionBy("_part", "_key").orderBy(*order)
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select("_part", "_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = rows.withColumn("_at", F.row_number().over(within)).join(parts, ["_part", "_key"])
+    return out.select(*df.columns, (F.col("_at") + F.col("_before")).alias(name))
+
+
 def role_labels(
     df: DataFrame,
     by: Sequence[str] = ("environment",),
     driver_patterns: Sequence[str] = DRIVER_PATTERNS,
     worker_patterns: Sequence[str] = WORKER_PATTERNS,
 ) -> DataFrame:
-    """Display name per pod: spark-driver, spark-worker-<n> by trailing number, or its own name."""
+    """Display name per pod: spark-driver, spark-worker-<n> by trailing number, or its own name.
+
+    Only workers are numbered; the driver with the first name is the driver.
+    """
     pods = df.select(*by, "pod").distinct()
     worker = matches_any("pod", worker_patterns)
     driver = matches_any("pod", driver_patterns) & ~worker
-    role = F.when(worker, "worker").when(driver, "driver").otherwise("other")
-    number = F.regexp_extract("pod", r"(\d+)$", 1).try_cast("long")
-    w = Window.partitionBy(*by, "role").orderBy(F.col("_no").asc_nulls_last(), "pod")
-    ranked = pods.withColumn("role", role).withColumn("_no", F.when(worker, number))
-    ranked = ranked.withColumn("_rank", F.row_number().over(w))
-    label = (
-        F.when(F.col("role") == "worker", F.concat(F.lit("spark-worker-"), F.col("_rank").cast("string")))
-        .when((F.col("role") == "driver") & (F.col("_rank") == 1), F.lit("spark-driver"))
-        .otherwise(F.col("pod"))
-    )
-    return ranked.select(*by, "pod", "role", label.alias("label"))
+    pods = pods.withColumn("role", F.when(worker, "worker").when(driver, "driver").otherwise("other"))
+    workers = pods.where("role = 'worker'").withColumn("_no", F.regexp_extract("pod", r"(\d+)$", 1).try_cast("long"))
+    workers = numbered(workers, by, [F.col("_no").asc_nulls_last(), F.col("pod")], "_rank")
+    workers = workers.select(*by, "pod", "role", F.concat(F.lit("spark-worker-"), F.col("_rank").cast("string")).alias("label"))
+    others = pods.where("role <> 'worker'")
+    first = others.where("role = 'driver'").groupBy(*by).agg(F.min("pod").alias("_first"))
+    label = F.when((F.col("role") == "driver") & (F.col("pod") == F.col("_first")), "spark-driver").otherwise(F.col("pod"))
+    return workers.unionByName(attach(others, first, by).select(*by, "pod", "role", label.alias("label")))
 
 
 def starts_on_node(starts: DataFrame, usage: DataFrame, node: str) -> DataFrame:
@@ -218,20 +237,80 @@ def starts_on_node(starts: DataFrame, usage: DataFrame, node: str) -> DataFrame:
 
 def disruption(
     df: DataFrame,
-    start,
-    end,
+    spans: Mapping[str, tuple],
+    names: Mapping[str, str],
     *,
-    namespaces: Sequence[str] = REPORTED_NAMESPACES,
-    components: Sequence[str] = REPORTED_COMPONENTS,
+    namespaces: Sequence[str],
+    reported: Sequence[str],
     gap: float = 45,
     tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Running intervals of the reported components of one environment, offsets from `start`."""
-    rows = active(df).where(F.col("timestamp").between(F.lit(start), F.lit(end)))
-    rows = rows.where(F.col("namespace").isin(list(namespaces)) & (F.col("phase") == "Running"))
-    intervals = running_intervals(rows, gap=gap, origin=start, tie=tie)
-    named = intervals.withColumn("component", short_name("pod", "component"))
-    return named.where(matches_any("component", [f"^{c}" for c in components]))
+    """Running intervals of the reported components in every environment of `spans`, which
+    gives its start and end; offsets count from the environment's own start.
+
+    `names` maps prefixes of pod names to components; `reported` are prefixes of components.
+    """
+
+    def one(environment: str, start, end) -> DataFrame:
+        rows = active(df).where((F.col("environment") == environment) & F.col("timestamp").between(F.lit(start), F.lit(end)))
+        rows = rows.where(F.col("namespace").isin(list(namespaces)) & (F.col("phase") == "Running"))
+        found = running_intervals(rows, gap=gap, origin=start, tie=tie)
+        return found.withColumns({"environment": F.lit(environment), "component": component_name("pod", names)})
+
+    out = reduce(DataFrame.unionByName, [one(e, *span) for e, span in spans.items()])
+    return out.where(starts_with_any("component", reported))
+
+
+def disruption_gaps(df: DataFrame, spans: Mapping[str, tuple], threshold: float = 45) -> DataFrame:
+    """Times without any sample of an environment, all its pods together, within its span."""
+
+    def one(environment: str, start, end) -> DataFrame:
+        rows = df.where((F.col("environment") == environment) & F.col("timestamp").between(F.lit(start), F.lit(end)))
+        return scrape_gaps(rows, threshold=threshold, origin=start)
+
+    return reduce(DataFrame.unionByName, [one(e, *span) for e, span in spans.items()])
+
+
+def availability(intervals: DataFrame, gaps: DataFrame, spans: Mapping[str, tuple]) -> DataFrame:
+    """Per environment and component: seconds up (some pod running while samples came), seconds
+    unseen (no samples), seconds down (the rest of the span), and `max_span_s`, the longest
+    span, which is the common axis of all.
+
+    A sweep: an interval adds one where it starts and takes one where it ends, a gap likewise;
+    the running sums hold until the next change. Changes at one time are added up first, so
+    overlapping pods and thousands of intervals of one component cost one row per time.
+    """
+    seconds = {e: (end - start).total_seconds() for e, (start, end) in spans.items()}
+    keys = ["environment", "component"]
+    every = intervals.select(*keys).distinct()
+
+    def changes(rows: DataFrame, start: str, end: str, up: int) -> DataFrame:
+        at = F.explode(F.array(F.struct(F.col(start).alias("ts"), F.lit(1).alias("_d")), F.struct(F.col(end).alias("ts"), F.lit(-1).alias("_d"))))
+        rows = rows.select(*keys, at.alias("_c")).select(*keys, "_c.ts", "_c._d")
+        return rows.select(*keys, "ts", (F.col("_d") * up).alias("_up"), (F.col("_d") * (1 - up)).alias("_gap"))
+
+    edges = F.lit(None).cast("timestamp")
+    for e, (start, end) in spans.items():
+        edges = F.when(F.col("environment") == e, F.lit(start)).otherwise(edges)
+    last = F.lit(None).cast("timestamp")
+    for e, (start, end) in spans.items():
+        last = F.when(F.col("environment") == e, F.lit(end)).otherwise(last)
+    whole = every.select(*keys, F.explode(F.array(edges, last)).alias("ts"), F.lit(0).alias("_up"), F.lit(0).alias("_gap"))
+    moves = (
+        changes(intervals, "start_ts", "end_ts", 1)
+        .unionByName(changes(every.join(gaps, "environment"), "gap_start", "gap_end", 0))
+        .unionByName(whole)
+        .groupBy(*keys, "ts")
+        .agg(F.sum("_up").alias("_up"), F.sum("_gap").alias("_gap"))
+    )
+    o = Ordered(moves, keys, ["ts"]).running_sum(F.col("_up"), "_ups").running_sum(F.col("_gap"), "_gaps").lag(["ts", "_ups", "_gaps"])
+    held = seconds_between("ts", "_prev1.ts")
+    unseen, up = F.col("_prev1._gaps") > 0, F.col("_prev1._ups") > 0
+    span = F.create_map(*[F.lit(x) for pair in seconds.items() for x in pair])
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, held)), F.lit(0.0))
+    out = o.result().groupBy(*keys).agg(total(up & ~unseen).alias("up_s"), total(unseen).alias("unseen_s"))
+    down = span[F.col("environment")] - F.col("up_s") - F.col("unseen_s")
+    return out.withColumns({"down_s": down, "max_span_s": F.lit(max(seconds.values()))})
 
 
 def common_span(frames: Sequence[DataFrame], ts: str = "timestamp") -> DataFrame:

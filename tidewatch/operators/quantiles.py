@@ -1,11 +1,11 @@
-"""Exact quantiles without holding a group in one task.
-
-Spark's `percentile` keeps all distinct values of a group in one hash map.
-Here equal values are counted first (spread over all tasks), the counts are
-summed into bins of one value range each, and only the bins that hold a wanted
-rank are looked at more closely, twice. Ranks are exact at every step; bins
-decide only how much is left to sort. Inputs known to fit one task use
-`percentile`, which interpolates the same way.
+"""Exact quantiles by radix selection, without moving or sorting rows.
+
+A double is read as a 64-bit whole number of the same order. Its first 24 bits are counted
+on the map side, which leaves 4096 counts per group, task and power of two to be added up;
+they tell which of them hold the wanted ranks. Rows that start with those bits are counted
+by their next 20 bits, those left by the last 20, and then every wanted rank is one value.
+All ranks of all columns go together. Where values lie makes no difference: a dense cluster
+far from an outlier takes the same three turns.
 """
 
 from __future__ import annotations
@@ -15,11 +15,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.joins import attach
-from tidewatch.operators.sizes import fits_one_task
+from tidewatch.operators.joins import kept, sized
 
-BINS_PER_OCTAVE = 64
-FINE_BINS = 1024
+#: Bits of a value that are known after each turn.
+TURNS = (24, 44, 64)
+_ONE = 1 << 52
+
+
+def with_ordered_bits(df: DataFrame, col: str, out: str = "_bits") -> DataFrame:
+    """Adds the bits of a double as a long of the same order; -0.0 is 0.0, null and NaN are null.
+
+    Each step is a column of its own, which Spark computes once per row.
+    """
+    power = F.pow(F.lit(2.0), F.col("_g"))
+    # the exponent; the logarithm may be off by one where it is near a whole number
+    guess = F.greatest(F.least(F.floor(F.log2("_a")).cast("double"), F.lit(1023.0)), F.lit(-1022.0))
+    exponent = F.greatest(F.col("_g") - (F.col("_a") < F.col("_w")).cast("double") + (F.col("_a") >= F.col("_w") * 2).cast("double"), F.lit(-1022.0))
+    normal = (F.col("_e") + 1023).cast("long") * F.lit(_ONE) + ((F.col("_a") * F.pow(F.lit(2.0), -F.col("_e")) - 1) * F.lit(float(_ONE))).cast("long")
+    subnormal = (F.col("_a") * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    bits = (
+        F.when(F.col("_a") == F.lit(float("inf")), F.lit(0x7FF << 52))
+        .when(F.col("_a") >= F.lit(2.0**-1022), normal)
+        .when(~F.isnan("_a"), subnormal)
+    )
+    steps = [("_d", F.col(col).cast("double")), ("_a", F.abs("_d")), ("_g", guess), ("_w", power), ("_e", exponent), ("_m", bits)]
+    for name, step in steps:
+        df = df.withColumn(name, step)
+    # bits are compared from zero on, so that they aren't negated where there are none
+    signed = F.when((F.col("_d") < 0) & (F.col("_a") > 0), -F.col("_m") - 1).otherwise(F.col("_m"))
+    return df.withColumn(out, signed).drop(*[name for name, _ in steps])
+
+
+def from_ordered_bits(bits: Column) -> Column:
+    """The double that `with_ordered_bits` gave these bits."""
+    m = F.when(bits < 0, -bits - 1).otherwise(bits)
+    e, part = F.shiftright(m, 52), m.bitwiseAND(F.lit(_ONE - 1)).cast("double")
+    normal = (1 + part / F.lit(float(_ONE))) * F.pow(F.lit(2.0), (e - 1023).cast("double"))
+    size = F.when(e == 0x7FF, F.lit(float("inf"))).when(e > 0, normal).otherwise(part * F.lit(2.0**-537) * F.lit(2.0**-537))
+    return F.when(bits < 0, -size).otherwise(size)
 
 
 def value_counts(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
@@ -41,81 +74,66 @@ def _ranks(probs: Sequence[float], n: Column) -> list[tuple[Column, Column, Colu
     return out
 
 
-def _holds_rank(probs: Sequence[float], start: Column, count: Column, n: Column) -> Column:
-    cond = F.lit(False)
-    for lo, hi, _ in _ranks(probs, n):
-        cond = cond | ((lo >= start) & (lo < start + count)) | ((hi >= start) & (hi < start + count))
-    return cond
-
-
-def _counted_before(keys: Sequence[str], order: str) -> Column:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("_c").over(w), F.lit(0))
-
-
-def quantiles_of_counts(
-    counts: DataFrame, by: Sequence[str], probs: Sequence[float], *, few_groups: bool = False
-) -> DataFrame:
-    """(by, n, q) with `q` the linearly interpolated quantiles at `probs`."""
-    if fits_one_task(counts):
-        spread = ", ".join(f"{float(p)!r}D" for p in probs)
-        return counts.groupBy(*by).agg(
-            F.sum("_c").alias("n"), F.expr(f"percentile(_v, array({spread}), _c)").alias("q")
-        )
-    keys = list(by) or ["_g"]
-    if not by:
-        counts = counts.withColumn("_g", F.lit(0))
-        few_groups = True
-    size = F.least(F.log2(1 + F.abs("_v") * 1e6), F.lit(1100.0)) * BINS_PER_OCTAVE
-    counts = counts.withColumn("_b", (F.signum("_v") * F.floor(size)).cast("long"))
-    n = F.sum("_c").over(Window.partitionBy(*keys))
-
-    bins = (
-        counts.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .select(*keys, "_b", "_lo", "_hi", "_c", n.alias("_n"), _counted_before(keys, "_b").alias("_start"))
-        .where(_holds_rank(probs, F.col("_start"), F.col("_c"), F.col("_n")))
-        .drop("_c")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    fine = F.when(
-        width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * FINE_BINS), F.lit(FINE_BINS - 1))
-    ).otherwise(F.lit(0))
-    inside = attach(counts, bins, [*keys, "_b"], few_groups=few_groups, how="inner")
-    inside = inside.withColumn("_s", fine.cast("long"))
-
-    sub = (
-        inside.groupBy(*keys, "_b", "_s")
-        .agg(F.sum("_c").alias("_c"), F.max("_start").alias("_start"), F.max("_n").alias("_n"))
-        .withColumn("_from", F.col("_start") + _counted_before([*keys, "_b"], "_s"))
-        .where(_holds_rank(probs, F.col("_from"), F.col("_c"), F.col("_n")))
-        .select(*keys, "_b", "_s", "_from")
+def _found(counts: DataFrame, within: Sequence[str], turn: int, probs: Sequence[float]) -> DataFrame:
+    """The prefixes that hold a wanted rank: `_rest` has those ranks (`rank`) and how many
+    values of the prefix come before each (`left`)."""
+    over = Window.partitionBy(*within).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(over), F.lit(0)))
+    if turn == 0:
+        counts = counts.withColumn("_n", F.sum("_c").over(Window.partitionBy(*within)))
+        wanted = F.array_distinct(F.array(*[r for lo, hi, _ in _ranks(probs, F.col("_n")) for r in (lo, hi)]))
+        wanted = F.transform(wanted, lambda r: F.struct(r.alias("rank"), r.alias("left")))
+    else:
+        wanted = F.col("_rest")
+    inside = F.filter(wanted, lambda w: (w["left"] >= F.col("_before")) & (w["left"] < F.col("_before") + F.col("_c")))
+    rest = F.transform(inside, lambda w: F.struct(w["rank"].alias("rank"), (w["left"] - F.col("_before")).alias("left")))
+    return counts.withColumn("_rest", rest).where(F.size("_rest") > 0).drop("_before", "_c")
+
+
+def exact_ranks(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(by, _col, n, q): linearly interpolated quantiles at `probs` of each of `cols`, `_col`
+    being its number. Nulls and NaN are skipped; groups without a value have no row.
+
+    A turn has at most two prefixes per group, column and probability. Those of the first
+    one are written out and counted; where they are few, as are the later ones then, they
+    are broadcast, and rows are counted where they are. Else Spark picks the join.
+    """
+    one = [F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)]
+    names = [f"_k{i}" for i in range(len(by))]
+    keys = [F.col(k).alias(n) for k, n in zip(by, names, strict=True)]
+    rows = df.select(*keys, F.inline(F.array(*one))) if len(one) > 1 else df.select(*keys, F.lit(0).alias("_col"), one[0]["_v"].alias("_v"))
+    # the turns read group and bits alone, written once where they are, whatever made the rows
+    rows = kept(with_ordered_bits(rows, "_v").where("_bits is not null").drop("_v"), "rank-bits")
+    group, found, few = [*names, "_col"], None, False
+    for turn, bits in enumerate(TURNS):
+        prefix = F.shiftright("_bits", 64 - bits).alias("_p")
+        some, within = rows, [*group]
+        if found is not None:
+            last = F.shiftright("_bits", 64 - TURNS[turn - 1])
+            right = found.select(*[F.col(c).alias(f"_r{c}") for c in group], F.col("_p").alias("_of"), "_n", "_rest")
+            right = F.broadcast(right) if few else right
+            same = last == F.col("_of")
+            for c in group:
+                same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+            some, within = rows.join(right, same), [*group, "_of"]
+        more = [] if found is None else ["_of", "_n", "_rest"]
+        counts = some.groupBy(*group, *more, prefix).agg(F.count(F.lit(1)).alias("_c"))
+        found = _found(counts, within, turn, probs)
+        if turn == 0:
+            found, few = sized(found, "ranks")
+        else:
+            found = found.drop("_of")
+    values = found.select(*group, "_n", from_ordered_bits(F.col("_p")).alias("_value"), F.explode("_rest.rank").alias("_rank"))
+    at = values.groupBy(*group).agg(
+        F.max("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")
     )
-    exact = attach(
-        inside.select(*keys, "_b", "_s", "_v", "_c", "_n"),
-        sub,
-        [*keys, "_b", "_s"],
-        few_groups=few_groups,
-        how="inner",
-    ).withColumn("_at", F.col("_from") + _counted_before([*keys, "_b", "_s"], "_v"))
-
-    end = F.col("_at") + F.col("_c")
-    picks = []
-    for i, (lo, hi, _) in enumerate(_ranks(probs, F.col("_n"))):
-        picks.append(F.max(F.when((lo >= F.col("_at")) & (lo < end), F.col("_v"))).alias(f"_lo{i}"))
-        picks.append(F.max(F.when((hi >= F.col("_at")) & (hi < end), F.col("_v"))).alias(f"_hi{i}"))
-    found = exact.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
-    q = [
-        F.when(frac > 0, F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).otherwise(
-            F.col(f"_lo{i}")
-        )
-        for i, (_, _, frac) in enumerate(_ranks(probs, F.col("n")))
-    ]
-    return found.select(*by, "n", F.array(*q).alias("q"))
-
-
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], *, few_groups: bool = False
-) -> DataFrame:
-    """Quantiles of `col` per group, nulls and NaN skipped."""
-    return quantiles_of_counts(value_counts(df, by, col), by, probs, few_groups=few_groups)
+    q = []
+    for lo, hi, part in _ranks(probs, F.col("n")):
+        low, high = F.element_at("_at", lo), F.element_at("_at", hi)
+        q.append(F.when(part > 0, low + (high - low) * part).otherwise(low))
+    return at.select(*[F.col(n).alias(k) for k, n in zip(by, names, strict=True)], "_col", "n", F.array(*q).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+    """(by, n, q): quantiles of `col` per group, nulls and NaN skipped."""
+    return exact_ranks(df, by, [col], probs).drop("_col")

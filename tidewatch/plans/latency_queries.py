@@ -88,12 +88,11 @@ def latency_summary_pivot(spark, folder):
         for s in ("median", "p95")
         for e in ("Edge", "Cloud")
     )
-    + " FROM s WHERE environment = 'Edge' OR stage <> 'Total' GROUP BY stage",
+    + " FROM s GROUP BY stage",
     [f"{s}_{e}_ms" for s in ("median", "p95") for e in ("edge", "cloud")],
 )
 def latency_summary_bars(spark, folder):
-    summary = lat.latency_summary(long(spark, folder)).where("environment = 'Edge' or stage <> 'Total'")
-    return lat.latency_summary_wide(summary, stats=["median_ms", "p95_ms"], fill=0.0)
+    return lat.latency_summary_wide(lat.latency_summary(long(spark, folder)), stats=["median_ms", "p95_ms"], fill=0.0)
 
 
 @query(
@@ -166,16 +165,14 @@ def latency_box(spark, folder):
     "latency_kde",
     with_(
         "ev",
-        a="SELECT event_type, count(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS s"
-        " FROM ev GROUP BY event_type",
-        c="SELECT ev.event_type, least(floor((value - lo) / ((hi - lo) / 2000)), 1999) AS cell, avg(value) AS x,"
-        " count(*) AS w FROM ev JOIN a ON ev.event_type = a.event_type GROUP BY 1, 2",
-        p="SELECT a.event_type, i AS point, n, s * pow(n, -0.2) AS h, hi * i / 199 AS gx FROM a,"
-        " range(0, 200) t(i)",
+        a="SELECT event_type, count(value) AS n, min(value) AS lo, max(value) AS hi,"
+        " stddev_samp(value) * pow(count(value), -0.2) AS h FROM ev GROUP BY event_type",
+        b="SELECT event_type, n, h, greatest(lo - 3 * h, 0) AS lo, hi + 3 * h AS hi FROM a",
+        p="SELECT event_type, i AS point, n, h, lo + i * ((hi - lo) / 199) AS gx FROM b, range(0, 200) t(i)",
     )
     + "SELECT p.event_type, p.point, max(gx) AS x,"
-    " sum(w * exp(-0.5 * pow((gx - x) / h, 2))) / max(n * h * sqrt(2 * pi())) AS density"
-    " FROM p JOIN c ON p.event_type = c.event_type GROUP BY 1, 2",
+    " sum(exp(-0.5 * pow((gx - value) / h, 2))) / max(n * h * sqrt(2 * pi())) AS density"
+    " FROM p JOIN ev ON p.event_type = ev.event_type WHERE value IS NOT NULL GROUP BY 1, 2",
     ["x", "density"],
 )
 def latency_kde(spark, folder):
@@ -353,15 +350,15 @@ def common_end_range(spark, folder):
     "label_filters",
     with_("csamples")
     + "SELECT event_id, pod, container, node FROM csamples WHERE container IS NOT NULL AND node <> 'w1'"
-    " AND environment = 'Edge' AND container IN ('kafka', 'main')"
-    " AND (pod LIKE 'streaming-kafka%' OR pod LIKE 'minio%') AND (lower(pod) LIKE '%kafka%' OR pod LIKE '%master%')",
+    " AND environment = 'Edge' AND container IN ('broker', 'main')"
+    " AND (pod LIKE 'msg-bus%' OR pod LIKE 'blob%') AND (lower(pod) LIKE '%bus%' OR pod LIKE '%fs%')",
 )
 def label_filters(spark, folder):
     df = flt.labelled(v.container_samples(spark, folder), "container")
     df = flt.without_value(df, "node", "w1")
-    df = flt.where_labels(df, environment="Edge", container=["kafka", "main"])
-    df = flt.where_prefix(df, "pod", ["streaming-kafka", "minio"])
-    return flt.where_contains(df, "pod", ["KAFKA", "master"]).select("event_id", "pod", "container", "node")
+    df = flt.where_labels(df, environment="Edge", container=["broker", "main"])
+    df = flt.where_prefix(df, "pod", ["msg-bus", "blob"])
+    return flt.where_contains(df, "pod", ["BUS", "fs"]).select("event_id", "pod", "container", "node")
 
 
 @query(

@@ -21,6 +21,7 @@ from tidewatch.sources import avro, captures, sinks, tables
 from tidewatch.streaming import pipeline
 
 METRIC = "kafka_writer_wait_seconds"
+TYPES = ["view", "click", "signup", "purchase", "error"]
 SECOND_STATS = {
     "p": "SELECT environment, timestamp, min(metric_value) AS min_val, avg(metric_value) AS mean_val,"
     f" max(metric_value) AS max_val FROM k6 WHERE metric_name = '{METRIC}' GROUP BY 1, 2",
@@ -268,9 +269,9 @@ def crosstab(spark, folder):
     "field_pivot",
     with_("ev")
     + "SELECT ts, user_id, "
-    + ", ".join(f"max(value) FILTER (event_type = '{k}') AS {k}" for k in ("view", "click", "error"))
+    + ", ".join(f"max(value) FILTER (event_type = '{k}') AS {k}" for k in TYPES)
     + " FROM ev WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2",
-    ["view", "click", "error"],
+    TYPES,
 )
 def field_pivot(spark, folder):
     return tables.pivot_fields(
@@ -279,7 +280,7 @@ def field_pivot(spark, folder):
         ["user_id"],
         "event_type",
         "value",
-        ["view", "click", "error"],
+        TYPES,
         start=dt.datetime(2024, 1, 2),
         end=dt.datetime(2024, 1, 20),
     )
@@ -318,13 +319,14 @@ def metric_store(spark, folder):
 @query(
     "dataset_concat",
     with_("ev")
-    + "SELECT event_id, value FROM (SELECT *, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS part"
-    " FROM ev WHERE event_type IN ('view', 'click', 'error')) ORDER BY part, event_id LIMIT 36000",
+    + "SELECT event_id, value FROM (SELECT *, CASE event_type "
+    + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(TYPES))
+    + " END AS part FROM ev) ORDER BY part, event_id LIMIT 36000",
     ["value"],
 )
 def dataset_concat(spark, folder):
     df = v.events(spark, folder)
-    parts = [df.where(F.col("event_type") == k).select("event_id", "value") for k in ("view", "click", "error")]
+    parts = [df.where(F.col("event_type") == k).select("event_id", "value") for k in TYPES]
     return tables.concat_capped(parts, ["event_id"], sinks.EXPORT_ROWS)
 
 

@@ -20,19 +20,20 @@ def eventlog_jobs(spark, folder):
 @query(
     "eventlog_stages",
     with_("stages", "owners")
-    + "SELECT app, stages.StageID, StageName, SubmissionTime, CompletionTime, NumTasks, InputRecords, GCTimeMs,"
-    " DurationMs, DurationSec, owners.JobID FROM stages LEFT JOIN owners ON stages.StageID = owners.StageID",
+    + "SELECT stages.*, CAST(0 AS BIGINT) AS StageAttemptID, owners.JobID FROM stages"
+    " LEFT JOIN owners ON stages.StageID = owners.StageID",
     ["DurationSec"],
 )
 def eventlog_stages(spark, folder):
-    return evl.stages(v.log_lines(spark, folder)).drop(
-        "StageAttemptID", "ShuffleReadBytes", "ShuffleWriteBytes", "OutputRecords"
-    )
+    return evl.stages(v.log_lines(spark, folder))
 
 
 @query(
     "eventlog_tasks",
     "SELECT 'app-1' AS app, l_orderkey * 10 + l_linenumber AS TaskID, l_orderkey * 2 AS StageID,"
+    " CAST(0 AS BIGINT) AS StageAttemptID, CAST(l_suppkey % 4 AS VARCHAR) AS ExecutorID, l_suppkey * 3 AS ShuffleReadBytes,"
+    " l_suppkey * 5 AS ShuffleWriteBytes, CAST(l_linenumber * 1000 AS BIGINT) AS DiskBytesSpilled,"
+    " CASE WHEN l_returnflag <> 'R' THEN epoch_ms(l_shipdate) + CAST(floor(l_extendedprice) AS BIGINT) END AS FinishTime,"
     " 'host-' || (l_suppkey % 10) AS Host, epoch_ms(l_shipdate) AS LaunchTime,"
     " CASE WHEN l_returnflag <> 'R' THEN CAST(floor(l_extendedprice) AS BIGINT) END AS Duration,"
     " l_linestatus <> 'F' AS Successful, l_partkey AS BytesRead, CAST(floor(l_quantity) AS BIGINT) AS MemoryBytesSpilled,"
@@ -40,18 +41,7 @@ def eventlog_stages(spark, folder):
     ["DurationSec"],
 )
 def eventlog_tasks(spark, folder):
-    return evl.tasks(v.log_lines(spark, folder)).select(
-        "app",
-        "TaskID",
-        "StageID",
-        "Host",
-        "LaunchTime",
-        "Duration",
-        "Successful",
-        "BytesRead",
-        "MemoryBytesSpilled",
-        "DurationSec",
-    )
+    return evl.tasks(v.log_lines(spark, folder))
 
 
 @query(
@@ -70,18 +60,65 @@ def stage_job_lookup(spark, folder):
     return evl.stage_to_job(v.log_lines(spark, folder))
 
 
-def _summary_sql(src: str, cols: list[str]) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count({c}) AS count, avg({c}::DOUBLE) AS mean, stddev_samp({c}::DOUBLE) AS std,"
+NUMBERS = ["ID", "Attempt", "JobID", "SubmissionDay", "CompletionDay", "NumTasks", *evl.STAGE_ACCUMULABLES, "DurationSec"]
+HISTORY = {
+    "hs": "SELECT *, SubmissionTime / 86400000.0::DOUBLE AS SubmissionDay, CompletionTime / 86400000.0::DOUBLE AS CompletionDay FROM (SELECT 'job' AS Kind, JobID AS ID, NULL::BIGINT AS Attempt, JobID, SubmissionTime, CompletionTime, NULL::BIGINT AS NumTasks, "
+    + ", ".join(f"NULL::BIGINT AS {c}" for c in evl.STAGE_ACCUMULABLES)
+    + ", DurationSec, NULL AS Name FROM jobs UNION ALL SELECT 'stage', stages.StageID, 0, owners.JobID, SubmissionTime, CompletionTime, NumTasks, "
+    + ", ".join(evl.STAGE_ACCUMULABLES)
+    + ", DurationSec, StageName FROM stages LEFT JOIN owners ON stages.StageID = owners.StageID)",
+}
+
+
+@query(
+    "eventlog_summary",
+    with_("jobs", "stages", "owners", **HISTORY)
+    + " UNION ALL ".join(
+        f"SELECT Kind, '{c}' AS \"column\", count({c}) AS count, avg({c}::DOUBLE) AS mean, stddev_samp({c}::DOUBLE) AS std,"
         f" min({c}::DOUBLE) AS min, max({c}::DOUBLE) AS max, quantile_cont({c}::DOUBLE, 0.25) AS p25,"
-        f" quantile_cont({c}::DOUBLE, 0.5) AS p50, quantile_cont({c}::DOUBLE, 0.75) AS p75 FROM {src}"
-        for c in cols
+        f" quantile_cont({c}::DOUBLE, 0.5) AS p50, quantile_cont({c}::DOUBLE, 0.75) AS p75 FROM hs"
+        f" WHERE {c} IS NOT NULL GROUP BY Kind"
+        for c in NUMBERS
+    ),
+    DESCRIBED,
+)
+def eventlog_summary(spark, folder):
+    days = {f"{c}Day": F.col(f"{c}Time") / 86_400_000.0 for c in ("Submission", "Completion")}
+    return evl.summarize_history(evl.history(v.log_lines(spark, folder)).withColumns(days), NUMBERS)
+
+
+@query(
+    "eventlog_history",
+    with_("jobs", "stages", "owners", **HISTORY) + "SELECT Kind, ID, Attempt, JobID, Name, SubmissionTime, CompletionTime, NumTasks, DurationSec FROM hs",
+    ["DurationSec"],
+)
+def eventlog_history(spark, folder):
+    return evl.history(v.log_lines(spark, folder)).select(
+        "Kind", "ID", "Attempt", "JobID", "Name", "SubmissionTime", "CompletionTime", "NumTasks", "DurationSec"
     )
 
 
-@query("eventlog_summary", with_("stages") + _summary_sql("stages", ["DurationSec", "NumTasks"]), DESCRIBED)
-def eventlog_summary(spark, folder):
-    return evl.summarize(evl.stages(v.log_lines(spark, folder)), ["DurationSec", "NumTasks"])
+@query(
+    "top_k_shuffle_read",
+    with_("jobs", "stages", "owners", **HISTORY)
+    + "SELECT ID, Name, ShuffleReadBytes FROM hs WHERE Kind = 'stage' ORDER BY ShuffleReadBytes DESC, ID LIMIT 5",
+)
+def top_k_shuffle_read(spark, folder):
+    stages = evl.history(v.log_lines(spark, folder)).where("Kind = 'stage'")
+    return evl.slowest(stages, "ShuffleReadBytes", tie=["ID"]).select("ID", "Name", "ShuffleReadBytes")
+
+
+@query(
+    "stage_duration_series",
+    with_("jobs", "stages", "owners", **HISTORY)
+    + "SELECT ID, JobID, CASE JobID % 3 WHEN 0 THEN 'Planning' WHEN 1 THEN 'Kafka Fetch' ELSE 'Transformations' END AS JobType,"
+    " timezone('America/Sao_Paulo', timezone('UTC', epoch_ms(SubmissionTime))) AS StartedAt,"
+    " DurationSec, (SELECT avg(DurationSec) FROM stages) AS MeanSec FROM hs WHERE Kind = 'stage'",
+    ["DurationSec", "MeanSec"],
+)
+def stage_duration_series(spark, folder):
+    series = evl.stage_series(evl.history(v.log_lines(spark, folder)))
+    return series.select("ID", "JobID", "JobType", "StartedAt", "DurationSec", "MeanSec")
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.naming import STORE_POD_PREFIXES
 from tidewatch.functions.timeutil import bucket, relative_seconds
 from tidewatch.functions.units import convert_unit
 from tidewatch.operators import metrics as met
@@ -349,9 +348,8 @@ def node_resources(spark, folder):
 
 # Pods shortened as in the pod charts.
 SHORT = (
-    "CASE pod WHEN 'streaming-kafka-0' THEN 'streaming-0' WHEN 'app-driver' THEN 'app'"
-    " WHEN 'minio-community-0' THEN 'minio-0' WHEN 'minio-master-0' THEN 'minio-0'"
-    " WHEN 'master-kafka-1' THEN 'master-1' END"
+    "CASE pod WHEN 'msg-bus-0' THEN 'bus-0' WHEN 'msg-bus-1-fv5kx' THEN 'bus-1'"
+    " WHEN 'app-driver' THEN 'app' ELSE pod END"
 )
 
 
@@ -379,7 +377,7 @@ def _pod_usage_sql(limit: str) -> str:
     ["relative_s", "usage", "usage_limit"],
 )
 def pod_usage_cpu(spark, folder):
-    return met.pod_usage(v.container_counters(spark, folder), "cpu", v.limits(spark))
+    return met.pod_usage(v.container_counters(spark, folder), "cpu", v.limits(spark), names=v.SHORT_NAMES)
 
 
 @query(
@@ -394,7 +392,7 @@ def pod_usage_cpu(spark, folder):
     ["relative_s", "usage", "usage_limit"],
 )
 def pod_usage_memory(spark, folder):
-    return met.pod_usage(v.container_memory(spark, folder), "memory", v.limits(spark))
+    return met.pod_usage(v.container_memory(spark, folder), "memory", v.limits(spark), names=v.SHORT_NAMES)
 
 
 def _rate_sql(name: str, src: str, factor: str = "", tie: str = "container") -> str:
@@ -433,7 +431,7 @@ def _cpu_sql(order: str, keep: str) -> str:
             _rate_sql("waiting", _sum_sql("node = 'w1'")),
             _rate_sql("sent_kib", "SELECT * FROM ccounters WHERE node = 'w2'", " / 1024", "container, id"),
             _rate_sql("received_kib", "SELECT * FROM ccounters WHERE node <> 'w2'", " / 1024", "container, id"),
-            _cpu_sql("id, timestamp", "pod LIKE 'minio%'"),
+            _cpu_sql("id, timestamp", "pod LIKE 'blob-%'"),
         ]
     ),
     ["value"],
@@ -447,7 +445,7 @@ def store_panel(spark, folder):
         c.where("node = 'w2'"),
         c.where("node <> 'w2'"),
         c,
-        STORE_POD_PREFIXES,
+        v.SERVICES["Store"],
     )
 
 
@@ -456,18 +454,18 @@ def store_panel(spark, folder):
     with_("ccounters")
     + " UNION ALL ".join(
         [
-            _rate_sql("bytes_in", _sum_sql("topic = 'control_power-avro'")),
-            _rate_sql("bytes_out", _sum_sql("topic = 'control_power-avro' AND node = 'w1'")),
+            _rate_sql("bytes_in", _sum_sql("topic = 'orders'")),
+            _rate_sql("bytes_out", _sum_sql("topic = 'orders' AND node = 'w1'")),
             _rate_sql("requests", _sum_sql()),
             _rate_sql("errors", _sum_sql("node = 'w0'")),
-            _rate_sql("messages", "SELECT * FROM ccounters WHERE topic = 'control_power-avro'", "", "container, id"),
-            _cpu_sql("timestamp, id", "pod LIKE '%-kafka-%' AND container = 'kafka'"),
+            _rate_sql("messages", "SELECT * FROM ccounters WHERE topic = 'orders'", "", "container, id"),
+            _cpu_sql("timestamp, id", "pod LIKE '%-bus-%' AND container = 'broker'"),
         ]
     ),
     ["value"],
 )
 def broker_panel(spark, folder):
     c = v.container_counters(spark, folder)
-    return met.broker_panel(c, c.where("node = 'w1'"), c, c.where("node = 'w0'"), c, c)
+    return met.broker_panel(c, c.where("node = 'w1'"), c, c.where("node = 'w0'"), c, c, topic=v.TOPIC, words=["-bus-"], container="broker")
 
 

@@ -12,9 +12,14 @@ from tidewatch.plans import views as v
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import with_
 
-START, END = dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 20)
+SPANS = {
+    "Edge": (dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 20)),
+    "Cloud": (dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 28)),
+}
+SELECTED = [p for prefixes in v.SERVICES.values() for p in prefixes]
+BUS_AND_STORE = [*v.SERVICES["Store"], *v.SERVICES["Queue"]]
 GAP = 6 * 3600
-DRIVER = "regexp_matches(pod, 'driver$')"
+DRIVER = "regexp_matches(pod, '-driver$')"
 WORKER = "regexp_matches(pod, '-exec-[0-9]+$')"
 
 
@@ -98,12 +103,11 @@ def pod_restarts(spark, folder):
     with_("act", **RESTARTS)
     + RESTARTED
     + " AND ("
-    + " OR ".join(f"starts_with(pod, '{p}')" for p in nm.STORE_POD_PREFIXES + nm.BROKER_POD_PREFIXES)
+    + " OR ".join(f"starts_with(pod, '{p}')" for p in BUS_AND_STORE)
     + ")",
 )
 def service_restarts(spark, folder):
-    prefixes = nm.STORE_POD_PREFIXES + nm.BROKER_POD_PREFIXES
-    return pods.service_restarts(v.phases(spark, folder), prefixes, tie=["event_id"])
+    return pods.service_restarts(v.phases(spark, folder), BUS_AND_STORE, tie=["event_id"])
 
 
 TRUE_STARTS = {
@@ -165,18 +169,18 @@ BARE = (
     with_("phases", p=f"SELECT DISTINCT pod, {BARE} AS bare FROM phases")
     + "SELECT pod, CASE "
     + " ".join(
-        f"WHEN starts_with(bare, '{p}') THEN replace(bare, '{p}', '{n}')" for p, n in nm.SHORT_NAMES.items()
+        f"WHEN starts_with(bare, '{p}') THEN replace(bare, '{p}', '{n}')" for p, n in v.SHORT_NAMES.items()
     )
     + " ELSE array_to_string(string_split(bare, '-')[1:3], '-') END AS short,"
     " CASE WHEN regexp_matches(pod, '-exec-[0-9]+$') THEN 'spark-executor-' || regexp_extract(pod, '([0-9]+)$', 1)"
-    f" ELSE {prefix_case(nm.COMPONENT_NAMES, 'pod')} ELSE pod END END AS component FROM p",
+    f" ELSE {prefix_case(v.COMPONENTS, 'pod')} ELSE pod END END AS component FROM p",
 )
 def name_normalize(spark, folder):
     return (
         v.phases(spark, folder)
         .select("pod")
         .distinct()
-        .select("pod", nm.short_name("pod").alias("short"), nm.short_name("pod", "component").alias("component"))
+        .select("pod", nm.short_name("pod", v.SHORT_NAMES).alias("short"), nm.component_name("pod", v.COMPONENTS).alias("component"))
     )
 
 
@@ -186,7 +190,7 @@ def name_normalize(spark, folder):
     + "SELECT DISTINCT pod, CASE "
     + " ".join(
         f"WHEN {' OR '.join(f'''starts_with(pod, '{p}')''' for p in ps)} THEN '{g}'"
-        for g, ps in nm.SERVICE_GROUPS.items()
+        for g, ps in v.SERVICES.items()
     )
     + " END AS service, CASE WHEN contains(pod, 'driver') THEN 'Driver' WHEN contains(pod, 'exec')"
     " THEN 'Exc-' || string_split(pod, '-exec-')[-1] ELSE pod END AS start_label FROM phases",
@@ -194,7 +198,7 @@ def name_normalize(spark, folder):
 def service_groups(spark, folder):
     return (
         v.phases(spark, folder)
-        .select("pod", nm.service_group("pod").alias("service"), nm.start_label("pod").alias("start_label"))
+        .select("pod", nm.service_group("pod", v.SERVICES).alias("service"), nm.start_label("pod").alias("start_label"))
         .distinct()
     )
 
@@ -209,26 +213,65 @@ def starts_on_node(spark, folder):
     return pods.starts_on_node(pods.true_starts(df), df, "w1")
 
 
+IN_SPAN = " OR ".join(
+    f"environment = '{e}' AND timestamp BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'" for e, (a, b) in SPANS.items()
+)
+ORIGIN = "CASE environment " + " ".join(f"WHEN '{e}' THEN TIMESTAMP '{a}'" for e, (a, _) in SPANS.items()) + " END"
+DISRUPTION = {
+    "run": f"SELECT * FROM act WHERE phase = 'Running' AND ({IN_SPAN}) AND namespace IN ('intake', 'batch')",
+    "g": "SELECT *, CASE WHEN (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 1e6 <= "
+    f"{GAP} THEN 0 ELSE 1 END AS new FROM run WINDOW w AS (PARTITION BY environment, pod ORDER BY timestamp, event_id)",
+    "b": "SELECT *, sum(new) OVER (PARTITION BY environment, pod ORDER BY timestamp, event_id) AS block FROM g",
+    "i": "SELECT environment, pod, min(timestamp) AS start_ts, max(timestamp) AS end_ts, min(namespace) AS namespace,"
+    " (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6 AS s FROM b GROUP BY environment, pod, block",
+    "c": "SELECT *, CASE WHEN regexp_matches(pod, '-exec-[0-9]+$') THEN"
+    " 'spark-executor-' || regexp_extract(pod, '([0-9]+)$', 1)"
+    f" ELSE {prefix_case(v.COMPONENTS, 'pod')} ELSE pod END END AS component FROM i",
+    "iv": "SELECT environment, pod, component, namespace, start_ts, end_ts, CASE WHEN s < 5 THEN 30 ELSE s END AS duration_s,"
+    f" (epoch_us(start_ts) - epoch_us({ORIGIN})) / 1e6 AS start_offset_s FROM c WHERE "
+    + " OR ".join(f"starts_with(component, '{p}')" for p in v.REPORTED),
+}
+
+
+def _disruption(df):
+    return pods.disruption(
+        df, SPANS, v.COMPONENTS, namespaces=v.NAMESPACES, reported=v.REPORTED, gap=GAP, tie=["event_id"]
+    )
+
+
+@query("disruption", with_("act", **DISRUPTION) + "SELECT * FROM iv", ["duration_s", "start_offset_s"])
+def disruption(spark, folder):
+    return _disruption(v.phases(spark, folder))
+
+
 @query(
-    "disruption",
+    "disruption_uptime",
     with_(
         "act",
-        run="SELECT * FROM act WHERE phase = 'Running' AND environment = 'Edge'"
-        f" AND timestamp BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'"
-        " AND namespace IN ('ingestion', 'spark-jobs', 'deepstorage')",
-        **_blocks("run", GAP),
-        c="SELECT *, CASE WHEN regexp_matches(pod, '-exec-[0-9]+$') THEN"
-        " 'spark-executor-' || regexp_extract(pod, '([0-9]+)$', 1)"
-        f" ELSE {prefix_case(nm.COMPONENT_NAMES, 'pod')} ELSE pod END END AS component FROM i",
+        **DISRUPTION,
+        t=f"SELECT DISTINCT environment, timestamp FROM phases WHERE {IN_SPAN}",
+        p="SELECT environment, lag(timestamp) OVER (PARTITION BY environment ORDER BY timestamp) AS a, timestamp AS b FROM t",
+        gaps="SELECT * FROM p WHERE (epoch_us(b) - epoch_us(a)) / 1e6 > 45",
+        every="SELECT DISTINCT environment, component FROM iv",
+        moves="SELECT environment, component, start_ts AS ts, 1 AS up, 0 AS gap FROM iv"
+        " UNION ALL SELECT environment, component, end_ts, -1, 0 FROM iv"
+        " UNION ALL SELECT e.environment, component, a, 0, 1 FROM every e JOIN gaps ON e.environment = gaps.environment"
+        " UNION ALL SELECT e.environment, component, b, 0, -1 FROM every e JOIN gaps ON e.environment = gaps.environment",
+        m="SELECT environment, component, ts, sum(up) AS up, sum(gap) AS gap FROM moves GROUP BY 1, 2, 3",
+        s="SELECT environment, component, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS s,"
+        " sum(up) OVER w AS ups, sum(gap) OVER w AS gaps FROM m"
+        " WINDOW w AS (PARTITION BY environment, component ORDER BY ts)",
+        u="SELECT environment, component, coalesce(sum(s) FILTER (ups > 0 AND gaps = 0), 0) AS up_s,"
+        " coalesce(sum(s) FILTER (gaps > 0), 0) AS unseen_s FROM s GROUP BY 1, 2",
     )
-    + "SELECT pod, component, namespace, start_ts, end_ts, CASE WHEN s < 5 THEN 30 ELSE s END AS duration_s,"
-    f" (epoch_us(start_ts) - epoch_us(TIMESTAMP '{START}')) / 1e6 AS start_offset_s FROM c WHERE "
-    + " OR ".join(f"starts_with(component, '{p}')" for p in nm.REPORTED_COMPONENTS),
-    ["duration_s", "start_offset_s"],
+    + "SELECT *, CASE environment "
+    + " ".join(f"WHEN '{e}' THEN {(b - a).total_seconds()}" for e, (a, b) in SPANS.items())
+    + f" END - up_s - unseen_s AS down_s, {max((b - a).total_seconds() for a, b in SPANS.values())}::DOUBLE AS max_span_s FROM u",
+    ["up_s", "unseen_s", "down_s"],
 )
-def disruption(spark, folder):
-    df = v.phases(spark, folder).where("environment = 'Edge'")
-    return pods.disruption(df, START, END, gap=GAP, tie=["event_id"])
+def disruption_uptime(spark, folder):
+    df = v.phases(spark, folder)
+    return pods.availability(_disruption(df), pods.disruption_gaps(df, SPANS), SPANS)
 
 
 @query(
@@ -246,8 +289,8 @@ def common_span(spark, folder):
     "selected_pods",
     with_("phases")
     + "SELECT DISTINCT pod FROM phases WHERE "
-    + " OR ".join(f"starts_with(pod, '{p}')" for p in nm.SELECTED_PODS),
+    + " OR ".join(f"starts_with(pod, '{p}')" for p in SELECTED),
 )
 def selected_pods(spark, folder):
     df = v.phases(spark, folder)
-    return df.where(nm.starts_with_any("pod", nm.SELECTED_PODS)).select("pod").distinct()
+    return df.where(nm.starts_with_any("pod", SELECTED)).select("pod").distinct()

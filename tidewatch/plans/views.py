@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.latency import stage_latencies
 from tidewatch.operators.ordered import Ordered
-from tidewatch.operators.sizes import settle
 
+# Pods of the views, and the tables of names for them.
+SHORT_NAMES = {"etl-run-exec": "worker", "etl-run": "etl", "msg-bus": "bus"}
+COMPONENTS = {"etl-run": "etl-driver", "msg-bus": "broker", "blob-s3": "store"}
+SERVICES = {"Queue": ["msg-bus"], "Store": ["blob-s3", "blob-fs"], "Batch": ["etl-run"]}
+REPORTED = ["broker", "store", "etl-driver", "spark-executor"]
+NAMESPACES = ["intake", "batch"]
+TOPIC = "orders"
 BROKER_IP, BROKER_PORT = "10.0.0.1", 9092
 NODES = ["w0", "w1", "w2"]
 LIMITS = [("w0", 400.0, 16.0), ("w1", 400.0, 16.0), ("w2", 800.0, 40.0)]
@@ -55,7 +61,7 @@ def daily_counter(df: DataFrame, by: str) -> DataFrame:
     """A counter in whole units that starts over every day."""
     df = df.withColumn("_day", F.to_date("timestamp"))
     counted = Ordered(df, [by, "_day"], ["timestamp", "event_id"]).running_sum(_cents(), "value").result()
-    return settle(counted.withColumn("value", F.col("value").cast("double")).drop("_day"), "counters")
+    return counted.withColumn("value", F.col("value").cast("double")).drop("_day")
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,10 +81,10 @@ def counters(spark: SparkSession, folder: str) -> DataFrame:
 def container_samples(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_type")
     pod = (
-        F.when(kind == "view", "streaming-kafka-0")
-        .when(kind == "click", "master-kafka-1")
-        .when(kind == "signup", "minio-community-0")
-        .when(kind == "purchase", "minio-master-0")
+        F.when(kind == "view", "msg-bus-0")
+        .when(kind == "click", "msg-bus-1-fv5kx")
+        .when(kind == "signup", "blob-s3-0")
+        .when(kind == "purchase", "blob-fs-0")
         .otherwise("app-driver")
     )
     slot = (F.col("user_id") % 3).cast("string")
@@ -90,8 +96,8 @@ def container_samples(spark: SparkSession, folder: str) -> DataFrame:
         pod.alias("pod"),
         F.concat_ws("/", env, pod, slot).alias("id"),
         F.concat(F.lit("w"), slot).alias("node"),
-        F.when(F.col("k") % 10 != 0, F.when(slot == "0", "kafka").otherwise("main")).alias("container"),
-        F.when(F.col("k") % 2 == 0, "control_power-avro").otherwise("other").alias("topic"),
+        F.when(F.col("k") % 10 != 0, F.when(slot == "0", "broker").otherwise("main")).alias("container"),
+        F.when(F.col("k") % 2 == 0, TOPIC).otherwise("other").alias("topic"),
         F.col("value").alias("raw"),
     )
 
@@ -112,11 +118,11 @@ def phases(spark: SparkSession, folder: str) -> DataFrame:
     user, kind = F.col("user_id"), F.col("event_type")
     number = user.cast("string")
     pod = (
-        F.when(user % 5 == 0, F.concat(F.lit("telemetry-job-run-exec-"), number))
-        .when(user % 5 == 1, F.concat(F.lit("streaming-"), number, F.lit("-driver")))
-        .when(user % 5 == 2, F.concat(F.lit("master-kafka-"), number))
-        .when(user % 5 == 3, F.concat(F.lit("minio-community-"), number))
-        .otherwise(F.concat(F.lit("argocd-server-"), number, F.lit("-abcdef1234")))
+        F.when(user % 5 == 0, F.concat(F.lit("etl-run-exec-"), number))
+        .when(user % 5 == 1, F.concat(F.lit("etl-run-"), number, F.lit("-driver")))
+        .when(user % 5 == 2, F.concat(F.lit("msg-bus-"), number))
+        .when(user % 5 == 3, F.concat(F.lit("blob-s3-"), number))
+        .otherwise(F.concat(F.lit("web-ui-"), number, F.lit("-abcdef1234")))
     )
     phase = (
         F.when(kind.isin("view", "click"), "Running")
@@ -125,7 +131,7 @@ def phases(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("k") % 3 == 0, "Evicted")
         .otherwise("Succeeded")
     )
-    space = F.when(user % 3 == 0, "ingestion").when(user % 3 == 1, "spark-jobs").otherwise("kube-system")
+    space = F.when(user % 3 == 0, "intake").when(user % 3 == 1, "batch").otherwise("system")
     return events(spark, folder).select(
         "event_id",
         F.col("ts").alias("timestamp"),
@@ -232,6 +238,9 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
                 F.array(
                     acc("internal.metrics.input.recordsRead", F.col("o_custkey")),
                     acc("internal.metrics.jvmGCTime", key % 97),
+                    acc("internal.metrics.shuffle.read.remoteBytesRead", key * 37 % 100_003),
+                    F.when(key % 2 == 0, acc("internal.metrics.shuffle.write.bytesWritten", key * 11)),
+                    acc("internal.metrics.output.recordsWritten", F.col("o_custkey") * 2),
                     F.when(key % 3 == 0, acc("duration", key)),
                 )
             ).alias("Accumulables"),
@@ -245,6 +254,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).alias("Stage Attempt ID"),
         F.struct(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("Task ID"),
+            (F.col("l_suppkey") % 4).cast("string").alias("Executor ID"),
             F.concat(F.lit("host-"), (F.col("l_suppkey") % 10).cast("string")).alias("Host"),
             launch.alias("Launch Time"),
             F.when(F.col("l_returnflag") != "R", launch + F.floor("l_extendedprice")).alias("Finish Time"),
@@ -252,7 +262,10 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("Task Info"),
         F.struct(
             F.col("l_quantity").cast("long").alias("Memory Bytes Spilled"),
+            (F.col("l_linenumber") * 1000).cast("long").alias("Disk Bytes Spilled"),
             F.struct(F.col("l_partkey").alias("Bytes Read")).alias("Input Metrics"),
+            F.struct((F.col("l_suppkey") * 3).alias("Remote Bytes Read")).alias("Shuffle Read Metrics"),
+            F.struct((F.col("l_suppkey") * 5).alias("Shuffle Bytes Written")).alias("Shuffle Write Metrics"),
         ).alias("Task Metrics"),
     )
     broken = orders.where(key % 100 == 0).select(
@@ -286,11 +299,11 @@ CTE = {
     " ORDER BY timestamp, event_id) AS DOUBLE) AS value FROM samples",
     "csamples": "SELECT event_id, ts AS timestamp, environment, pod,"
     " environment || '/' || pod || '/' || slot AS id, 'w' || slot AS node,"
-    " CASE WHEN k % 10 <> 0 THEN CASE WHEN slot = 0 THEN 'kafka' ELSE 'main' END END AS container,"
-    " CASE WHEN k % 2 = 0 THEN 'control_power-avro' ELSE 'other' END AS topic, value AS raw"
+    " CASE WHEN k % 10 <> 0 THEN CASE WHEN slot = 0 THEN 'broker' ELSE 'main' END END AS container,"
+    " CASE WHEN k % 2 = 0 THEN 'orders' ELSE 'other' END AS topic, value AS raw"
     " FROM (SELECT *, user_id % 3 AS slot, CASE WHEN user_id % 2 = 0 THEN 'Edge' ELSE 'Cloud' END AS environment,"
-    " CASE event_type WHEN 'view' THEN 'streaming-kafka-0' WHEN 'click' THEN 'master-kafka-1'"
-    " WHEN 'signup' THEN 'minio-community-0' WHEN 'purchase' THEN 'minio-master-0' ELSE 'app-driver' END AS pod"
+    " CASE event_type WHEN 'view' THEN 'msg-bus-0' WHEN 'click' THEN 'msg-bus-1-fv5kx'"
+    " WHEN 'signup' THEN 'blob-s3-0' WHEN 'purchase' THEN 'blob-fs-0' ELSE 'app-driver' END AS pod"
     " FROM ev)",
     "ccounters": "SELECT * EXCLUDE (raw), CAST(SUM(CAST(round(raw * 100) AS BIGINT)) OVER"
     " (PARTITION BY id, CAST(timestamp AS DATE) ORDER BY timestamp, event_id) AS DOUBLE) AS value FROM csamples",
@@ -298,10 +311,10 @@ CTE = {
     "limits": "SELECT * FROM (VALUES ('w0', 400.0::DOUBLE, 16.0::DOUBLE), ('w1', 400.0, 16.0),"
     " ('w2', 800.0, 40.0)) AS t(node, cpu_limit, mem_limit)",
     "phases": "SELECT event_id, ts AS timestamp, CASE user_id % 5"
-    " WHEN 0 THEN 'telemetry-job-run-exec-' || user_id WHEN 1 THEN 'streaming-' || user_id || '-driver'"
-    " WHEN 2 THEN 'master-kafka-' || user_id WHEN 3 THEN 'minio-community-' || user_id"
-    " ELSE 'argocd-server-' || user_id || '-abcdef1234' END AS pod,"
-    " CASE user_id % 3 WHEN 0 THEN 'ingestion' WHEN 1 THEN 'spark-jobs' ELSE 'kube-system' END AS namespace,"
+    " WHEN 0 THEN 'etl-run-exec-' || user_id WHEN 1 THEN 'etl-run-' || user_id || '-driver'"
+    " WHEN 2 THEN 'msg-bus-' || user_id WHEN 3 THEN 'blob-s3-' || user_id"
+    " ELSE 'web-ui-' || user_id || '-abcdef1234' END AS pod,"
+    " CASE user_id % 3 WHEN 0 THEN 'intake' WHEN 1 THEN 'batch' ELSE 'system' END AS namespace,"
     " CASE WHEN event_type IN ('view', 'click') THEN 'Running' WHEN event_type = 'signup' THEN 'Pending'"
     " WHEN event_type = 'error' THEN 'Failed' WHEN k % 3 = 0 THEN 'Evicted' ELSE 'Succeeded' END AS phase,"
     " CASE WHEN k % 7 = 0 THEN 0.0 ELSE 1.0 END AS value,"
@@ -336,7 +349,9 @@ CTE = {
     " GROUP BY stage",
     "stages": "SELECT 'app-1' AS app, o_orderkey * 2 AS StageID, o_orderpriority AS StageName,"
     " started AS SubmissionTime, started + CAST(floor(o_totalprice / 2) AS BIGINT) AS CompletionTime,"
-    " o_custkey % 50 AS NumTasks, o_custkey AS InputRecords, o_orderkey % 97 AS GCTimeMs,"
+    " o_custkey % 50 AS NumTasks, (o_orderkey * 37) % 100003 AS ShuffleReadBytes,"
+    " CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 11 ELSE 0 END AS ShuffleWriteBytes,"
+    " o_custkey AS InputRecords, o_custkey * 2 AS OutputRecords, o_orderkey % 97 AS GCTimeMs,"
     " CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE 0 END AS DurationMs,"
     " floor(o_totalprice / 2) / 1000 AS DurationSec FROM ord",
 }

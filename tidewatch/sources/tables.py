@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators.joins import attach
+
 # Options of the deployed topic reader.
 TOPIC_OPTIONS = {
     "startingOffsets": "earliest",
@@ -126,8 +128,24 @@ def read_vmstat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of event logs (app, value), named by their file; logs split at line ends."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("app"), "value")
+    """Lines of event logs (app, value) below a folder; logs split at line ends.
+
+    `app` is the application's id, and its attempt, from the log's own start event, so logs
+    of equal names are told apart and the files of a log that was rolled belong together:
+    they lie in one folder (`eventlog_v2_...`) of which only the first file has the start
+    event. A log without one goes by its path. The start events, one per log, are looked up
+    by the log's path from the file metadata, whatever file of it a line is in.
+    """
+    file = F.col("_metadata.file_path")
+    rolled = F.regexp_extract(file, r"^(.*/eventlog_v2_[^/]+)/[^/]*$", 1)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = lines.select(F.when(rolled != "", rolled).otherwise(file).alias("log"), "value")
+    start = "SparkListenerApplicationStart"
+    event = F.from_json("value", "`Event` string, `App ID` string, `App Attempt ID` string")
+    starts = lines.where(F.col("value").contains(start)).select("log", F.inline(F.array(event))).where(F.col("Event") == start)
+    apps = starts.groupBy("log").agg(F.max(F.concat_ws("_", "App ID", "App Attempt ID")).alias("_app"))
+    named = attach(lines, apps, ["log"], few_groups=True)
+    return named.select(F.coalesce("_app", "log").alias("app"), "value")
 
 
 def flatten_range_json(df: DataFrame, value: str = "value", labels: Sequence[str] | None = None) -> DataFrame:
