@@ -17,25 +17,50 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import lean
+
 # Phrases that name a license by themselves.
 PHRASES = {
     "under the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Short notices as licenses give them, in lower case, words only.
+# Short notices as licenses give them, in lower case, words only. The words in
+# brackets tell a license from its neighbours and must stand as they are.
 NOTICES = {
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "released under the mit license": "mit",
-    "licensed under the apache license version 2 0": "apache-2",
-    "this work is licensed under the gnu general public license": "gpl",
-    "you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
-    "licensed under a creative commons attribution 4 0 international license": "cc-by",
-    "licensed under cc by nc 4 0": "cc-by-nc",
+    "permission is hereby granted free of charge to [any person obtaining a copy]": "mit",
+    "released under the [mit] license": "mit",
+    "permission is hereby granted free of charge to [any person or organization obtaining a copy]": "bsl",
+    "distributed under the [boost software license] version 1 0": "bsl",
+    "permission to use copy modify and or distribute this software for any purpose [with or without fee] is hereby granted": "isc",
+    "released under the [isc] license": "isc",
+    "[in no event will the authors] be held liable for any damages arising from the use of this software": "zlib",
+    "released under the [zlib] license": "zlib",
+    "redistribution and use [in source and binary forms] with or without modification are permitted": "bsd",
+    "released under the [bsd] license": "bsd",
+    "licensed under the [apache] license [version 2] 0": "apache-2",
+    "licensed under the [apache] license [version 1 1]": "apache-1.1",
+    "this work is licensed under the [gnu general public license]": "gpl",
+    "you can redistribute it and or modify it under the terms of the [gnu general public license]": "gpl",
+    "you can redistribute it and or modify it under the terms of the [gnu lesser general public license]": "lgpl",
+    "you can redistribute it and or modify it under the terms of the [gnu library general public license]": "lgpl",
+    "you can redistribute it and or modify it under the terms of the [gnu affero general public license]": "agpl",
+    "subject to the terms of the [mozilla public license]": "mpl",
+    "made available under the terms of the [eclipse public license]": "epl",
+    "this is free and unencumbered software released into the [public domain]": "unlicense",
+    "has waived all [copyright and related or neighboring rights] to this work": "cc0",
+    "licensed under [cc0 1 0] universal": "cc0",
 }
-#: One edit for so many characters of a notice.
+# The Creative Commons licenses in words and in short, each version by itself.
+_CC = {
+    "by": "attribution", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc": "attribution noncommercial",
+    "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives",
+}
+for _short, _words in _CC.items():
+    for _version in ("2 0", "2 5", "3 0", "4 0"):
+        NOTICES[f"licensed under a creative commons [{_words} {_version}] international license"] = "cc-" + _short.replace(" ", "-")
+        NOTICES[f"licensed under [cc {_short} {_version}]"] = "cc-" + _short.replace(" ", "-")
+#: One edit for so many characters of a stretch, rounded.
 CHARS_PER_EDIT = 12
 
 # words of lower-cased text, in UTF-8: digits, a to z and every byte beyond ASCII
@@ -61,23 +86,56 @@ def _matches(pattern: regex.Pattern, words: str, begin: int, end: int, least: in
             open_ += [(a, m.start()), (m.end(), b)]
 
 
+class Notice:
+    """A notice with the pattern that finds it: whole words, the bracketed ones exact, and in
+    each stretch between them one edit for so many characters."""
+
+    def __init__(self, marked: str, label: str, chars_per_edit: int):
+        self.text, self.label = marked.replace("[", "").replace("]", ""), label
+        # stretches of the text, (text, exact); spaces beside exact words are exact too
+        self.parts = []
+        for k, part in enumerate(re.split(r"[\[\]]", marked)):
+            if exact := k % 2 == 1:
+                before, after = bool(self.parts), marked.find("]", marked.find(part)) + 1 < len(marked)
+                part = " " * before + part + " " * after
+            else:
+                part = part.strip()
+            if part:
+                self.parts.append((part, exact))
+        self.bounds = [0 if exact else (len(part) + chars_per_edit // 2 - 1) // chars_per_edit for part, exact in self.parts]
+        self.edits = sum(self.bounds)
+        ways = [
+            regex.escape(part, special_only=True) if exact else f"(?:{regex.escape(part, special_only=True)}){{e<={edits}}}"
+            for (part, exact), edits in zip(self.parts, self.bounds, strict=True)
+        ]
+        # (?b) asks for the match with the fewest errors
+        self.pattern = regex.compile(f"(?b)(?<![^ ])(?:{''.join(ways)})(?![^ ])")
+
+    def seeds(self) -> list[tuple[str, int]]:
+        """(seed, its place): a match leaves one of them as it is. A stretch with k edits is
+        split into k + 1 pieces; the one stretch with the longest pieces is enough."""
+        at, best = 0, []
+        for (part, _), edits in zip(self.parts, self.bounds, strict=True):
+            cuts = [round(j * len(part) / (edits + 1)) for j in range(edits + 2)]
+            pieces = [(part[a:b], at + a) for a, b in zip(cuts, cuts[1:], strict=False)]
+            if not best or min(len(p) for p, _ in pieces) > min(len(p) for p, _ in best):
+                best = pieces
+            at += len(part)
+        return best
+
+
 class Scanner:
     """Searches one text at a time."""
 
-    def __init__(self, notices: dict[str, str] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT):
+    def __init__(self, notices: dict[str, str] | None = None, chars_per_edit: int = CHARS_PER_EDIT):
         self.phrase = _phrase_pattern()
         self.phrase_labels = list(PHRASES.values())
-        self.notices = []
+        self.notices = [Notice(n, label, chars_per_edit) for n, label in (NOTICES if notices is None else notices).items()]
         self.seeds = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
-        for i, (notice, label) in enumerate(notices.items()):
-            edits = len(notice) // chars_per_edit
-            # (?b) asks for the match with the fewest errors
-            pattern = regex.compile(f"(?b)(?:{regex.escape(notice, special_only=True)}){{e<={edits}}}")
-            self.notices.append((notice, label, edits, pattern))
-            cuts = [round(j * len(notice) / (edits + 1)) for j in range(edits + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                found.setdefault(notice[a:b], []).append((i, a))
+        for i, notice in enumerate(self.notices):
+            for seed, at in notice.seeds():
+                found.setdefault(seed, []).append((i, at))
         for seed, where in found.items():
             self.seeds.add_word(seed, (len(seed), where))
         self.seeds.make_automaton()
@@ -89,25 +147,37 @@ class Scanner:
         return [(m.start(), self.phrase_labels[m.lastindex - 1]) for m in self.phrase.finditer(low)]
 
     def fuzzy(self, words: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, errors) of the notices in words joined by single spaces."""
+        """(label, start, end, errors) of the notices in words joined by single spaces; of
+        notices that overlap the one with fewest errors, then the longest, is reported."""
         near: dict[int, list[tuple[int, int]]] = {}
         for last, (size, where) in self.seeds.iter(words):
             for i, offset in where:
-                notice, _, edits, _ = self.notices[i]
-                begin = max(0, last + 1 - size - offset - edits)
-                end = min(len(words), last + 1 - size - offset + len(notice) + edits)
+                notice = self.notices[i]
+                begin = max(0, last + 1 - size - offset - notice.edits)
+                end = min(len(words), last + 1 - size - offset + len(notice.text) + notice.edits)
                 spans = near.setdefault(i, [])
                 if spans and begin <= spans[-1][1]:
                     spans[-1] = (min(begin, spans[-1][0]), max(end, spans[-1][1]))
                 else:
                     spans.append((begin, end))
-        out = set()
+        found = set()
         for i, spans in near.items():
-            notice, label, edits, pattern = self.notices[i]
+            notice = self.notices[i]
             for begin, end in spans:
-                for m in _matches(pattern, words, begin, end, len(notice) - edits):
-                    out.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return sorted(out, key=lambda x: (x[1], x[2], x[0], x[3]))
+                for m in _matches(notice.pattern, words, begin, end, len(notice.text) - notice.edits):
+                    found.add((sum(m.fuzzy_counts), m.start() - m.end(), m.start(), m.end(), notice.label))
+        # a winner ends what overlaps it; winners lie apart, so neighbours are enough to look at
+        starts: list[int] = []
+        ends: list[int] = []
+        out = []
+        for errors, _, a, b, label in sorted(found):
+            at = bisect_left(starts, a)
+            if (at and ends[at - 1] > a) or (at < len(starts) and starts[at] < b):
+                continue
+            starts.insert(at, a)
+            ends.insert(at, b)
+            out.append((label, a, b, errors))
+        return sorted(out, key=lambda x: x[1])
 
     def scan(self, text: str | None) -> dict:
         low = (text or "").encode().lower()
@@ -157,7 +227,8 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
 
     Texts are scanned whole, one at a time, without a shuffle. A null text counts as empty
     and has no word. Repeated rows are scanned each; other columns are ignored; an empty
-    table gives an empty one. Of notices that overlap, all are reported.
+    table gives an empty one. Notices begin and end at words; of those that overlap the one
+    with fewest edits, then the longest, is reported.
     """
     wanted = dict(NOTICES if notices is None else notices)
 
@@ -177,7 +248,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), _SCHEMA)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
