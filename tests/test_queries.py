@@ -6,7 +6,7 @@ import pytest
 from tidewatch.plans.registry import QUERIES, SQL
 
 SMALL, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
-ROWS_ONLY = {"drift_clusters", "drift_compensate", "progress_table"}
+ROWS_ONLY = {"progress_table"}
 # queries with ordered steps
 NARROW = sorted(
     n

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.feature import VectorAssembler
@@ -31,27 +32,33 @@ def fit_drift(df: DataFrame, col: str = "drift_ms", k: int = BROKERS, seeds: int
     """Gaussian mixture with one component per broker, the best of several starts.
 
     The fit sees every row: equal values are counted first and weigh in with
-    their count, so the iterations run over distinct values only.
+    their count, so the iterations run over distinct values only. The starts are jobs side by
+    side over the one persisted table of counts.
     """
     counts = value_counts(df, [], col).withColumn("_w", F.col("_c").cast("double"))
     points = _vectors(counts, "_v").select("_features", "_w").persist()
     try:
-        best = None
-        for i in range(seeds):
-            gm = GaussianMixture(featuresCol="_features", weightCol="_w", k=k, seed=SEED + i)
-            model = gm.fit(points)
-            if best is None or model.summary.logLikelihood > best.summary.logLikelihood:
-                best = model
-        return best
+        points.count()
+
+        def fit(i: int) -> GaussianMixtureModel:
+            return GaussianMixture(featuresCol="_features", weightCol="_w", k=k, seed=SEED + i).fit(points)
+
+        with ThreadPoolExecutor(seeds) as pool:
+            models = list(pool.map(fit, range(seeds)))
+        return max(models, key=lambda m: m.summary.logLikelihood)  # the first of equal ones
     finally:
         points.unpersist()
 
 
 def assign_clusters(df: DataFrame, model: GaussianMixtureModel, col: str = "drift_ms") -> DataFrame:
-    """Adds `cluster`, the most likely component of every row; null where there is no drift."""
-    out = model.setPredictionCol("cluster").setProbabilityCol("").transform(_vectors(df, col))
+    """Adds `cluster`, the most likely component of every row, numbered by the components'
+    means from the smallest; null where there is no drift."""
+    means = [float(g.mean[0]) for g in model.gaussians]
+    place = {c: i for i, c in enumerate(sorted(range(len(means)), key=means.__getitem__))}
+    number = F.element_at(F.array(*[F.lit(place[c]) for c in range(len(means))]), F.col("_cluster").cast("int") + 1)
+    out = model.setPredictionCol("_cluster").setProbabilityCol("").transform(_vectors(df, col))
     known = F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
-    return out.select(*df.columns, F.when(known, F.col("cluster").cast("int")).alias("cluster"))
+    return out.select(*df.columns, F.when(known, number).alias("cluster"))
 
 
 def cluster_medians(df: DataFrame, col: str = "drift_ms", cluster: str = "cluster") -> DataFrame:

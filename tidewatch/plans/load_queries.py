@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.units import tag
+from tidewatch.functions.timeutil import stamp_landing
 from tidewatch.operators import drift as drf
 from tidewatch.operators import latency as lat
 from tidewatch.operators import loadtest as ldt
@@ -203,19 +204,44 @@ def drifting(spark, folder):
 DRIFT = "SELECT event_id, user_id % 3 AS broker, floor(value * 1000 + user_id % 3 * 9000000) / 1000 AS drift_ms FROM ev"
 
 
-@query("drift_clusters")
+_FITS: dict[tuple, object] = {}
+
+
+def _fit(spark, folder):
+    """The mixture of the folder's drift, fitted once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FITS:
+        _FITS[key] = drf.fit_drift(drifting(spark, folder))
+    return _FITS[key]
+
+
+# The brokers' drifts lie nine seconds apart, so the clusters are the brokers.
+@query(
+    "drift_clusters",
+    with_("ev", d=DRIFT)
+    + "SELECT CASE WHEN drift_ms IS NOT NULL THEN CAST(broker AS INTEGER) END AS cluster, "
+    + ", ".join(f"count(*) FILTER (broker = {b}) AS broker_{b}" for b in range(3))
+    + " FROM d GROUP BY 1",
+)
 def drift_clusters(spark, folder):
-    df = drifting(spark, folder)
-    model = drf.fit_drift(df)
-    labelled = drf.assign_clusters(df, model)
+    labelled = drf.assign_clusters(drifting(spark, folder), _fit(spark, folder))
     return drf.crosstab(labelled, "cluster", "broker", [0, 1, 2])
 
 
-@query("drift_compensate")
+@query(
+    "drift_compensate",
+    with_(
+        "ev",
+        d=DRIFT,
+        m="SELECT broker, median(drift_ms) AS med FROM d GROUP BY 1",
+        r="SELECT med AS ref FROM m ORDER BY abs(med - 35.28), broker LIMIT 1",
+        c="SELECT drift_ms - (med - ref) AS x FROM d JOIN m ON d.broker = m.broker, r",
+    )
+    + "SELECT quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM c",
+    ["iqr"],
+)
 def drift_compensate(spark, folder):
-    df = drifting(spark, folder)
-    model = drf.fit_drift(df)
-    fixed = drf.compensate(drf.assign_clusters(df, model))
+    fixed = drf.compensate(drf.assign_clusters(drifting(spark, folder), _fit(spark, folder)))
     return drf.iqr(fixed, "corrected_ms").select("iqr")
 
 
@@ -542,6 +568,64 @@ def stream_propagate(spark, folder):
     return _raw_columns(spark.read.parquet(f"{root}/processed"))
 
 
+def _event_files(spark, folder, root):
+    """One file of events for each type."""
+    rows = v.events(spark, folder).select("event_id", "event_type", "user_id", "value")
+    rows.repartition(1).write.partitionBy("event_type").parquet(root)
+
+
+@query(
+    "stream_admission",
+    with_("ev")
+    + "SELECT event_type, CAST(1 AS BIGINT) AS landings, count(*) AS rows,"
+    " (SELECT count(DISTINCT event_type) FROM ev) AS batches FROM ev GROUP BY event_type",
+)
+def stream_admission(spark, folder):
+    """One file a trigger: each file lands in a batch, and at a time, of its own."""
+    root = scratch_folder(spark, "admission")
+    _event_files(spark, folder, f"{root}/in")
+    schema = "event_id long, user_id long, value double, event_type string"
+    source = tables.read_stream(spark, "parquet", f"{root}/in", schema, max_per_trigger=1)
+    sinks.write_stream(
+        stamp_landing(source), "parquet", f"{root}/out", f"{root}/checkpoint", trigger="availableNow"
+    ).awaitTermination()
+    landed = spark.read.parquet(f"{root}/out")
+    batches = landed.agg(F.count_distinct("landing_timestamp").alias("n")).scalar()
+    return landed.groupBy("event_type").agg(
+        F.count_distinct("landing_timestamp").alias("landings"), F.count(F.lit(1)).alias("rows"), batches.alias("batches")
+    )
+
+
+@query(
+    "stream_evolve",
+    with_("ev")
+    + "SELECT event_id, value, CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE user_id END AS user_id,"
+    " CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS batch FROM ev",
+    ["value"],
+)
+def stream_evolve(spark, folder):
+    """A second batch adds a column; then it is replayed, as after a failure."""
+    root = scratch_folder(spark, "evolve")
+    rows = v.events(spark, folder).select("event_id", "value", "user_id", "event_type")
+    old, new = F.col("event_type").isin("view", "click"), ~F.col("event_type").isin("view", "click")
+    rows.where(old).select("event_id", "value").write.parquet(f"{root}/in/first")
+    for schema, more in (("event_id long, value double", None), ("event_id long, value double, user_id long", new)):
+        if more is not None:
+            rows.where(more).select("event_id", "value", "user_id").write.parquet(f"{root}/in/second")
+        changes = spark.readStream.schema(schema).parquet(f"{root}/in/*")
+        pipeline.propagate_evolving(changes, f"{root}/out", f"{root}/checkpoint", trigger="availableNow").awaitTermination()
+    again = spark.read.parquet(f"{root}/in/second")
+    pipeline.batch_writer(f"{root}/out")(again, 1)
+    return pipeline.read_evolving(spark, f"{root}/out")
+
+
+@query("table_detail", with_("ev") + "SELECT CAST(7 AS BIGINT) AS files, TRUE AS has_bytes, count(*) AS rows FROM ev")
+def table_detail(spark, folder):
+    path = f"{scratch_folder(spark, 'detail')}/t"
+    v.events(spark, folder).select("event_id", "value").repartition(7).write.parquet(path)
+    return sinks.table_detail(spark, path).select("files", (F.col("bytes") > 0).alias("has_bytes"), "rows")
+
+
 @query("progress_table")
 def progress_table(spark, folder):
     running, _ = _ingested(spark, folder)

@@ -98,11 +98,15 @@ def describe_table(df: DataFrame) -> DataFrame:
 
 
 def table_detail(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Number of files, bytes and rows of a table."""
-    files = spark.read.format(fmt).load(path).select("_metadata.file_path", "_metadata.file_size")
-    per_file = files.groupBy("file_path").agg(F.max("file_size").alias("_b"), F.count(F.lit(1)).alias("_n"))
-    return per_file.agg(
-        F.count(F.lit(1)).alias("files"), F.sum("_b").alias("bytes"), F.sum("_n").alias("rows")
+    """Number of files, bytes and rows of a table, files without rows included.
+
+    Files and bytes come from a listing whose contents are not read; rows are counted without
+    any column, which for Parquet reads the footers alone.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{fmt}").load(path)
+    rows = spark.read.format(fmt).load(path).agg(F.count(F.lit(1)).alias("n"))
+    return listing.select("length").agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), rows.scalar().alias("rows")
     )
 
 

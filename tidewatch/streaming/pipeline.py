@@ -69,6 +69,31 @@ def propagate(
     return write_stream(changes, fmt, path, checkpoint, name=name, trigger=trigger, merge_schema=True)
 
 
+def batch_writer(path: str):
+    """Writes a micro-batch to a folder of its own, `batch=<id>`, in place of what is there.
+
+    A batch that Spark replays after a failure replaces itself, so no row comes twice; columns
+    that a later batch adds stand in its folder and are null in the earlier ones.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return save
+
+
+def propagate_evolving(changes: DataFrame, path: str, checkpoint: str, *, trigger: str = "5 seconds") -> StreamingQuery:
+    """Start the second hop into a table whose columns may grow, exactly once per batch."""
+    writer = changes.writeStream.foreachBatch(batch_writer(path)).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if trigger == "availableNow" else writer.trigger(processingTime=trigger)
+    return writer.start()
+
+
+def read_evolving(spark: SparkSession, path: str) -> DataFrame:
+    """The table with all columns that any batch has, and the batch of each row."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def change_view(changes: DataFrame) -> DataFrame:
     """Broker time and landing time of changed rows under their report names."""
     return changes.select("timestamp", "landing_timestamp").withColumnsRenamed(
