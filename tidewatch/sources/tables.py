@@ -16,9 +16,9 @@ TOPIC_OPTIONS = {
     "failOnDataLoss": "false",
     "minPartitions": "4",
     "maxOffsetsPerTrigger": "400000",
-    "fetchMaxWaitMs": "20",
-    "fetchMinBytes": "1",
-    "maxPollRecords": "50000",
+    "kafka.fetch.max.wait.ms": "20",
+    "kafka.fetch.min.bytes": "1",
+    "kafka.max.poll.records": "50000",
     "includeHeaders": "true",
 }
 # Columns of the host sampler's CSV.
