@@ -306,6 +306,48 @@ def test_own_event_log(spark, tmp_path):
     assert eventlog.tasks(lines).where("Successful and Duration >= 0").count() > 0
 
 
+def test_event_logs_of_equal_names_and_rolled_ones(spark, tmp_path):
+    """Applications are told apart by their start event; a rolled log is one application."""
+
+    def line(**event):
+        return json.dumps(event)
+
+    def job(i, ms):
+        start = line(Event="SparkListenerJobStart", **{"Job ID": i, "Submission Time": 0, "Stage Infos": [{"Stage ID": i}]})
+        return start, line(Event="SparkListenerJobEnd", **{"Job ID": i, "Completion Time": ms, "Job Result": {"Result": "JobSucceeded"}})
+
+    def app(name, attempt=None):
+        more = {} if attempt is None else {"App Attempt ID": attempt}
+        return line(Event="SparkListenerApplicationStart", **{"App Name": "x", "App ID": name, **more})
+
+    def write(path, *lines):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("\n".join(lines) + "\n")
+
+    a, b, c = job(1, 1000), job(1, 2000), job(1, 3000)
+    write("one/eventLogs.json", app("app-a"), *a)
+    write("two/eventLogs.json", app("app-b", "2"), *b)
+    write("three/plain", *c)
+    # the end of job 7 is in the second file of the log, which has no start event
+    r = job(7, 7000)
+    write("eventlog_v2_app-r/events_1_app-r", app("app-r"), r[0])
+    write("eventlog_v2_app-r/events_2_app-r", r[1])
+    write("eventlog_v2_app-r/appstatus_app-r", "")
+    lines = tables.read_event_log(spark, str(tmp_path))
+    got = {r["app"].rsplit("/", 1)[-1]: (r["JobID"], r["DurationSec"]) for r in eventlog.jobs(lines).collect()}
+    assert got == {"app-a": (1, 1.0), "app-b_2": (1, 2.0), "plain": (1, 3.0), "app-r": (7, 7.0)}
+    whole = eventlog.history(lines)
+    jobs = {r["app"].rsplit("/", 1)[-1]: (r["ID"], r["DurationSec"]) for r in whole.where("Kind = 'job'").collect()}
+    assert jobs == got and whole.where("Kind = 'stage'").count() == 0
+
+
+def test_history_reads_its_lines_once(spark, tmp_path):
+    spark.createDataFrame([("a", "{}")], "app string, value string").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    plan = eventlog.history(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
 def test_event_log_edge_cases(spark):
     def line(**event):
         return json.dumps(event)
@@ -460,6 +502,33 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert spark.table("shown").columns == ["kafka_timestamp", "spark_timestamp"] and spark.table("shown").count() == 80
 
 
+def test_triggers_and_stamps(spark, tmp_path):
+    """A stream on a clock, and views and stamps on the way."""
+    spark.range(20).write.parquet(str(tmp_path / "in"))
+    source = tables.read_stream(spark, "parquet", str(tmp_path / "in"), "id long")
+    running = sinks.write_stream(source, "parquet", str(tmp_path / "out"), str(tmp_path / "cp"), trigger="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+    seen = tables.as_view(tm.stamp_source(tm.stamp_source(spark.range(3), name="ms"), "iso", "text"), "stamped")
+    row = spark.sql("select count(distinct ms) n, min(text) t, min(ms) ms from stamped").first()
+    assert seen.count() == 3 and row.n == 1 and row.t.startswith("20") and row.ms > 1_600_000_000_000
+    rows = spark.createDataFrame([("a",), ("b",), ("a",)], "_measurement string")
+    assert sorted(r[0] for r in tables.measurements(rows).collect()) == ["a", "b"]
+
+
+def test_numbers_within_groups(spark):
+    """Row numbers of a range sort, one group holding most rows."""
+    rows = [("hot" if i % 10 else None, (i * 7919) % 1009, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, x int, id int").repartition(5)
+    got = {r["id"]: r["rank"] for r in pods.numbered(df, ["g"], [F.col("x"), F.col("id")]).collect()}
+    for g in ("hot", None):
+        own = sorted((x, i) for k, x, i in rows if k == g)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
 def test_rows_without_drift_keep_a_null_cluster(spark):
     rows = [(i, float(i % 2) * 100 + i * 0.01) for i in range(60)] + [(60, None), (61, float("nan"))]
     df = spark.createDataFrame(rows, "id long, drift_ms double")

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from tidewatch.functions.units import tag
 from tidewatch.functions.timeutil import stamp_landing
 from tidewatch.operators import drift as drf
+from tidewatch.operators import eventlog as evl
+from tidewatch.operators import network as net
 from tidewatch.operators import latency as lat
 from tidewatch.operators import loadtest as ldt
 from tidewatch.plans import views as v
@@ -515,6 +517,86 @@ def pcap_decode(spark, folder):
     return rows.drop("head", "packet_id")
 
 
+# --- files written and read back -----------------------------------------------------------
+
+
+@query(
+    "loadtest_csv",
+    with_("ev")
+    + "SELECT event_id, event_type AS metric_name, epoch_us(ts) // 1000000 AS timestamp, value AS metric_value FROM ev",
+    ["metric_value"],
+)
+def loadtest_csv(spark, folder):
+    path = scratch_folder(spark, "loadtest")
+    rows = v.events(spark, folder).select(
+        "event_id", F.col("event_type").alias("metric_name"), F.unix_seconds("ts").alias("timestamp"), F.col("value").alias("metric_value")
+    )
+    rows.write.option("header", "true").option("compression", "gzip").csv(path)
+    return tables.read_loadtest_csv(spark, path).withColumn("event_id", F.col("event_id").cast("long"))
+
+
+@query(
+    "vmstat_csv",
+    with_("ev")
+    + "SELECT CAST(event_id AS INTEGER) AS r, ts AS timestamp, CAST(100 - k % 100 AS INTEGER) AS id,"
+    " CAST(k * 10 AS INTEGER) AS free, CAST(16000000 AS BIGINT) AS total_mem_kb FROM ev",
+)
+def vmstat_csv(spark, folder):
+    """A host sampler's file: a remark with the memory, a header, and a line per sample."""
+    path = scratch_folder(spark, "vmstat")
+    names = [*tables.VMSTAT_COLUMNS, "timestamp"]
+    given = {"r": F.col("event_id"), "id": 100 - F.col("k") % 100, "free": F.col("k") * 10, "timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")}
+    line = F.concat_ws(",", *[given.get(c, F.lit(0)).cast("string") for c in names])
+    head = spark.createDataFrame([("# TOTAL_MEM_KB: 16000000",), (",".join(names),)], "value string").coalesce(1)
+    rows = v.events(spark, folder).select(line.alias("value"))
+    head.unionByName(rows).coalesce(1).write.text(path)
+    return tables.read_vmstat(spark, path).select(
+        F.col("r").cast("int").alias("r"), "timestamp", F.col("id").cast("int").alias("id"), F.col("free").cast("int").alias("free"), "total_mem_kb"
+    )
+
+
+@query("event_tables", with_("jobs") + "SELECT * FROM jobs", ["DurationSec"])
+def event_tables(spark, folder):
+    """Jobs and stages below one folder; the jobs read back."""
+    root, lines = scratch_folder(spark, "tables"), v.log_lines(spark, folder)
+    sinks.write_tables({"jobs": evl.jobs(lines), "stages": evl.stages(lines)}, root)
+    return tables.read_table(spark, f"{root}/jobs")
+
+
+@query("packet_file", with_("packets") + "SELECT packet_id, ts, src_ip, dst_ip, payload_len FROM packets")
+def packet_file(spark, folder):
+    path = scratch_folder(spark, "packets")
+    sinks.write_packets(net.to_broker(v.packets(spark, folder), v.BROKER_IP, v.BROKER_PORT), path)
+    return tables.read_table(spark, path, columns=["packet_id", "ts", "src_ip", "dst_ip", "payload_len"])
+
+
+@query(
+    "ack_rows",
+    with_("ev")
+    + "SELECT epoch_us(ts) // 1000 AS source_timestamp, CAST(user_id AS INTEGER) AS robot_id, value AS ack_latency FROM ev",
+    ["ack_latency"],
+)
+def ack_rows(spark, folder):
+    path = scratch_folder(spark, "acks")
+    rows = v.events(spark, folder).select(
+        F.unix_millis("ts").alias("source_timestamp"), F.col("user_id").alias("robot_id"), F.col("value").alias("ack_latency")
+    )
+    sinks.write_acks(rows, path)
+    return tables.read_table(spark, path)
+
+
+@query(
+    "first_rows",
+    with_("ev") + "SELECT event_id, value FROM ev ORDER BY ts, event_id LIMIT 36000",
+    ["value"],
+)
+def first_rows(spark, folder):
+    """The rows that an export of a dataset keeps."""
+    path = scratch_folder(spark, "export")
+    sinks.export_rows(v.events(spark, folder).select("event_id", "value", "ts"), ["ts", "event_id"], path)
+    return tables.read_table(spark, path, columns=["event_id", "value"])
+
+
 # --- streaming -----------------------------------------------------------------------------
 
 RAW = with_("ev") + (
