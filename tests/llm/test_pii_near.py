@@ -232,3 +232,23 @@ def test_a_block_links_its_classes_once():
         reached |= {x for link in found if reached & set(link) for x in link}
     assert reached == set(range(40))
     assert not list(block.links(8, (40, 40, labels[0], np.array([7, 8]))))  # the bucket of 7 compares them
+
+
+def test_repeated_rows_are_one_text(spark, monkeypatch):
+    """Rows that repeat id and words are looked up as one text, however many they are."""
+    words = [f"w{i}" for i in range(120)]
+    copies = [" ".join(words), " ".join([*words[:60], "x", *words[61:]]), " ".join([*words[:30], "y", *words[31:]])]
+    rows = [(None, copies[0])] * 3000 + [(1, copies[1]), (2, copies[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, whole = [], near._texts
+
+    def counted(*args):
+        out = whole(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "_texts", counted)
+    got = near.near_groups(docs).collect()
+    assert seen == [3] and len(got) == 3002
+    assert {r["class_size"] for r in got} == {3002} and sum(r["kept"] for r in got) == 1
+    assert {r["class_id"] for r in got} == {1}
