@@ -303,9 +303,11 @@ def availability(intervals: DataFrame, gaps: DataFrame, spans: Mapping[str, tupl
         .groupBy(*keys, "ts")
         .agg(F.sum("_up").alias("_up"), F.sum("_gap").alias("_gap"))
     )
-    o = Ordered(moves, keys, ["ts"]).running_sum(F.col("_up"), "_ups").running_sum(F.col("_gap"), "_gaps").lag(["ts", "_ups", "_gaps"])
+    # both sums in one step: neither is ever below zero, so they share a long
+    both = F.col("_gap") * F.lit(1 << 32) + F.col("_up")
+    o = Ordered(moves.select(*keys, "ts", both.alias("_both")), keys, ["ts"]).running_sum(F.col("_both"), "_now").lag(["ts", "_now"])
     held = seconds_between("ts", "_prev1.ts")
-    unseen, up = F.col("_prev1._gaps") > 0, F.col("_prev1._ups") > 0
+    unseen, up = F.shiftright("_prev1._now", 32) > 0, F.col("_prev1._now").bitwiseAND(F.lit((1 << 32) - 1)) > 0
     span = F.create_map(*[F.lit(x) for pair in seconds.items() for x in pair])
     total = lambda cond: F.coalesce(F.sum(F.when(cond, held)), F.lit(0.0))
     out = o.result().groupBy(*keys).agg(total(up & ~unseen).alias("up_s"), total(unseen).alias("unseen_s"))
