@@ -151,3 +151,11 @@ def test_rows_are_neither_moved_for_ranks_nor_read_to_build(spark, tmp_path):
     plan = steps._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1
+
+
+def test_bits_are_computed_once_and_skip_nan(spark):
+    df = spark.createDataFrame([(1.5,), (None,), (float("nan"),), (-1.5,)], "v double")
+    rows = with_ordered_bits(df, "v").where("_bits is not null")
+    assert [r.v for r in rows.collect()] == [1.5, -1.5]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LOG2(") == 0 and plan.count("doubleToLongBits") == 1
