@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from tidewatch import schemas
 from tidewatch.functions import naming as nm
 from tidewatch.functions import timeutil as tm
-from tidewatch.operators import drift, eventlog, filters, latency, loadtest, metrics, network, pods
+from tidewatch.operators import drift, eventlog, filters, joins, latency, loadtest, metrics, network, pods
+from tidewatch.plans import load_queries, views
 from tidewatch.sources import avro, captures, sinks, tables
 from tidewatch.streaming import pipeline
 
@@ -535,3 +536,18 @@ def test_rows_without_drift_keep_a_null_cluster(spark):
     got = {r["id"]: r["cluster"] for r in drift.assign_clusters(df, drift.fit_drift(df, k=2, seeds=2)).collect()}
     assert len(got) == 62 and got[60] is None and got[61] is None
     assert len({got[i] for i in range(0, 60, 2)}) == 1 and got[0] != got[1]
+
+
+def test_drift_is_fitted_over_a_part_per_core(spark, monkeypatch):
+    parts, fit = [], drift.GaussianMixture.fit
+    monkeypatch.setattr(drift.GaussianMixture, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(float(i % 2) * 100 + i * 0.01,) for i in range(200)], "drift_ms double")
+        model = drift.fit_drift(df, k=2, seeds=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts == [spark.sparkContext.defaultParallelism] * 2 and len(model.gaussians) == 2

@@ -33,10 +33,12 @@ def fit_drift(df: DataFrame, col: str = "drift_ms", k: int = BROKERS, seeds: int
 
     The fit sees every row: equal values are counted first and weigh in with
     their count, so the iterations run over distinct values only. The starts are jobs side by
-    side over the one persisted table of counts.
+    side over the one persisted table of counts, which has a part per core, however many a
+    shuffle has: every part sends a result to the driver in each of up to 1000 iterations.
     """
     counts = value_counts(df, [], col).withColumn("_w", F.col("_c").cast("double"))
-    points = _vectors(counts, "_v").select("_features", "_w").persist()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    points = _vectors(counts, "_v").select("_features", "_w").repartition(cores).persist()
     try:
         points.count()
 
