@@ -551,3 +551,25 @@ def test_drift_is_fitted_over_a_part_per_core(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert parts == [spark.sparkContext.defaultParallelism] * 2 and len(model.gaussians) == 2
+
+
+def test_joined_lines_come_in_parts(spark, tmp_path, monkeypatch):
+    """A task of the join takes a share of the rows that their number and no setting fixes."""
+    rows = spark.range(4000)
+    day = "CAST(DATE'2026-01-01' AS TIMESTAMP)"
+    rows.selectExpr(
+        "id DIV 4 AS l_orderkey", "id % 4 + 1 AS l_linenumber", "id AS l_suppkey", "id AS l_partkey", "'O' AS l_linestatus", f"{day} AS l_shipdate"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows.where("id < 900").selectExpr("id AS o_orderkey", f"{day} AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    whole = views.pings(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(views, "PART_ROWS", 100)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = views.pings(spark, str(tmp_path))
+        sizes = df.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(whole) == 3600 and sorted(df.collect()) == sorted(whole)
+    assert len(sizes) > 30 and max(r["count"] for r in sizes) < 400
