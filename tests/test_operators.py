@@ -573,3 +573,31 @@ def test_joined_lines_come_in_parts(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(whole) == 3600 and sorted(df.collect()) == sorted(whole)
     assert len(sizes) > 30 and max(r["count"] for r in sizes) < 400
+
+
+def test_events_are_parsed_once_for_jobs_and_stages(spark, tmp_path):
+    start = {"Event": "SparkListenerJobStart", "Submission Time": 1000, "Job ID": 1, "Stage Infos": [{"Stage ID": 2}]}
+    done = {"Event": "SparkListenerStageCompleted", "Stage Info": {"Stage ID": 2, "Submission Time": 1, "Completion Time": 2001}}
+    values = [json.dumps(start), json.dumps(done), "{oops SparkListenerJobStart", json.dumps({"Event": "SparkListenerTaskEnd"})]
+    spark.createDataFrame([("a", x) for x in values], "app string, value string").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    parsed = eventlog.kept_events(lines, ["SparkListenerJobStart", "SparkListenerJobEnd", "SparkListenerStageCompleted"])
+    for rows in (eventlog.jobs, eventlog.stages, eventlog.stage_to_job):
+        assert rows(parsed).collect() == rows(lines).collect()
+        assert "from_json" not in rows(parsed)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_history_and_its_mean_collect_no_lists(spark, tmp_path):
+    start = {"Event": "SparkListenerJobStart", "Submission Time": 1000, "Job ID": 1, "Stage Infos": [{"Stage ID": 2}]}
+    stage = {"Stage ID": 2, "Submission Time": 1, "Completion Time": 2001}
+    again = {**stage, "Stage Attempt ID": 1, "Completion Time": 4001}
+    values = [json.dumps(start)] + [json.dumps({"Event": "SparkListenerStageCompleted", "Stage Info": x}) for x in (stage, again, again)]
+    spark.createDataFrame([("a", x) for x in values], "app string, value string").write.parquet(str(tmp_path / "lines"))
+    history = eventlog.history(spark.read.parquet(str(tmp_path / "lines")))
+    assert sorted((r.Kind, r.ID, r.Attempt or 0, r.JobID, r.DurationSec) for r in history.collect()) == [
+        ("job", 1, 0, 1, None), ("stage", 2, 0, 1, 2.0), ("stage", 2, 1, 1, 4.0), ("stage", 2, 1, 1, 4.0)
+    ]
+    assert "collect_list" not in history._jdf.queryExecution().optimizedPlan().toString()
+    series = eventlog.stage_series(history)
+    plan = series._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and {r.MeanSec for r in series.collect()} == {10 / 3}

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.timeutil import as_column, to_zone
+from tidewatch.operators.joins import kept
 from tidewatch.operators.latency import describe, describe_columns
 
 # The parts of each event that are read, under the names Spark writes.
@@ -57,15 +61,40 @@ _ATTEMPT = [
     ("Attempt", "bigint"), ("Name", "string"), ("SubmissionTime", "bigint"), ("CompletionTime", "bigint"), ("NumTasks", "bigint"),
     ("Accumulables", "array<struct<Name: string, Value: string>>"),
 ]
+_HISTORY = """struct<
+    `Event`: string, `Job ID`: bigint, `Submission Time`: bigint, `Completion Time`: bigint,
+    `Stage Infos`: array<struct<`Stage ID`: bigint>>, `Job Result`: struct<`Result`: string>,
+    `Stage Info`: struct<
+        `Stage ID`: bigint, `Stage Attempt ID`: bigint, `Stage Name`: string,
+        `Submission Time`: bigint, `Completion Time`: bigint, `Number of Tasks`: bigint,
+        `Accumulables`: array<struct<`Name`: string, `Value`: string>>>>"""
+
+
+def _naming(names: Sequence[str]) -> Column:
+    """Whether a line contains one of the names. The line stands in an array so that a line
+    which is itself computed is computed once, not once per name."""
+    return F.exists(F.array("value"), lambda line: reduce(or_, [line.contains(n) for n in names]))
+
+
+def kept_events(lines: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The parsed events of several kinds, written once; `events`, `jobs`, `stages` and
+    `stage_to_job` take them in place of lines, which are then read and parsed once for all."""
+    fields = {f.name: f for n in names for f in T.StructType.fromDDL(EVENT_SCHEMAS[n]).fields}
+    event = F.from_json("value", T.StructType([*fields.values()]))
+    rows = lines.where(_naming(names)).select("app", F.inline(F.array(event)))
+    return kept(rows.where(F.col("Event").isin(list(names))), "events")
 
 
 def events(lines: DataFrame, name: str) -> DataFrame:
-    """Parsed events of one kind from log lines (app, value).
+    """Parsed events of one kind from log lines (app, value), or from `kept_events`.
 
     Lines that do not even contain the name are dropped before the JSON is parsed;
     lines that are not JSON drop out, see `bad_lines`. `inline` keeps Spark from
     parsing a line again for the filter.
     """
+    if "value" not in lines.columns:
+        fields = T.StructType.fromDDL(EVENT_SCHEMAS[name]).names
+        return lines.where(F.col("Event") == name).select("app", *[F.col(f"`{n}`") for n in fields])
     event = F.from_json("value", EVENT_SCHEMAS[name])
     rows = lines.where(F.col("value").contains(name)).select("app", F.inline(F.array(event)))
     return rows.where(F.col("Event") == name)
@@ -163,68 +192,61 @@ def tasks(lines: DataFrame) -> DataFrame:
 def history(lines: DataFrame) -> DataFrame:
     """Jobs and stage attempts in one frame, from one pass over the lines.
 
-    A line that names one of the events is parsed once, to a VARIANT, and gives its rows by
-    event: a job's start and end are two rows of the job, and its start names the job of each
-    of its stages. Rows meet by (app, kind, id) in one aggregate, so ends are found in any
-    file of a log, and nothing is joined. Columns: app, Kind (job or stage), ID, Attempt,
-    JobID, Name, Result, SubmissionTime, CompletionTime, NumTasks, the accumulables (0 where
-    a stage lacks one, null for jobs) and DurationSec. A stage of several jobs belongs to the
-    last; a job that has not ended has no end, a stage that was not completed no row.
+    A line that names one of the events is parsed once, to a VARIANT that is read out once, and
+    gives its rows by event: a job's start and end are two rows of the job, and its start names
+    the job of each of its stages. Rows meet by (app, kind, id) in one window, which holds no
+    lists, so ends are found in any file of a log, and nothing is joined. Columns: app, Kind
+    (job or stage), ID, Attempt, JobID, Name, Result, SubmissionTime, CompletionTime, NumTasks,
+    the accumulables (0 where a stage lacks one, null for jobs) and DurationSec. A stage of
+    several jobs belongs to the last; a job that has not ended has no end, a stage that was not
+    completed no row.
     """
     names = ("SparkListenerJobStart", "SparkListenerJobEnd", "SparkListenerStageCompleted")
-    wanted = F.col("value").rlike("|".join(names))
-    parsed = lines.where(wanted).select("app", F.try_parse_json("value").alias("v"))
-
-    def got(path: str, kind: str = "bigint") -> Column:
-        return F.try_variant_get("v", path, kind)
-
-    stage_ids = F.transform(
-        F.coalesce(got("$['Stage Infos']", "array<struct<`Stage ID`: bigint>>"), F.array().cast("array<struct<`Stage ID`: bigint>>")),
-        lambda s: s["Stage ID"],
-    )
-    accumulables = got("$['Stage Info'].Accumulables", "array<struct<Name: string, Value: string>>")
+    parsed = lines.where(_naming(names)).select("app", F.try_parse_json("value").alias("v"))
+    parsed = parsed.select("app", F.try_variant_get("v", "$", _HISTORY).alias("e"))
 
     def row(**cols: Column) -> Column:
         return F.struct(*[cols.get(n, F.lit(None)).cast(t).alias(n) for n, t in [*_ROW, *_ATTEMPT]])
 
-    event = got("$.Event", "string")
-    job = got("$['Job ID']")
+    e = F.col("e")
+    event, job, info = e["Event"], e["Job ID"], e["Stage Info"]
+    stage_ids = F.coalesce(e["Stage Infos"]["Stage ID"], F.array().cast("array<bigint>"))
     started = F.concat(
-        F.array(row(Kind=F.lit("job"), ID=job, JobID=job, SubmissionTime=got("$['Submission Time']"))),
+        F.array(row(Kind=F.lit("job"), ID=job, JobID=job, SubmissionTime=e["Submission Time"])),
         F.transform(stage_ids, lambda s: row(Kind=F.lit("stage"), ID=s, JobID=job)),
     )
     ended = F.array(
-        row(Kind=F.lit("job"), ID=job, JobID=job, Result=got("$['Job Result'].Result", "string"), CompletionTime=got("$['Completion Time']"))
+        row(Kind=F.lit("job"), ID=job, JobID=job, Result=e["Job Result"]["Result"], CompletionTime=e["Completion Time"])
     )
     stage = F.array(
         row(
-            Kind=F.lit("stage"), ID=got("$['Stage Info']['Stage ID']"), Attempt=F.coalesce(got("$['Stage Info']['Stage Attempt ID']"), F.lit(0)),
-            Name=F.coalesce(got("$['Stage Info']['Stage Name']", "string"), F.lit("unknown")),
-            SubmissionTime=got("$['Stage Info']['Submission Time']"), CompletionTime=got("$['Stage Info']['Completion Time']"),
-            NumTasks=F.coalesce(got("$['Stage Info']['Number of Tasks']"), F.lit(0)), Accumulables=accumulables,
+            Kind=F.lit("stage"), ID=info["Stage ID"], Attempt=F.coalesce(info["Stage Attempt ID"], F.lit(0)),
+            Name=F.coalesce(info["Stage Name"], F.lit("unknown")),
+            SubmissionTime=info["Submission Time"], CompletionTime=info["Completion Time"],
+            NumTasks=F.coalesce(info["Number of Tasks"], F.lit(0)), Accumulables=info["Accumulables"],
         )
     )
     routed = F.when(event == names[0], started).when(event == names[1], ended).when(event == names[2], stage)
     rows = parsed.select("app", F.inline(routed))
-    # one row per job, and per stage with its attempts and the last job that lists it
-    attempt = F.struct(*[n for n, _ in _ATTEMPT])
-    both = rows.groupBy("app", "Kind", "ID").agg(
-        F.max("JobID").alias("JobID"), F.max("Result").alias("Result"), F.min("SubmissionTime").alias("_from"),
-        F.max("CompletionTime").alias("_to"), F.collect_list(F.when(F.col("Attempt").isNotNull(), attempt)).alias("_attempts"),
-    )
-    of_job = F.array(F.struct(*[F.lit(None).cast(t).alias(n) for n, t in _ATTEMPT]))
-    found = both.select("app", "Kind", "ID", "JobID", "Result", "_from", "_to", F.inline(F.when(F.col("Kind") == "job", of_job).otherwise(F.col("_attempts"))))
 
     def number(name: str) -> Column:
         hits = F.filter("Accumulables", lambda a: a["Name"] == name)
         return F.when(F.col("Kind") == "stage", F.coalesce(F.get(hits, F.lit(0))["Value"].try_cast("long"), F.lit(0)))
 
+    # numbers in place of the accumulables before rows are moved
+    rows = rows.select(*[c for c in rows.columns if c != "Accumulables"], *[number(acc).alias(col) for col, acc in STAGE_ACCUMULABLES.items()])
+    # one row per job, and a row per attempt of a stage with the last job that lists it
     is_job = F.col("Kind") == "job"
-    return found.select(
-        "app", "Kind", "ID", "Attempt", "JobID", "Name", "Result", F.when(is_job, F.col("_from")).otherwise(F.col("SubmissionTime")).alias("SubmissionTime"),
-        F.when(is_job, F.col("_to")).otherwise(F.col("CompletionTime")).alias("CompletionTime"), "NumTasks",
-        *[number(acc).alias(col) for col, acc in STAGE_ACCUMULABLES.items()],
-    ).where(~is_job | F.col("SubmissionTime").isNotNull()).withColumn("DurationSec", (F.col("CompletionTime") - F.col("SubmissionTime")) / 1000)
+    by = Window.partitionBy("app", "Kind", "ID").orderBy(F.lit(1))
+    all_ = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = rows.select(
+        "app", "Kind", "ID", "Attempt", F.max("JobID").over(all_).alias("JobID"), "Name", F.max("Result").over(all_).alias("Result"),
+        F.when(is_job, F.min("SubmissionTime").over(all_)).otherwise(F.col("SubmissionTime")).alias("SubmissionTime"),
+        F.when(is_job, F.max("CompletionTime").over(all_)).otherwise(F.col("CompletionTime")).alias("CompletionTime"),
+        "NumTasks", *STAGE_ACCUMULABLES, F.row_number().over(by).alias("_place"),
+    )
+    found = found.where(F.when(is_job, (F.col("_place") == 1) & F.col("SubmissionTime").isNotNull()).otherwise(F.col("Attempt").isNotNull()))
+    return found.drop("_place").withColumn("DurationSec", (F.col("CompletionTime") - F.col("SubmissionTime")) / 1000)
 
 
 def summarize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -255,7 +277,9 @@ def stage_series(df: DataFrame, zone: str = "America/Sao_Paulo") -> DataFrame:
 
 
 def duration_series(df: DataFrame, time: str = "SubmissionTime", zone: str = "America/Sao_Paulo") -> DataFrame:
-    """Durations with local start time, job type and the mean over all rows."""
+    """Durations with local start time, job type and the mean over all rows, which are made and
+    written once, since the mean has to be known before the first of them."""
+    df = kept(df, "durations")
     overall = df.agg(F.avg("DurationSec").alias("m")).scalar()
     return df.withColumns(
         {

@@ -117,7 +117,8 @@ def top_k_shuffle_read(spark, folder):
     ["DurationSec", "MeanSec"],
 )
 def stage_duration_series(spark, folder):
-    series = evl.stage_series(evl.history(v.log_lines(spark, folder)))
+    history = evl.history(v.log_lines(spark, folder)).select("Kind", "ID", "JobID", "SubmissionTime", "DurationSec")
+    series = evl.stage_series(history)
     return series.select("ID", "JobID", "JobType", "StartedAt", "DurationSec", "MeanSec")
 
 
